@@ -1,0 +1,5 @@
+"""Nothing is stateful here: the product this library follows has no streaming operators.
+
+Filters, calculated fields and one-row feature rules are plain columns, so they work unchanged on a
+streaming DataFrame; `tests/test_streaming.py` shows it.
+"""
