@@ -105,9 +105,10 @@ def scatter(
     if bubble and not size:
         raise ValueError("A bubble chart needs a size column.")
     names = list(dict.fromkeys(c for c in (x, y, size) if c))
-    points = df.withColumns({n: num(df, n) for n in names}).dropna(subset=[x, y])
+    ordered = df.withColumn("__order", sample_order(key))
+    points = ordered.withColumns({n: num(df, n) for n in names}).dropna(subset=[x, y])
     shown = list(dict.fromkeys([*names, *([color] if color else [])]))
-    return sample_rows(points, clamp(limit, 1, maximum, 500), key).select(*[col(c) for c in shown])
+    return points.orderBy("__order").limit(clamp(limit, 1, maximum, 500)).select(*[col(c) for c in shown])
 
 
 def first_points(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], limit=1000, maximum: int = 5000, numeric=()) -> DataFrame:

@@ -10,7 +10,9 @@ def load_all() -> None:
     from flatwork.queries import (  # noqa: F401
         aggregates,
         calculated,
+        cleaning,
         feature_rules,
         filters,
+        profiles,
         projections,
     )

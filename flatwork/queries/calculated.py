@@ -31,7 +31,7 @@ _calc("modulo", "(0 - id) % 7", "((-id % 7) + 7) % 7 * 1.0::DOUBLE")
 _calc("power", "(id % 10) ** 2", "pow(id % 10, 2)")
 _calc("unary_minus", "-val", "-val")
 _calc("round_half_even", "round(id / 2)", "CASE WHEN (id // 2) % 2 = 1 THEN ceil(id / 2.0::DOUBLE) ELSE floor(id / 2.0::DOUBLE) END")
-_calc("round_digits", "round(val / 7, 1)", "val / 7", digits=1)
+_calc("round_digits", "round(val / 7, 1)", "round_even(val / 7, 1)")
 _calc("abs", "abs(1000 - id)", "abs(1000.0::DOUBLE - id)")
 _calc("log", "log(id - 5)", "CASE WHEN id > 5 THEN ln(id - 5) END", digits=8)
 _calc("sqrt", "sqrt(id - 5)", "CASE WHEN id >= 5 THEN sqrt(id - 5) END", digits=8)
@@ -76,9 +76,8 @@ register(
             {"field_name": "per unit", "expression": "Unit Price / Qty", "output_type": "number"},
             {"field_name": "twice", "expression": "per unit * 2", "output_type": "number"},
         ],
-    ).select("l_orderkey", F.round("per unit", 4).alias("unit"), F.round("twice", 4).alias("twice")),
-    """SELECT l_orderkey, round(l_extendedprice / l_quantity, 4) AS unit, round(l_extendedprice / l_quantity * 2, 4) AS twice
-       FROM lineitem""",
+    ).select("l_orderkey", F.col("per unit").alias("unit"), "twice"),
+    "SELECT l_orderkey, l_extendedprice / l_quantity AS unit, l_extendedprice / l_quantity * 2 AS twice FROM lineitem",
 )
 register(
     "calc_preview",

@@ -64,13 +64,13 @@ register(
     "scatter_points",
     "sparse",
     lambda df: P.scatter(df, "id", "val", ["id"], color="grp", limit=300).select(F.col("id").cast("long").alias("id"), "val", "grp"),
-    "SELECT id, val, grp FROM sparse WHERE val IS NOT NULL ORDER BY md5(concat('42', CAST(id AS VARCHAR) || '.0')) LIMIT 300",
+    "SELECT id, val, grp FROM sparse WHERE val IS NOT NULL ORDER BY md5(concat('42', CAST(id AS VARCHAR))) LIMIT 300",
 )
 register(
     "bubble_points",
     "outliers",
     lambda df: P.scatter(df, "val", "val2", ["id"], size="id", limit=100, bubble=True).select("val", "val2"),
-    "SELECT val, val2 FROM outliers ORDER BY md5(concat('42', CAST(id AS VARCHAR) || '.0')) LIMIT 100",
+    "SELECT val, val2 FROM outliers ORDER BY md5(concat('42', CAST(id AS VARCHAR))) LIMIT 100",
 )
 register(
     "scatter_first_points",
