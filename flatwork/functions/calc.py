@@ -118,7 +118,8 @@ def _round(value: Term, digits: Term | None = None) -> Term:
         places = max(0, int(digits.constant)) if digits else 0
     except (TypeError, ValueError):
         places = 0
-    return Term(F.bround(value.number, places), DOUBLE)
+    scale = 10.0**places
+    return Term(F.rint(value.number * scale) / scale, DOUBLE)
 
 
 def _choose(condition: Term, yes: Term, no: Term) -> Term:

@@ -166,26 +166,27 @@ def nearest(asked: DataFrame, known: DataFrame, k: int, skip_self: bool = False)
     def visit(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = _sides(rows)
         xs, near = [], []
+        places, payloads = b["x"].tolist(), b["payload"].tolist()
         for i in range(0, len(a) if len(b) else 0, 256):
             part = a.iloc[i : i + 256]
             d, w = _distances(part, b, skip_self)
-            d = np.where(w > 0, d, np.inf)
+            reach = part["radius"].to_numpy()[:, None] * (1 + 1e-12)
+            d = np.where((w > 0) & (d <= reach), d, np.inf)
             m = min(k, d.shape[1])
+            # Every weight is at least 1, so k points always suffice.
+            best = np.argpartition(d, m - 1, axis=1)[:, :m]
             for row, p in enumerate(part["x"]):
-                # Every weight is at least 1, so k points always suffice.
-                best = np.argpartition(d[row], m - 1)[:m]
-                best = best[np.isfinite(d[row, best])]
-                xs.append(p)
-                near.append([
-                    {"d": float(d[row, j]), "w": int(w[row, j]), "x": b["x"].iat[j], "payload": b["payload"].iat[j]} for j in best
-                ])
+                js = [j for j in best[row].tolist() if d[row, j] != np.inf]
+                if js:
+                    xs.append(p)
+                    near.append([{"d": d[row, j], "w": w[row, j], "x": places[j], "payload": payloads[j]} for j in js])
         return pd.DataFrame({"x": pd.Series(xs, dtype=object), "near": pd.Series(near, dtype=object)})
 
     near_type = "array<struct<d:double,w:bigint,x:array<double>,payload:double>>"
     placed_known = known.select("x", "w", "payload", box_of("x").alias("box"))
     placed_asked = asked.select("x").distinct().withColumn("box", box_of("x"))
     radius = _grouped(placed_asked, placed_known).applyInPandas(bound, "x array<double>, radius double")
-    visits = radius.withColumn("box", F.explode(boxes_near("x", "radius"))).select("x", "box")
+    visits = radius.withColumn("box", F.explode(boxes_near("x", "radius"))).select("x", "radius", "box")
     found = _grouped(visits, placed_known).applyInPandas(visit, f"x array<double>, near {near_type}")
     merged = found.groupBy("x").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     return merged.select("x", _cut(F.col("near"), k).cast(near_type).alias("near"))

@@ -10,8 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flatwork.functions.coerce import is_numeric, num
-from flatwork.functions.stats import share
+from flatwork.functions.coerce import col, is_numeric, num
+from flatwork.functions.stats import moments
 from flatwork.operators.cleaning.impute import IMPUTATION_METHODS
 from flatwork.operators.cleaning.outliers import extremes
 from flatwork.operators.profile import _first_of, duplicate_rows, local_copy, profile, with_approved
@@ -117,36 +117,35 @@ def outlier_report(df: DataFrame, columns: DataFrame | None = None, overrides: D
     kinds = {f.name: f.dataType for f in df.schema.fields}
     names = [r["column_name"] for r in checked.select("column_name").collect() if is_numeric(kinds[r["column_name"]])]
     if not names:
-        return _outlier_rows(typed.limit(0), typed.select("column_name", F.lit(0).cast("long").alias("outlier_count"),
-                             *[F.lit(None).cast("double").alias(c) for c in ("low", "high")]).limit(0), None)
+        rows = checked.limit(0).drop("outlier_count").withColumns({"low": F.lit(0.0), "high": F.lit(0.0), "outlier_count": F.lit(0).cast("long")})
+        return _outlier_rows(rows.withColumns({c: F.array().cast("array<double>") for c in ("lowest_values", "highest_values")}))
     plain = df.select(*[num(df, c).alias(c) for c in names])
-    wide = quantiles(plain, names, [0.25, 0.75])
-    fences = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.get(F.col(f"`q_{c}`"), F.lit(0)).alias("q1"), F.get(F.col(f"`q_{c}`"), F.lit(1)).alias("q3"))
-        for c in names
+    quartiles = quantiles(plain, names, [0.25, 0.5, 0.75]).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), col(f"q_{c}").alias("q")) for c in names
     ])).alias("f")).select("f.*")
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = fences.where("q3 > q1").select("column_name", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("v")) for c in names])
+    q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(2))
+    fences = quartiles.where(q3 > q1).select(
+        "column_name", F.get("q", F.lit(1)).alias("median"), (q1 - 1.5 * (q3 - q1)).alias("low"), (q3 + 1.5 * (q3 - q1)).alias("high")
+    )
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).alias("v")) for c in names])
     long = plain.select(F.explode(cells).alias("c")).select("c.*").where("v is not null")
+    shape = moments(F.col("v"))
     # One row per column of the table: safe to send to every task.
     counts = (
         long.join(F.broadcast(fences), "column_name")
-        .groupBy("column_name", "low", "high")
-        .agg(F.count_if((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).alias("outlier_count"))
+        .groupBy("column_name", "median", "low", "high")
+        .agg(
+            F.count_if((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).alias("outlier_count"),
+            *[shape[n].alias(n) for n in ("min", "max", "mean", "std", "variance", "skewness", "kurtosis")],
+        )
         .where("outlier_count > 0")
     )
-    return _outlier_rows(checked, counts, extremes(df, names))
+    kept = checked.select("column_name", "detected_type", "approved_type", "row_count")
+    return _outlier_rows(kept.join(counts, "column_name").join(extremes(df, names), "column_name", "left"))
 
 
-def _outlier_rows(typed: DataFrame, counts: DataFrame, ends: DataFrame | None) -> DataFrame:
-    rows = typed.drop("outlier_count").join(counts, "column_name")
+def _outlier_rows(rows: DataFrame) -> DataFrame:
     pct = F.try_divide(F.col("outlier_count") * 100.0, F.col("row_count"))
-    if ends is None:
-        nothing = F.lit(None).cast("array<double>")
-        rows = rows.withColumns({"lowest_values": nothing, "highest_values": nothing})
-    else:
-        rows = rows.join(ends, "column_name", "left")
     return rows.select(
         "column_name", "detected_type", F.coalesce("approved_type", "detected_type").alias("schema_type"),
         F.lit("IQR").alias("method"), F.bround("low", 2).alias("lower_bound"), F.bround("high", 2).alias("upper_bound"),
@@ -296,7 +295,3 @@ def report_summary(df: DataFrame, columns: DataFrame | None = None, overrides: D
     repeated = duplicate_rows(df).select("duplicate_row_count").scalar()
     return totals.withColumns({"missing_values": missing, "duplicate_rows": repeated, "columns": F.lit(len(df.columns))})
 
-
-def missing_share(df: DataFrame, column: str) -> Column:
-    """Aggregate: percentage of missing values."""
-    return share(F.count_if(F.col(f"`{column}`").isNull()), F.count("*"))

@@ -11,8 +11,10 @@ def load_all() -> None:
         aggregates,
         calculated,
         cleaning,
+        eda,
         feature_rules,
         filters,
         profiles,
         projections,
+        versions,
     )

@@ -105,6 +105,7 @@ def register(name: str, tables: str, build: Callable[..., DataFrame], sql: str |
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build(*[source(spark, sf_dir, n) for n in names])
 
+    run.source = build.__module__.rsplit(".", 1)[-1]
     QUERIES[name] = run
     if sql is not None:
         made = [f"{n} AS ({DERIVED[n][1]})" for n in names if n in DERIVED]
