@@ -106,31 +106,39 @@ def _boxes(known: DataFrame) -> Boxes:
 
 def _kth(distance: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     """Distance at which the weights along each row reach k; infinite when they never do."""
-    order = np.argsort(distance, axis=1, kind="stable")
-    d = np.take_along_axis(distance, order, 1)
-    held = np.cumsum(np.take_along_axis(weight, order, 1), axis=1)
+    # Every weight but a point's own is at least 1, so the k + 1 nearest columns suffice.
+    m = min(k + 1, distance.shape[1])
+    first = np.argpartition(distance, m - 1, axis=1)[:, :m]
+    d, w = np.take_along_axis(distance, first, 1), np.take_along_axis(weight, first, 1)
+    order = np.argsort(d, axis=1, kind="stable")
+    d = np.take_along_axis(d, order, 1)
+    held = np.cumsum(np.take_along_axis(w, order, 1), axis=1)
     at = (held < k).sum(axis=1)
-    safe = np.minimum(at, d.shape[1] - 1)
-    return np.where(at < d.shape[1], d[np.arange(len(d)), safe], np.inf)
+    safe = np.minimum(at, m - 1)
+    return np.where(at < m, d[np.arange(len(d)), safe], np.inf)
 
 
 def _distances(a: pd.DataFrame, b: pd.DataFrame, skip_self: bool):
     x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-    d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0.0))
+    d = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        d += (x[:, i, None] - y[None, :, i]) ** 2
     w = np.broadcast_to(b["w"].to_numpy(dtype=np.int64), d.shape)
     if skip_self:
         # A point is not its own neighbour, its other copies are.
-        w = w - (x[:, None, :] == y[None, :, :]).all(axis=2)
-    return d, w
+        w = w - (d == 0)
+    return np.sqrt(d), w
 
 
-def _grouped(asked: DataFrame, known: DataFrame):
+def _grouped(asked: DataFrame, known: DataFrame, tasks: int):
     """Asked and known points of each box together. The asked points of a crowded box are spread
     over several groups, each with the box's known points."""
     load = asked.groupBy("box").agg(F.ceil(F.count("*") / ASKED_PER_GROUP).cast("int").alias("parts"))
     asked = asked.join(load, "box").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
     known = known.join(load, "box").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return asked.unionByName(known, allowMissingColumns=True).groupBy("box", "part")
+    both = asked.unionByName(known, allowMissingColumns=True)
+    # A fixed number of tasks: by size alone these groups look small, but each is much work.
+    return both.repartition(tasks, "box", "part").groupBy("box", "part")
 
 
 def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -145,6 +153,8 @@ def nearest(asked: DataFrame, known: DataFrame, k: int, skip_self: bool = False)
     (d, w, x, payload) by distance whose weights add up to k, the last one cut if needed.
     """
     boxes = _boxes(known)
+    width = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(4 * width, 2 * len(boxes.low)))
 
     @F.pandas_udf("int")
     def box_of(x: pd.Series) -> pd.Series:
@@ -185,9 +195,9 @@ def nearest(asked: DataFrame, known: DataFrame, k: int, skip_self: bool = False)
     near_type = "array<struct<d:double,w:bigint,x:array<double>,payload:double>>"
     placed_known = known.select("x", "w", "payload", box_of("x").alias("box"))
     placed_asked = asked.select("x").distinct().withColumn("box", box_of("x"))
-    radius = _grouped(placed_asked, placed_known).applyInPandas(bound, "x array<double>, radius double")
+    radius = _grouped(placed_asked, placed_known, tasks).applyInPandas(bound, "x array<double>, radius double")
     visits = radius.withColumn("box", F.explode(boxes_near("x", "radius"))).select("x", "radius", "box")
-    found = _grouped(visits, placed_known).applyInPandas(visit, f"x array<double>, near {near_type}")
+    found = _grouped(visits, placed_known, tasks).applyInPandas(visit, f"x array<double>, near {near_type}")
     merged = found.groupBy("x").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     return merged.select("x", _cut(F.col("near"), k).cast(near_type).alias("near"))
 

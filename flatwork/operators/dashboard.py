@@ -20,8 +20,8 @@ def forecast(df: DataFrame, date: str, value: str, periods: int = 6, window: int
     recent = history.orderBy(F.desc("period")).limit(window)
     level = recent.agg(F.avg("value").alias("value"), F.max("period").alias("last"))
     step = {"day": "1 day", "week": "7 day", "month": "1 month", "quarter": "3 month", "year": "1 year"}[grain]
-    ahead = F.explode(F.expr(f"transform(sequence(1, {periods}), i -> last + i * interval {step})"))
-    future = level.where("last is not null").select(ahead.cast("date").alias("period"), "value")
+    ahead = F.expr(f"transform(sequence(1, {periods}), i -> cast(last + i * interval {step} as date))")
+    future = level.where("last is not null").select(F.explode(ahead).alias("period"), "value")
     return history.withColumn("is_forecast", F.lit(False)).unionByName(future.withColumn("is_forecast", F.lit(True)))
 
 

@@ -8,7 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from flatwork.functions.coerce import col, column_type, is_numeric, num
 from flatwork.functions.stats import moments, safe_correlation, share
@@ -255,11 +255,11 @@ def density(df: DataFrame, column: str, group: str | None = None, points: int =
     else:
         facts = one_row(stats)
         joined = values.withColumns({n: facts[n] for n in ("n", "low", "high", "h")}).where("h is not null")
-    x = F.col("low") + F.col("at") * (F.col("high") - F.col("low")) / (points - 1)
-    spread = joined.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
+    x = F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / (points - 1)
+    spread = joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
     z = (F.col("x") - F.col("v")) / F.col("h")
     kernel = F.sum(F.exp(-0.5 * z * z)) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))
-    return spread.groupBy(*keys, "at").agg(F.first("x").alias("x"), kernel.alias("density"))
+    return spread.groupBy(*keys, "point").agg(F.first("x").alias("x"), kernel.alias("density"))
 
 
 def distribution_summary(df: DataFrame, column: str) -> DataFrame:
@@ -279,7 +279,7 @@ def violin(df: DataFrame, column: str, group: str, top: int = 30) -> DataFrame:
     return density(df, column, group, top=top)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     inverse = NormalDist().inv_cdf
     return p.map(lambda v: inverse(v) if 0 < v < 1 else None)
@@ -293,7 +293,7 @@ def qq_points(df: DataFrame, column: str, key: Sequence[str], rows_per_range: in
     edge = F.pow(F.lit(0.5), 1.0 / n)
     i = F.col("i") + 1
     p = F.when(i == n, edge).when(i == 1, 1 - edge).otherwise((i - 0.3175) / (n + 0.365))
-    return placed.select(F.col("i").alias("rank"), normal_quantile(p).alias("theoretical"), F.col("v").alias("ordered"))
+    return placed.select(i.alias("rank"), normal_quantile(p).alias("theoretical"), F.col("v").alias("ordered"))
 
 
 def qq_line(points: DataFrame) -> DataFrame:

@@ -116,12 +116,12 @@ register(
        CAST(least(20, count(*) FILTER (val < a - 1.5 * (b - a) OR val > b + 1.5 * (b - a))) AS INTEGER) AS shown FROM outliers, q GROUP BY a, m, b""",
 )
 KDE = """s AS (SELECT {g}count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*), -0.2) AS h FROM p {gb}),
-  x AS (SELECT s.*, CAST(i AS INTEGER) AS at, lo + i * (hi - lo) / 199 AS x FROM s, range(0, 200) r(i))
-  SELECT {xg}at, round(x, 6) AS x, round(1e6 * sum(exp(-0.5 * ((x - v) / h) ** 2)) / (n * h * sqrt(2 * pi())), 6) AS density FROM x JOIN p {on} GROUP BY {xg}at, x, n, h"""
+  x AS (SELECT s.*, CAST(i AS INTEGER) AS point, lo + i * (hi - lo) / 199 AS x FROM s, range(0, 200) r(i))
+  SELECT {xg}point, round(x, 6) AS x, round(1e6 * sum(exp(-0.5 * ((x - v) / h) ** 2)) / (n * h * sqrt(2 * pi())), 6) AS density FROM x JOIN p {on} GROUP BY {xg}point, x, n, h"""
 
 
 def _curve(df, *first):
-    return df.select(*first, "at", F.round("x", 6).alias("x"), F.round(F.col("density") * 1e6, 6).alias("density"))
+    return df.select(*first, "point", F.round("x", 6).alias("x"), F.round(F.col("density") * 1e6, 6).alias("density"))
 
 
 register(
@@ -185,7 +185,7 @@ _WIDE = "WITH w AS (SELECT " + ", ".join(
      else f"l_quantity * {i} + l_extendedprice / ({i} + 1) + l_tax * 1000 * ({i} % 3)") + f" AS m{i}" for i in range(14)
 ) + " FROM lineitem) "
 register(
-    "correlation_many_columns", "lineitem", lambda df: _corr(E.correlation(_wide(df))).withColumn("value", F.round("value", 6)),
+    "correlation_many_columns", "lineitem", lambda df: E.correlation(_wide(df)).withColumn("value", F.round("value", 6)),
     _WIDE + _corr_sql("w", [f"m{i}" for i in range(14)]).replace(", 8)", ", 6)"),
 )
 register(

@@ -200,8 +200,9 @@ register(
     "recommended_graphs",
     "events",
     lambda df: P.recommended_graphs(P.profile(df), "event_type"),
-    """SELECT * FROM (VALUES ('histogram', 'value', NULL, 'high'), ('boxplot', NULL, 'value', 'high'), ('qq_plot', 'value', NULL, 'medium'),
-       ('countplot', 'event_type', NULL, 'medium'), ('skewness_kurtosis_table', NULL, NULL, 'medium'), ('line_trend', 'ts', 'value', 'medium'),
+    """SELECT * FROM (VALUES ('histogram', 'user_id', NULL, 'high'), ('boxplot', NULL, 'user_id', 'high'), ('qq_plot', 'user_id', NULL, 'medium'),
+       ('histogram', 'value', NULL, 'high'), ('boxplot', NULL, 'value', 'high'), ('qq_plot', 'value', NULL, 'medium'), ('correlation_heatmap', NULL, NULL, 'high'),
+       ('countplot', 'event_type', NULL, 'medium'), ('countplot', 'props', NULL, 'medium'), ('skewness_kurtosis_table', NULL, NULL, 'medium'),
        ('target_balance', 'event_type', NULL, 'high')) v(chart_type, x_column, y_column, priority)""",
 )
 register(
