@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from flatwork.functions.coerce import col, column_type, num, ts
 from flatwork.operators.ordered import first_value, last_value
 from flatwork.operators.projection import clamp
-from flatwork.operators.quantiles import join_on, one_row, quantiles
+from flatwork.operators.joins import join_on, one_row
+from flatwork.operators.quantiles import quantiles
 
 # The accepted spellings of each aggregation.
 AGGREGATION_ALIASES = {

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from flatwork.functions.coerce import col, column_type, is_numeric, num
 from flatwork.operators import ordered
 from flatwork.operators.features import rare_grouping
-from flatwork.operators.quantiles import modes, one_row, quantile_scalars, quantiles
+from flatwork.operators.joins import measured, one_row
+from flatwork.operators.quantiles import modes, quantile_scalars, quantiles
 
 # The methods offered per kind of column.
 IMPUTATION_METHODS = {
@@ -78,8 +79,7 @@ def fill_rolling_mean(df: DataFrame, column: str, order_by: Sequence[str], windo
 
 
 def _joined(df: DataFrame, stats: DataFrame, group: str) -> DataFrame:
-    # No hint: one row per group value, Spark decides by its measured size and splits skewed groups.
-    return df.join(stats, col(group) == F.col("__g"), "left").drop("__g")
+    return df.join(measured(stats), col(group) == F.col("__g"), "left").drop("__g")
 
 
 def fill_group_mean(df: DataFrame, column: str, group: str) -> DataFrame:

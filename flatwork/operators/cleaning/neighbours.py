@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flatwork.functions.coerce import num
-from flatwork.operators.quantiles import one_row, quantiles
+from flatwork.operators.joins import one_row
+from flatwork.operators.quantiles import quantiles
 
 BOX_POINTS = 2_000
 MAX_BOXES = 32_768
@@ -133,7 +134,8 @@ def _distances(a: pd.DataFrame, b: pd.DataFrame, skip_self: bool):
 def _grouped(asked: DataFrame, known: DataFrame, tasks: int):
     """Asked and known points of each box together. The asked points of a crowded box are spread
     over several groups, each with the box's known points."""
-    load = asked.groupBy("box").agg(F.ceil(F.count("*") / ASKED_PER_GROUP).cast("int").alias("parts"))
+    # At most MAX_BOXES rows: safe to send to every task.
+    load = F.broadcast(asked.groupBy("box").agg(F.ceil(F.count("*") / ASKED_PER_GROUP).cast("int").alias("parts")))
     asked = asked.join(load, "box").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
     known = known.join(load, "box").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     both = asked.unionByName(known, allowMissingColumns=True)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flatwork.functions.coerce import col, num
 from flatwork.functions.stats import share
-from flatwork.operators.quantiles import one_row, quantile_scalars
+from flatwork.operators.joins import one_row
+from flatwork.operators.quantiles import quantile_scalars
 
 # The methods offered for a column, and the rule each one is based on.
 OUTLIER_METHODS = (

@@ -10,7 +10,8 @@ from flatwork.functions.coerce import col, num
 from flatwork.functions.stats import safe_correlation, share
 from flatwork.operators import eda
 from flatwork.operators.profile import missing_counts, summary
-from flatwork.operators.quantiles import one_row, quantiles
+from flatwork.operators.joins import one_row
+from flatwork.operators.quantiles import quantiles
 
 
 def _sides(before: DataFrame, after: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flatwork.functions.coerce import col, num, ts
 from flatwork.operators.aggregate import aggregate
-from flatwork.operators.quantiles import join_on
+from flatwork.operators.joins import join_on
 
 
 def forecast(df: DataFrame, date: str, value: str, periods: int = 6, window: int = 3, grain: str = "month") -> DataFrame:

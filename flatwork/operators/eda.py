@@ -15,7 +15,8 @@ from flatwork.functions.stats import moments, safe_correlation, share
 from flatwork.operators.aggregate import top_n
 from flatwork.operators.ordered import with_position
 from flatwork.operators.projection import clamp, sample_rows
-from flatwork.operators.quantiles import join_on, one_row, quantile_scalars, quantiles
+from flatwork.operators.joins import join_on, one_row
+from flatwork.operators.quantiles import quantile_scalars, quantiles
 
 MISSING = "[missing]"
 

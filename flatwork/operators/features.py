@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flatwork.functions.coerce import col
 from flatwork.functions.rules import NUMERIC_RULES, RULE_GROUPS, TEXT_RULES, rule_column, text_of
-from flatwork.operators.quantiles import one_row
+from flatwork.operators.joins import measured
 
 OTHER = "Other"
 
@@ -19,8 +19,7 @@ def value_counts(df: DataFrame, source: str) -> DataFrame:
 
 
 def _with_value_counts(df: DataFrame, source: str) -> DataFrame:
-    # No hint: the count table has one row per value, Spark decides by its measured size.
-    return df.join(value_counts(df, source), col(source) == F.col("__v"), "left").drop("__v")
+    return df.join(measured(value_counts(df, source)), col(source) == F.col("__v"), "left").drop("__v")
 
 
 def rare_grouping(df: DataFrame, source: str, new: str, minimum_frequency: float, label: str = OTHER) -> DataFrame:

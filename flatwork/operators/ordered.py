@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flatwork.functions.coerce import col
-from flatwork.operators.quantiles import join_on
+from flatwork.operators.joins import join_on
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 8192
@@ -67,20 +67,42 @@ def with_position(
 
 def _position(
     df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str], out: str, ranged_by: tuple[Column, int]
+) -> DataFrame:
+    counted = _total(df.withColumn("__one", F.lit(1).cast("long")), "__one", order_by, partition_by, out, ranged_by)
+    return counted.withColumn(out, F.col(out) - 1).drop("__one")
+
+
+def running_total(
+    df: DataFrame,
+    value: str,
+    order_by: Sequence[str],
+    partition_by: Sequence[str] = (),
+    out: str = "total",
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Add the sum of `value` over all rows up to and including each row, per partition."""
+    return _total(df, value, order_by, partition_by, out, _ranges(df, [*partition_by, *order_by], rows_per_range))
+
+
+def _total(
+    df: DataFrame, value: str, order_by: Sequence[str], partition_by: Sequence[str], out: str, ranged_by: tuple[Column, int]
 ) -> DataFrame:
     number, ranges = ranged_by
     parts = [col(p) for p in partition_by]
     ranged = df.withColumn("__range", number)
-    inside = W.partitionBy("__range", *parts).orderBy(*[col(o) for o in order_by])
-    placed = ranged.withColumn(out, F.row_number().over(inside).cast("long") - 1)
+    inside = (
+        W.partitionBy("__range", *parts).orderBy(*[col(o) for o in order_by]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    placed = ranged.withColumn(out, F.sum(col(value)).over(inside))
     if ranges == 1:
         return placed.drop("__range")
-    # One row per range and partition; a partition has at most MAX_RANGES of them.
-    sizes = ranged.groupBy("__range", *parts).agg(F.count("*").alias("__rows"))
-    upto = W.partitionBy(*parts).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__rows").over(upto), F.lit(0))).drop("__rows")
-    joined = join_on(placed, offsets, ["__range", *partition_by])
-    return joined.withColumn(out, F.col(out) + F.col("__offset")).drop("__range", "__offset")
+    sums = ranged.groupBy("__range", *parts).agg(F.sum(col(value)).alias("__sum"))
+    # A partition has at most one row per range here.
+    earlier = W.partitionBy(*parts).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.withColumn("__offset", F.sum("__sum").over(earlier)).drop("__sum").where("__offset is not null")
+    # Only the first partition of a range can have begun before it: at most one row per range.
+    joined = join_on(placed, offsets, ["__range", *partition_by], "left", bounded=True)
+    return joined.withColumn(out, F.col(out) + F.coalesce("__offset", F.lit(0))).drop("__range", "__offset")
 
 
 def _last_present(
@@ -126,7 +148,7 @@ def _last_present(
             "__next": F.lead("__range").over(W.orderBy("__range")),
         }
     ).select(F.col("__next").alias("__range"), *parts, "__carry")
-    joined = join_on(filled, F.broadcast(carried.where("__range is not null")), ["__range", *partition_by], "left")
+    joined = join_on(filled, carried.where("__range is not null"), ["__range", *partition_by], "left", bounded=True)
     return joined.withColumn(out, F.coalesce(col(out), F.col("__carry"))).drop("__range", "__value", "__carry")
 
 

@@ -13,22 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flatwork.functions.coerce import col
+from flatwork.operators.joins import join_on, measured, one_row
+from flatwork.operators.ordered import running_total
+from flatwork.sources.checkpoints import cut_lineage
 
 SMALL_ROWS = 1_000_000
 BANDS = 1024
 SKETCH_ACCURACY = 10_000
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join on named keys where null matches null; the keys appear once."""
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    on = [col(k).eqNullSafe(col(f"__r_{k}")) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
-
-
 def _doubles(values: Sequence[float]) -> Column:
     """A constant array; one literal, so long arrays stay cheap to plan."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
@@ -57,8 +50,7 @@ def quantiles(
     The result holds `by` and, for each column, the array `q_<column>` in the order of `probs`.
     """
     probs = list(probs)
-    # Stops at the bound, so the check never scans more than it must.
-    if df.limit(small_rows + 1).count() <= small_rows:
+    if df.count() <= small_rows:
         aggs = [F.percentile(col(c), F.array(*[F.lit(p) for p in probs])).alias(f"q_{c}") for c in columns]
         return df.groupBy(*[col(b) for b in by]).agg(*aggs)
     return _banded(df, list(columns), probs, list(by))
@@ -97,11 +89,13 @@ def _banded(df: DataFrame, columns: list[str], probs: list[float], by: list[str]
         .select(*keys, "band", "before", "p", "at", "lo", "hi")
     )
     bands = wanted.select(*keys, "band", "before").distinct()
+    # Without groups there are two bands per quantile at most; with groups the table is measured.
+    bands = measured(bands) if by else F.broadcast(bands)
 
     # Equal values collapse first, so a value held by a third of all rows is one row.
     kept = join_on(long, bands, [*keys, "band"]).groupBy(*keys, "band", "before", "v").agg(F.count("*").alias("n"))
-    in_band = W.partitionBy(*keys, "band").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    placed = kept.withColumn("last", F.col("before") + F.sum("n").over(in_band) - 1)
+    kept = cut_lineage(kept)
+    placed = running_total(kept, "n", ["v"], [*keys, "band"], "upto").withColumn("last", F.col("before") + F.col("upto") - 1)
     picked = join_on(placed.drop("before"), wanted.drop("before"), [*keys, "band"]).where(
         F.col("lo").between(F.col("last") - F.col("n") + 1, F.col("last"))
         | F.col("hi").between(F.col("last") - F.col("n") + 1, F.col("last"))
@@ -126,11 +120,6 @@ def quantile_scalars(
     return {c: [F.get(row[f"q_{c}"], F.lit(i)) for i in range(len(probs))] for c in columns}
 
 
-def one_row(df: DataFrame) -> Column:
-    """A one-row DataFrame as a struct: a scalar subquery, computed once per query."""
-    return df.select(F.struct(*[col(c) for c in df.columns])).scalar()
-
-
 def modes(df: DataFrame, column: str, by: Sequence[str] = (), out: str = "mode") -> DataFrame:
     """Most frequent value per group, the smallest of tied values, with its count.
 

@@ -58,11 +58,14 @@ def typed(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A table from a CSV or Parquet path. Types of a CSV are worked out unless a schema is given."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """A table from a CSV or Parquet path. Types of a CSV are worked out unless a schema is given.
+
+    `multi_line` allows line breaks inside quoted cells, but then a file is read by one task.
+    """
     if source_format(path) == "parquet":
         return nan_to_null(spark.read.parquet(path))
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         return nan_to_null(reader.schema(schema).csv(path))
     text = reader.csv(path, inferSchema=False)
