@@ -11,6 +11,7 @@ from flatwork.operators.ordered import first_value, last_value
 from flatwork.operators.projection import clamp
 from flatwork.operators.joins import join_on, one_row
 from flatwork.operators.quantiles import quantiles
+from flatwork.sources.checkpoints import cut_lineage
 
 # The accepted spellings of each aggregation.
 AGGREGATION_ALIASES = {
@@ -135,10 +136,11 @@ def top_per_group(df: DataFrame, group: str, value: str, k: int = 10, keys: Sequ
 def with_other(df: DataFrame, x: str, value: str, n=10, label: str = "Other") -> DataFrame:
     """Keep the top n (2..15) categories and add the sum of the rest when it is positive."""
     n = clamp(n, 2, 15, 10)
-    text = df.withColumn(x, col(x).cast("string"))
+    # One row per category, used three times below: aggregate the data once.
+    text = cut_lineage(df.withColumn(x, col(x).cast("string")))
     # At most 15 rows: safe to send to every task.
     top = text.where(col(value).isNotNull()).orderBy(col(value).desc(), col(x)).limit(n)
-    few = text.groupBy().agg((F.count("*") <= n).alias("few"))
+    few = text.agg((F.count("*") <= n).alias("few"))
     rest = text.join(F.broadcast(top.select(col(x).alias("__x"))), col(x) == F.col("__x"), "left_anti")
     other = rest.agg(F.sum(col(value)).alias(value)).where(col(value) > 0)
     other = other.select(*[
@@ -291,16 +293,15 @@ def pivot_table(df: DataFrame, x: str, group: str, value: str | None = None, how
     """Wide matrix, one column per group value, empty cells 0."""
     filled = cells(df, x, group, value, how)
     values = _pivot_values(filled, group, maximum)
-    return filled.groupBy(col(x)).pivot(group, values).agg(F.first("value")).na.fill(0)
+    wide = filled.groupBy(col(x)).pivot(group, values).agg(F.first("value"))
+    return wide.na.fill(0, [c for c in wide.columns if c != x])
 
 
 def heatmap(df: DataFrame, x: str, group: str, value: str | None = None, how: str = "count") -> DataFrame:
     """Long matrix: every x with every group value, empty cells 0."""
     wide = pivot_table(df, x, group, value, how)
     names = [c for c in wide.columns if c != x]
-    # Positions as labels keep the group's own type out of the unpivot.
-    out = wide.unpivot([col(x)], [col(n) for n in names], group, "value")
-    return out
+    return wide.unpivot([col(x)], [col(n) for n in names], group, "value")
 
 
 def totals_matrix(df: DataFrame, x: str, group: str, value: str, how: str = "sum", top: int | None = None, sort_order: str = "descending") -> DataFrame:

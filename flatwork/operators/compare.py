@@ -52,15 +52,16 @@ def distribution_change(before: DataFrame, after: DataFrame, column: str, bins:
     """Counts of both tables over the same left-closed bins."""
     bins = eda.clamp(bins, 2, 100, 12)
     b, a = (d.select(num(d, column).alias("v")).where("v is not null") for d in (before, after))
-    ends = one_row(b.unionByName(a).agg(F.min("v").alias("low"), F.max("v").alias("high")))
-    pad = F.when(ends["low"] == ends["high"], 0.5).otherwise(0.0)
-    low, high = ends["low"] - pad, ends["high"] + pad
+    found = [r for r in (eda.value_range(b), eda.value_range(a)) if r]
+    low, high = min((r[0] for r in found), default=0.0), max((r[1] for r in found), default=1.0)
+    if low == high:
+        low, high = low - 0.5, high + 0.5
     number = eda.bin_number(F.col("v"), low, high, bins, closed_right=False)
     every = before.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     sides = [d.groupBy(number.alias("bin")).agg(F.count("*").alias(n)) for d, n in ((b, "count_before"), (a, "count_after"))]
     out = every.join(sides[0], "bin", "left").join(sides[1], "bin", "left").na.fill(0, ["count_before", "count_after"])
-    step = (high - low) / bins
-    return out.withColumns({"bin_start": low + (F.col("bin") - 1) * step, "bin_end": low + F.col("bin") * step})
+    step = F.lit((high - low) / bins)
+    return out.withColumns({"bin_start": F.lit(low) + (F.col("bin") - 1) * step, "bin_end": F.lit(low) + F.col("bin") * step})
 
 
 def correlation_shift(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:

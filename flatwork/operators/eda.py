@@ -28,29 +28,32 @@ def _values(df: DataFrame, column: str, *others: str) -> DataFrame:
 # ---- bins -------------------------------------------------------------------------------------
 
 
-def _settle(guess: Column, value: Column, low: Column, step: Column, closed_right: bool) -> Column:
-    """Move a computed bin number by one where rounding put the value across an edge."""
-    if closed_right:
-        return F.when(value > low + guess * step, guess + 1).when(value <= low + (guess - 1) * step, guess - 1).otherwise(guess)
-    return F.when(value >= low + guess * step, guess + 1).when(value < low + (guess - 1) * step, guess - 1).otherwise(guess)
+def bin_number(value: Column, low: float, high: float, bins: int, closed_right: bool = True) -> Column:
+    """The 1-based equal-width bin of a value; the outer edges belong to the outer bins.
 
-
-def bin_number(value: Column, low: Column, high: Column, bins, closed_right: bool = True) -> Column:
-    """The 1-based equal-width bin of a value; the outer edges belong to the outer bins."""
+    The computed number is checked against the edges, where rounding may have put it one off.
+    """
     step = (high - low) / bins
-    at = (value - low) / step
+    at = (value - F.lit(low)) / F.lit(step)
     guess = F.ceil(at) if closed_right else F.floor(at) + 1
-    number = _settle(guess, value, low, step, closed_right)
+    above, below = F.lit(low) + guess * F.lit(step), F.lit(low) + (guess - 1) * F.lit(step)
+    up, down = (value > above, value <= below) if closed_right else (value >= above, value < below)
+    number = F.when(up, guess + 1).when(down, guess - 1).otherwise(guess)
     return F.greatest(F.lit(1), F.least(F.lit(bins), number)).cast("int")
 
 
-def _range(values: DataFrame, closed_right: bool) -> tuple[Column, Column, Column]:
-    """The binned range, and whether all values are equal; then they get a small range around them."""
-    ends = one_row(values.agg(F.min("v").alias("low"), F.max("v").alias("high")))
-    low, high = ends["low"], ends["high"]
-    pad = F.when(low != 0, F.abs(low) * 0.001).otherwise(0.001) if closed_right else F.lit(0.5)
-    pad = F.when(low == high, pad).otherwise(0.0)
-    return low - pad, high + pad, low == high
+def value_range(values: DataFrame) -> tuple[float, float] | None:
+    """Smallest and largest present `v`: two numbers, from one aggregate."""
+    ends = values.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+    return None if ends["low"] is None else (float(ends["low"]), float(ends["high"]))
+
+
+def _widened(low: float, high: float, closed_right: bool) -> tuple[float, float]:
+    """A single value gets a small range around it."""
+    if low < high:
+        return low, high
+    pad = (abs(low) * 0.001 or 0.001) if closed_right else 0.5
+    return low - pad, high + pad
 
 
 def _edge_text(c: Column) -> Column:
@@ -71,20 +74,20 @@ def histogram(
     """
     bins = clamp(bins, minimum, maximum, 10)
     values = _values(df, column, *([group] if group else []))
+    found = value_range(values)
     if group:
         values = values.where(col(group).isNotNull())
-    low, high, constant = _range(_values(df, column), closed_right)
+    low, high = _widened(*(found or (0.0, 1.0)), closed_right)
     numbered = values.withColumn("bin", bin_number(F.col("v"), low, high, bins, closed_right))
     counts = numbered.groupBy("bin", *([col(group)] if group else [])).agg(F.count("*").alias("count"))
     if not group:
-        every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+        every = df.sparkSession.range(1, bins + 1 if found else 1).select(F.col("id").cast("int").alias("bin"))
         counts = every.join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-        counts = counts.where(low.isNotNull())
     step = (high - low) / bins
-    start = low + (F.col("bin") - 1) * step
-    if closed_right:
-        start = F.when((F.col("bin") == 1) & ~constant, start - (high - low) * 0.001).otherwise(start)
-    end = F.when(F.col("bin") == bins, high).otherwise(low + F.col("bin") * step)
+    start = F.lit(low) + (F.col("bin") - 1) * F.lit(step)
+    if closed_right and found and found[0] < found[1]:
+        start = F.when(F.col("bin") == 1, F.lit(low - (high - low) * 0.001)).otherwise(start)
+    end = F.when(F.col("bin") == bins, F.lit(high)).otherwise(F.lit(low) + F.col("bin") * F.lit(step))
     shown = counts.withColumns({"bin_start": start, "bin_end": end})
     label = F.concat(_edge_text(F.bround("bin_start", 3)), F.lit(" - "), _edge_text(F.bround("bin_end", 3)))
     return shown.withColumn("label", label).select("bin", "label", "count", "bin_start", "bin_end", *([col(group)] if group else []))
@@ -312,7 +315,7 @@ def qq_line(points: DataFrame) -> DataFrame:
 
 # ---- correlation ------------------------------------------------------------------------------
 
-PAIRS_IN_ONE_AGGREGATE = 66
+PAIRS_IN_ONE_AGGREGATE = 6
 
 
 def numeric_columns(df: DataFrame, limit: int | None = None) -> list[str]:

@@ -25,6 +25,11 @@ def _struct(names: Sequence[str]) -> Column:
     return F.struct(*[col(n) for n in names])
 
 
+def _sort_key(names: Sequence[str]) -> Column:
+    """One value that sorts like the columns. A plain column lets max_by run as a hash aggregate."""
+    return col(names[0]) if len(names) == 1 else _struct(names)
+
+
 def _ranges(df: DataFrame, keys: Sequence[str], rows_per_range: int) -> tuple[Column, int]:
     """The range number of each row, and how many ranges there are.
 
@@ -129,7 +134,7 @@ def _last_present(
         return filled.drop("__range", "__value")
 
     # One row per range: the partition it ends in, with the last value present there.
-    order = _struct(order_by)
+    order = _sort_key(order_by)
     pick = F.min_by if backward else F.max_by
     tails = (
         ranged.groupBy("__range", *parts)
@@ -235,9 +240,9 @@ def rolling_mean(
 
 def first_value(column: str, order_by: Sequence[str]) -> Column:
     """Aggregate: first present value in the given order."""
-    return F.min_by(col(column), F.when(col(column).isNotNull(), _struct(order_by)))
+    return F.min_by(col(column), F.when(col(column).isNotNull(), _sort_key(order_by)))
 
 
 def last_value(column: str, order_by: Sequence[str]) -> Column:
     """Aggregate: last present value in the given order."""
-    return F.max_by(col(column), F.when(col(column).isNotNull(), _struct(order_by)))
+    return F.max_by(col(column), F.when(col(column).isNotNull(), _sort_key(order_by)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flatwork.functions.coerce import col
@@ -22,20 +23,14 @@ BANDS = 1024
 SKETCH_ACCURACY = 10_000
 
 
-def _doubles(values: Sequence[float]) -> Column:
-    """A constant array; one literal, so long arrays stay cheap to plan."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
-
-
-def band_index(value: Column, cuts: Sequence[float]) -> Column:
-    """How many cuts lie below the value, by a two-level search over the sorted cuts."""
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    every, coarse = _doubles(cuts), _doubles(cuts[step - 1 :: step])
-    skipped = F.size(F.filter(coarse, lambda c: c < value)) * step
-    return skipped + F.size(F.filter(F.slice(every, skipped + 1, F.lit(step)), lambda c: c < value))
+def _bands(df: DataFrame, columns: Sequence[str], cuts: Sequence[Sequence[float]]) -> DataFrame:
+    """Add `__band_<i>` for each column: between which cuts its value lies, by binary search."""
+    infinity = float("inf")
+    splits = [[-infinity, *(sorted(set(c)) or [0.0]), infinity] for c in cuts]
+    bucketizer = Bucketizer(
+        splitsArray=splits, inputCols=list(columns), outputCols=[f"__band_{i}" for i in range(len(columns))], handleInvalid="keep"
+    )
+    return bucketizer.transform(df)
 
 
 def quantiles(
@@ -57,15 +52,18 @@ def quantiles(
 
 
 def _banded(df: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> DataFrame:
-    grid = _doubles([i / BANDS for i in range(1, BANDS)])
-    cuts = df.agg(*[F.percentile_approx(col(c), grid, SKETCH_ACCURACY).alias(c) for c in columns]).first()
+    grid = F.split(F.lit(",".join(str(i / BANDS) for i in range(1, BANDS))), ",").cast("array<double>")
+    plain = df.select(*[col(b) for b in by], *[col(c).cast("double").alias(f"__v_{i}") for i, c in enumerate(columns)])
+    values = [f"__v_{i}" for i in range(len(columns))]
+    cuts = plain.agg(*[F.percentile_approx(v, grid, SKETCH_ACCURACY).alias(v) for v in values]).first()
 
+    banded = _bands(plain, values, [cuts[v] or [] for v in values])
     cells = [
-        F.struct(F.lit(c).alias("column"), col(c).alias("v"), band_index(col(c), cuts[c] or []).alias("band"))
-        for c in columns
+        F.struct(F.lit(c).alias("column"), F.col(f"__v_{i}").alias("v"), F.col(f"__band_{i}").cast("int").alias("band"))
+        for i, c in enumerate(columns)
     ]
     long = (
-        df.select(*[col(b) for b in by], F.explode(F.array(*cells)).alias("cell"))
+        banded.select(*[col(b) for b in by], F.explode(F.array(*cells)).alias("cell"))
         .select(*[col(b) for b in by], "cell.*")
         .where(F.col("v").isNotNull())
     )

@@ -316,10 +316,16 @@ register(
 )
 register(
     "clean_action_log", "sparse",
-    lambda df: apply_actions(df, [
+    lambda df: _log_with_rows(df, [
         {"issue_code": "MISSING_VALUES", "column_name": "val", "selected_method": "drop_rows"},
         {"issue_code": "OUTLIERS_DETECTED", "column_name": "val", "selected_method": "log_transform"},
         {"issue_code": "OTHER", "column_name": "val"},
-    ])[1].select("step", "action", "column_name"),
-    """SELECT * FROM (VALUES (1, 'drop_rows', 'val'), (2, 'forward_to_feature_engineering', 'val'), (3, 'ignored_or_not_implemented', 'val')) v(step, action, column_name)""",
+    ]),
+    """SELECT v.*, count(val) AS rows_left FROM sparse, (VALUES (1, 'drop_rows', 'val'), (2, 'forward_to_feature_engineering', 'val'),
+       (3, 'ignored_or_not_implemented', 'val')) v(step, action, column_name) GROUP BY 1, 2, 3""",
 )
+
+
+def _log_with_rows(df, actions):
+    cleaned, log = apply_actions(df, actions)
+    return log.select("step", "action", "column_name", cleaned.agg(F.count("*")).scalar().alias("rows_left"))

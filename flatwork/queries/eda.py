@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flatwork.operators import compare as C
 from flatwork.operators import dashboard as D
 from flatwork.operators import eda as E
+from flatwork.operators.profile import missing_counts
 from flatwork.plans.charts import chart, required_columns
 from flatwork.plans.preprocessing import contract, replay
 from flatwork.queries.registry import register
@@ -329,11 +330,12 @@ register(
     "SELECT location, max(val) AS value FROM geo GROUP BY 1",
 )
 register(
-    "request_columns", "orders",
-    lambda df: df.sparkSession.createDataFrame([(c,) for c in required_columns({
-        "chart_type": "bar", "x_column": "o_orderstatus", "y_column": "net", "filters": [{"column": "o_custkey", "operator": "not_null"}],
-        "calculated_fields": [{"field_name": "net", "expression": "o_totalprice * 2"}]}, df.columns)], "column_name string"),
-    "SELECT column_name FROM (DESCRIBE orders) WHERE column_name IN ('o_orderstatus', 'o_custkey', 'o_totalprice')",
+    "request_columns", "sparse",
+    lambda df: missing_counts(df.select(*required_columns({
+        "chart_type": "bar", "x_column": "grp", "y_column": "net", "filters": [{"column": "ts", "operator": "not_null"}],
+        "calculated_fields": [{"field_name": "net", "expression": "val * 2"}]}, df.columns))).select("column_name", "missing_count"),
+    """SELECT 'ts' AS column_name, count(*) - count(ts) AS missing_count FROM sparse UNION ALL SELECT 'grp', count(*) - count(grp) FROM sparse
+       UNION ALL SELECT 'val', count(*) - count(val) FROM sparse""",
 )
 PLAN = [
     {"column": "grp", "impute": "missing_category"},
@@ -347,6 +349,9 @@ register(
        round(ln(coalesce(val, (SELECT quantile_cont(val, 0.5) FROM sparse))), 6) AS val_log FROM sparse""",
 )
 register(
-    "plan_contract", "orders", lambda df: contract(df, [*PLAN, {"column": "o_custkey", "impute": "fill_zero"}]),
-    """SELECT c AS column_name, c IN (SELECT column_name FROM (DESCRIBE orders)) AS present FROM (VALUES ('grp'), ('val'), ('o_custkey')) v(c)""",
+    "plan_contract", "sparse",
+    lambda df: contract(df, [*PLAN, {"column": "o_custkey", "impute": "fill_zero"}]).join(missing_counts(df), "column_name", "left")
+    .select("column_name", "present", "missing_count"),
+    """SELECT 'grp' AS column_name, true AS present, count(*) - count(grp) AS missing_count FROM sparse UNION ALL
+       SELECT 'val', true, count(*) - count(val) FROM sparse UNION ALL SELECT 'o_custkey', false, NULL""",
 )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from flatwork.functions import coerce as C
 from flatwork.operators import projection as P
+from flatwork.operators.profile import missing_counts
 from flatwork.queries.filters import NUM
 from flatwork.queries.registry import register
 
@@ -111,10 +112,12 @@ register(
 )
 register(
     "schema_contract",
-    "orders",
-    lambda df: P.contract_report(df, ["o_orderkey", "o_totalprice", "missing_feature"]),
-    """SELECT c AS column_name, c IN (SELECT column_name FROM (DESCRIBE orders)) AS present
-       FROM (VALUES ('o_orderkey'), ('o_totalprice'), ('missing_feature')) v(c)""",
+    "sparse",
+    lambda df: P.contract_report(df, ["id", "val", "missing_feature"])
+    .join(missing_counts(df), "column_name", "left")
+    .select("column_name", "present", "missing_count"),
+    """SELECT 'id' AS column_name, true AS present, count(*) - count(id) AS missing_count FROM sparse UNION ALL
+       SELECT 'val', true, count(*) - count(val) FROM sparse UNION ALL SELECT 'missing_feature', false, NULL""",
 )
 register(
     "distinct_rows",

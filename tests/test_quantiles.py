@@ -2,8 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from flatwork.operators.quantiles import band_index, modes, quantiles
-from pyspark.sql import functions as F
+from flatwork.operators.quantiles import modes, quantiles
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
 
@@ -35,13 +34,12 @@ def test_banded_groups_keep_the_null_group(spark, frame):
         np.testing.assert_allclose(r["q_v"], part.dropna().quantile(PROBS), rtol=1e-12)
 
 
-def test_band_index_counts_cuts_below(spark):
-    cuts = [1.0, 2.0, 3.0, 5.0, 8.0, 13.0, 21.0]
-    rows = spark.createDataFrame([(float(i) / 2,) for i in range(50)], "v double")
-    for r in rows.select("v", band_index(F.col("v"), cuts).alias("b")).collect():
-        assert r["b"] == sum(c < r["v"] for c in cuts)
-
-
 def test_mode_takes_the_smallest_of_ties(spark):
     rows = spark.createDataFrame([("x", 3), ("x", 2), ("x", 3), ("x", 2), ("y", None)], "g string, v int")
     assert [tuple(r) for r in modes(rows, "v", ["g"]).collect()] == [("x", 2, 2)]
+
+
+def test_one_value_and_no_value(spark):
+    rows = spark.createDataFrame([(7.0, None)] * 40, "v double, w double")
+    got = quantiles(rows, ["v", "w"], [0.1, 0.9], small_rows=0).first()
+    assert got["q_v"] == [7.0, 7.0] and got["q_w"] == [None, None]
