@@ -76,6 +76,13 @@ def ts(df: DataFrame, name: str) -> Column:
     return temporal(col(name), column_type(df, name))
 
 
+def present(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows where none of the named columns is missing."""
+    for n in names:
+        df = df.where(col(n).isNotNull())
+    return df
+
+
 def text(df: DataFrame, name: str) -> Column:
     return col(name).cast("string")
 

@@ -293,8 +293,8 @@ def pivot_table(df: DataFrame, x: str, group: str, value: str | None = None, how
     """Wide matrix, one column per group value, empty cells 0."""
     filled = cells(df, x, group, value, how)
     values = _pivot_values(filled, group, maximum)
-    wide = filled.groupBy(col(x)).pivot(group, values).agg(F.first("value"))
-    return wide.na.fill(0, [c for c in wide.columns if c != x])
+    wide = filled.withColumnRenamed(group, "__group").groupBy(col(x)).pivot("__group", values).agg(F.first("value"))
+    return wide.select(col(x), *[F.coalesce(col(c), F.lit(0)).alias(c) for c in wide.columns if c != x])
 
 
 def heatmap(df: DataFrame, x: str, group: str, value: str | None = None, how: str = "count") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from flatwork.functions.coerce import col, column_type, is_numeric, num
+from flatwork.functions.coerce import col, column_type, is_numeric, num, present
 from flatwork.operators import ordered
 from flatwork.operators.features import rare_grouping
 from flatwork.operators.joins import measured, one_row
@@ -169,7 +169,7 @@ def impute(
         case "rolling_mean_imputation":
             return fill_rolling_mean(df, column, _order(order_by, time_column, method), params.get("window", 3))
         case "drop_rows":
-            return df.dropna(subset=[column])
+            return present(df, [column])
         case "drop_column":
             return df.drop(col(column))
         case "missing_indicator":

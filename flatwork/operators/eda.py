@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from flatwork.functions.coerce import col, column_type, is_numeric, num
+from flatwork.functions.coerce import col, column_type, is_numeric, num, present
 from flatwork.functions.stats import moments, safe_correlation, share
 from flatwork.operators.aggregate import top_n
 from flatwork.operators.ordered import with_position
@@ -21,8 +21,18 @@ from flatwork.operators.quantiles import quantile_scalars, quantiles
 MISSING = "[missing]"
 
 
-def _values(df: DataFrame, column: str, *others: str) -> DataFrame:
-    return df.select(num(df, column).alias("v"), *[col(c) for c in others]).where("v is not null")
+GROUP = "__group"
+
+
+def _values(df: DataFrame, column: str, group: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """The present numbers of a column as `v`, with the group and the keys under neutral names."""
+    kept = [col(group).alias(GROUP)] if group else []
+    kept += [col(k).alias(f"__key_{i}") for i, k in enumerate(keys)]
+    return df.select(num(df, column).alias("v"), *kept).where("v is not null")
+
+
+def _keys(n: Sequence[str]) -> list[Column]:
+    return [F.col(f"__key_{i}") for i in range(len(n))]
 
 
 # ---- bins -------------------------------------------------------------------------------------
@@ -73,13 +83,14 @@ def histogram(
     on the left, the last bin includes the largest. Empty bins appear only without a group.
     """
     bins = clamp(bins, minimum, maximum, 10)
-    values = _values(df, column, *([group] if group else []))
+    by = [GROUP] if group else []
+    values = _values(df, column, group)
     found = value_range(values)
     if group:
-        values = values.where(col(group).isNotNull())
+        values = values.where(F.col(GROUP).isNotNull())
     low, high = _widened(*(found or (0.0, 1.0)), closed_right)
     numbered = values.withColumn("bin", bin_number(F.col("v"), low, high, bins, closed_right))
-    counts = numbered.groupBy("bin", *([col(group)] if group else [])).agg(F.count("*").alias("count"))
+    counts = numbered.groupBy("bin", *by).agg(F.count("*").alias("count"))
     if not group:
         every = df.sparkSession.range(1, bins + 1 if found else 1).select(F.col("id").cast("int").alias("bin"))
         counts = every.join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
@@ -90,7 +101,8 @@ def histogram(
     end = F.when(F.col("bin") == bins, F.lit(high)).otherwise(F.lit(low) + F.col("bin") * F.lit(step))
     shown = counts.withColumns({"bin_start": start, "bin_end": end})
     label = F.concat(_edge_text(F.bround("bin_start", 3)), F.lit(" - "), _edge_text(F.bround("bin_end", 3)))
-    return shown.withColumn("label", label).select("bin", "label", "count", "bin_start", "bin_end", *([col(group)] if group else []))
+    out = shown.withColumn("label", label).select("bin", "label", "count", "bin_start", "bin_end", *by)
+    return out.withColumnRenamed(GROUP, group) if group else out
 
 
 def automatic_bins(df: DataFrame, column: str) -> int:
@@ -158,58 +170,60 @@ def quick_table(df: DataFrame, column: str) -> DataFrame:
 # ---- boxes ------------------------------------------------------------------------------------
 
 
-def _top_categories(df: DataFrame, group: str, n: int) -> DataFrame:
-    """The n categories with most rows (at most 100)."""
-    counts = df.where(col(group).isNotNull()).groupBy(col(group)).agg(F.count("*").alias("__rows"))
-    return top_n(counts, "__rows", n, [group]).select(col(group).alias("__g"))
+def _in_top(values: DataFrame, n: int) -> DataFrame:
+    """Rows of the n groups (at most 100) that have most rows."""
+    grouped = values.where(F.col(GROUP).isNotNull())
+    counts = grouped.groupBy(GROUP).agg(F.count("*").alias("__rows"))
+    best = top_n(counts, "__rows", n, [GROUP]).select(F.col(GROUP).alias("__g"))
+    # At most 100 rows: safe to send to every task.
+    return grouped.join(F.broadcast(best), F.col(GROUP) == F.col("__g"), "left_semi")
 
 
-def _in_top(values: DataFrame, group: str, n: int) -> DataFrame:
-    # At most 100 categories: safe to send to every task.
-    return values.join(F.broadcast(_top_categories(values, group, n)), col(group) == F.col("__g"), "left_semi")
-
-
-def box_chart(df: DataFrame, column: str, group: str | None = None, top=30) -> DataFrame:
-    """min, q1, median, q3, max, mean, count of a column, whole or per category."""
-    by = [group] if group else []
-    values = _values(df, column, *by)
-    if group:
-        values = _in_top(values, group, clamp(top, 1, 100, 30))
-    keys = [col(b) for b in by]
-    figures = values.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.count("*").alias("count"))
-    middle = quantiles(values, ["v"], [0.25, 0.5, 0.75], by).select(
-        *keys, *[F.get("q_v", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
+def _boxes(values: DataFrame, by: list[str]) -> DataFrame:
+    figures = values.groupBy(*by).agg(
+        F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.count("*").alias("count")
     )
-    if group:
+    names = ("q1", "median", "q3")
+    middle = quantiles(values, ["v"], [0.25, 0.5, 0.75], by).select(*by, *[F.get("q_v", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    if by:
         joined = join_on(figures, middle, by)
     else:
         quartiles = one_row(middle)
-        joined = figures.withColumns({n: quartiles[n] for n in ("q1", "median", "q3")}).withColumn("category", F.lit(column))
-        keys = [F.col("category")]
-    return joined.select(*keys, "min", "q1", "median", "q3", "max", "mean", "count")
+        joined = figures.withColumns({n: quartiles[n] for n in names})
+    return joined.select(*by, "min", "q1", "median", "q3", "max", "mean", "count")
+
+
+def box_chart(df: DataFrame, column: str, group: str | None = None, top=30) -> DataFrame:
+    """min, q1, median, q3, max, mean, count of a column, whole or per category."""
+    values = _values(df, column, group)
+    if not group:
+        boxes = _boxes(values, [])
+        return boxes.select(F.lit(column).alias("category"), *boxes.columns)
+    return _boxes(_in_top(values, clamp(top, 1, 100, 30)), [GROUP]).withColumnRenamed(GROUP, group)
 
 
 def box_whiskers(df: DataFrame, column: str, group: str, order_by: Sequence[str], top=30, keep: int = 200) -> DataFrame:
     """Box figures with whiskers inside the fences, outlier count and the first outliers in row order."""
-    boxes = box_chart(df, column, group, top)
+    values = _in_top(_values(df, column, group, order_by), clamp(top, 1, 100, 30))
+    boxes = _boxes(values, [GROUP])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = boxes.select(col(group).alias("__g"), (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    values = _values(df, column, group, *[c for c in order_by if c != group])
+    fences = boxes.select(F.col(GROUP).alias("__g"), (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
     # At most 100 categories.
-    marked = values.join(F.broadcast(fences), col(group) == F.col("__g")).drop("__g")
+    marked = values.join(F.broadcast(fences), F.col(GROUP) == F.col("__g")).drop("__g")
     inside = F.col("v").between(F.col("low"), F.col("high"))
-    ends = marked.groupBy(col(group)).agg(
+    ends = marked.groupBy(GROUP).agg(
         F.min(F.when(inside, F.col("v"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("v"))).alias("upper_whisker"),
         F.count_if(~inside).alias("outlier_count"),
     )
-    order = W.partitionBy(col(group)).orderBy(*[col(c) for c in order_by])
+    order = W.partitionBy(GROUP).orderBy(*_keys(order_by))
     first = marked.where(~inside).withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= keep)
-    listed = first.groupBy(col(group)).agg(
+    listed = first.groupBy(GROUP).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__at", "v"))), lambda s: s["v"]).alias("outliers")
     )
-    joined = join_on(join_on(boxes, ends, [group]), listed, [group], "left")
-    return joined.withColumn("outliers", F.coalesce("outliers", F.array().cast("array<double>")))
+    joined = join_on(join_on(boxes, ends, [GROUP]), listed, [GROUP], "left")
+    filled = joined.withColumn("outliers", F.coalesce("outliers", F.array().cast("array<double>")))
+    return filled.withColumnRenamed(GROUP, group)
 
 
 def box_by_median(df: DataFrame, column: str, group: str, top: int = 30) -> DataFrame:
@@ -219,11 +233,11 @@ def box_by_median(df: DataFrame, column: str, group: str, top: int = 30) -> Data
 
 def box_summary(df: DataFrame, column: str, order_by: Sequence[str] = (), keep: int = 20) -> DataFrame:
     """One row: quartiles, fences, outlier count and the first outliers."""
-    values = _values(df, column, *order_by)
+    values = _values(df, column, keys=order_by)
     q1, median, q3 = quantile_scalars(values.select("v"), ["v"], [0.25, 0.5, 0.75])["v"]
     reach = 1.5 * (q3 - q1)
     marked = values.withColumn("__out", (F.col("v") < q1 - reach) | (F.col("v") > q3 + reach))
-    first = marked.where("__out").orderBy(*([col(c) for c in order_by] or [F.col("v")])).limit(keep).select("v")
+    first = marked.where("__out").orderBy(*(_keys(order_by) or [F.col("v")])).limit(keep).select("v")
     listed = first.agg(F.array_sort(F.collect_list(F.bround("v", 4))).alias("a")).scalar()
     return marked.agg(
         F.bround(F.min("v"), 4).alias("min"), F.bround(F.max("v"), 4).alias("max"), F.count_if("__out").alias("outlier_count")
@@ -244,18 +258,17 @@ def density(df: DataFrame, column: str, group: str | None = None, points: int =
     Every row meets the grid inside its own task and only the sums of the grid points travel. A
     group without spread has no density.
     """
-    by = [group] if group else []
-    values = _values(df, column, *by)
+    by = [GROUP] if group else []
+    values = _values(df, column, group)
     if group:
-        values = _in_top(values, group, clamp(top, 1, 100, 30))
-    keys = [col(b) for b in by]
-    stats = values.groupBy(*keys).agg(
+        values = _in_top(values, clamp(top, 1, 100, 30))
+    stats = values.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_samp("v").alias("s")
     ).where("s > 0")
     stats = stats.withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2))).drop("s")
     if group:
         # At most 100 categories.
-        joined = values.join(F.broadcast(stats.withColumnRenamed(group, "__g")), col(group) == F.col("__g")).drop("__g")
+        joined = values.join(F.broadcast(stats.withColumnRenamed(GROUP, "__g")), F.col(GROUP) == F.col("__g")).drop("__g")
     else:
         facts = one_row(stats)
         joined = values.withColumns({n: facts[n] for n in ("n", "low", "high", "h")}).where("h is not null")
@@ -263,7 +276,8 @@ def density(df: DataFrame, column: str, group: str | None = None, points: int =
     spread = joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
     z = (F.col("x") - F.col("v")) / F.col("h")
     kernel = F.sum(F.exp(-0.5 * z * z)) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))
-    return spread.groupBy(*keys, "point").agg(F.first("x").alias("x"), kernel.alias("density"))
+    out = spread.groupBy(*by, "point").agg(F.first("x").alias("x"), kernel.alias("density"))
+    return out.withColumnRenamed(GROUP, group) if group else out
 
 
 def distribution_summary(df: DataFrame, column: str) -> DataFrame:
@@ -291,8 +305,9 @@ def normal_quantile(p: pd.Series) -> pd.Series:
 
 def qq_points(df: DataFrame, column: str, key: Sequence[str], rows_per_range: int = 1_000_000) -> DataFrame:
     """Ordered values against normal quantiles. `key` breaks ties, so equal values spread over ranges."""
-    values = _values(df, column, *key)
-    placed = with_position(values, ["v", *key], out="i", rows_per_range=rows_per_range)
+    values = _values(df, column, keys=key)
+    order = ["v", *[f"__key_{i}" for i in range(len(key))]]
+    placed = with_position(values, order, out="i", rows_per_range=rows_per_range)
     n = values.agg(F.count("*")).scalar().cast("double")
     edge = F.pow(F.lit(0.5), 1.0 / n)
     i = F.col("i") + 1
@@ -426,7 +441,8 @@ def pair_matrix(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None
     names = list(columns or numeric_columns(df))[:6]
     if len(names) < 2:
         raise ValueError("A pair matrix needs at least two numeric columns.")
-    rows = df.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(key)], *[num(df, c).alias(c) for c in names]).dropna(subset=names)
+    rows = df.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(key)], *[num(df, c).alias(c) for c in names])
+    rows = present(rows, names)
     rows = sample_rows(rows, sample, [f"__k{i}" for i in range(len(key))])
     cells = [
         F.struct(F.lit(a).alias("x_column"), F.lit(b).alias("y_column"), col(a).alias("x"), col(b).alias("y"))

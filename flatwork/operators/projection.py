@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from flatwork.functions.coerce import col, num, report_safe
+from flatwork.functions.coerce import col, num, present, report_safe
 
 # Column names whose sample values are hidden.
 SENSITIVE_NAME = (
@@ -75,7 +75,7 @@ def table_chart(df: DataFrame, columns=None, limit=50, order_by: Sequence[str] =
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=known_columns(df, columns))
+    return present(df, known_columns(df, columns))
 
 
 def sample_order(key: Sequence[str]) -> Column:
@@ -106,14 +106,14 @@ def scatter(
         raise ValueError("A bubble chart needs a size column.")
     names = list(dict.fromkeys(c for c in (x, y, size) if c))
     ordered = df.withColumn("__order", sample_order(key))
-    points = ordered.withColumns({n: num(df, n) for n in names}).dropna(subset=[x, y])
+    points = present(ordered.withColumns({n: num(df, n) for n in names}), [x, y])
     shown = list(dict.fromkeys([*names, *([color] if color else [])]))
     return points.orderBy("__order").limit(clamp(limit, 1, maximum, 500)).select(*[col(c) for c in shown])
 
 
 def first_points(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], limit=1000, maximum: int = 5000, numeric=()) -> DataFrame:
     """The first rows in order where every numeric column is present."""
-    points = df.withColumns({n: num(df, n) for n in numeric}).dropna(subset=list(numeric))
+    points = present(df.withColumns({n: num(df, n) for n in numeric}), list(numeric))
     ordered = points.orderBy(*[col(c) for c in order_by])
     return ordered.limit(clamp(limit, 1, maximum, 1000)).select(*[col(c) for c in columns])
 

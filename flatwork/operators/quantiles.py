@@ -48,7 +48,13 @@ def quantiles(
     if df.count() <= small_rows:
         aggs = [F.percentile(col(c), F.array(*[F.lit(p) for p in probs])).alias(f"q_{c}") for c in columns]
         return df.groupBy(*[col(b) for b in by]).agg(*aggs)
-    return _banded(df, list(columns), probs, list(by))
+    # Grouping columns get neutral names inside, so no name of a table can clash.
+    inner = {f"__by_{i}": b for i, b in enumerate(by)}
+    named = df.select(*[col(b).alias(k) for k, b in inner.items()], *[col(c).alias(f"__c_{i}") for i, c in enumerate(columns)])
+    out = _banded(named, [f"__c_{i}" for i in range(len(columns))], probs, list(inner))
+    return out.select(
+        *[F.col(k).alias(b) for k, b in inner.items()], *[F.col(f"q___c_{i}").alias(f"q_{c}") for i, c in enumerate(columns)]
+    )
 
 
 def _banded(df: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> DataFrame:

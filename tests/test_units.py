@@ -10,6 +10,7 @@ from flatwork.operators import eda, features, filters
 from flatwork.operators import profile as P
 from flatwork.operators import projection as J
 from flatwork.operators.cleaning import impute, outliers, report
+from flatwork.operators.quantiles import quantiles
 from flatwork.plans import charts
 from flatwork.sources import readers, versions
 
@@ -246,3 +247,23 @@ def test_versions(spark, tmp_path):
     assert versions.version_preview(spark, base, 1, ["id"]).count() == 2
     with pytest.raises(ValueError):
         versions.load_version(spark, base, 99)
+
+
+def test_any_column_name_works(spark):
+    rows = [("a", float(i % 7), i, "x" if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "`n` string, `v` double, `Unit.Price` int, `a b` string")
+    assert eda.histogram(df, "v", 3, "n").count() == 3
+    assert eda.box_chart(df, "Unit.Price", "n").first()["count"] == 60
+    assert eda.box_whiskers(df, "v", "a b", ["Unit.Price"]).first()["a b"] == "x"
+    assert eda.density(df, "v", "n").count() == 200
+    assert eda.qq_points(df, "v", ["Unit.Price"]).count() == 60
+    assert eda.correlation(df, ["v", "Unit.Price"]).count() == 4
+    assert A.pivot_table(df.withColumn("k.1", F.lit("p.q")), "n", "k.1").columns == ["n", "p.q"]
+    assert J.scatter(df, "v", "Unit.Price", ["Unit.Price"], limit=5).count() == 5
+    assert P.profile(df).count() == 4 and report.recommendations(df).count() > 0
+    assert impute.impute(df, "a b", "group_mode_imputation", group_column="n").where("`a b` is null").count() == 0
+    assert outliers.handle_outliers(df, "Unit.Price", "winsorization").count() == 60
+    assert calc.calculated_fields(df, [{"field_name": "twice", "expression": "Unit.Price * 2"}]).where("twice = 118").count() == 1
+    for small in (10**6, 0):
+        got = quantiles(df.withColumnRenamed("a b", "band"), ["Unit.Price"], [0.5], ["n", "band"], small_rows=small)
+        assert {tuple(r) for r in got.select("n", "band").collect()} == {("a", "x"), ("a", None)}
