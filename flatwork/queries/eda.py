@@ -109,10 +109,10 @@ register(
 )
 register(
     "box_summary", "outliers",
-    lambda df: E.box_summary(df, "val", ["id"]).select("min", "q1", "median", "q3", "max", "iqr", "lower_fence", "upper_fence", "outlier_count", F.size("outlier_sample").alias("shown")),
+    lambda df: E.box_summary(df, "val", ["id"]).select("min", "q1", "median", "q3", "max", "iqr", "outlier_count", F.size("outlier_sample").alias("shown")),
     """WITH q AS (SELECT quantile_cont(val, 0.25) AS a, quantile_cont(val, 0.5) AS m, quantile_cont(val, 0.75) AS b FROM outliers)
        SELECT round_even(min(val), 4) AS min, round_even(a, 4) AS q1, round_even(m, 4) AS median, round_even(b, 4) AS q3, round_even(max(val), 4) AS max,
-       round_even(b - a, 4) AS iqr, round_even(a - 1.5 * (b - a), 4) AS lower_fence, round_even(b + 1.5 * (b - a), 4) AS upper_fence,
+       round_even(b - a, 4) AS iqr,
        count(*) FILTER (val < a - 1.5 * (b - a) OR val > b + 1.5 * (b - a)) AS outlier_count,
        CAST(least(20, count(*) FILTER (val < a - 1.5 * (b - a) OR val > b + 1.5 * (b - a))) AS INTEGER) AS shown FROM outliers, q GROUP BY a, m, b""",
 )

@@ -178,12 +178,14 @@ register(
     "semantic_schema",
     "orders",
     lambda df: P.semantic_schema(df, ["o_orderkey"]).select("column_name", "raw_type", "raw_confidence", "semantic_type", "advice", "confidence"),
-    """WITH u AS (SELECT count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p, count(DISTINCT o_custkey) AS c, count(*) AS n FROM orders)
+    """WITH u AS (SELECT count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p, count(DISTINCT o_custkey) AS c,
+         count(DISTINCT o_totalprice) = count(*) AS every FROM orders)
        SELECT column_name, raw_type, CAST(rc AS DOUBLE) AS raw_confidence, semantic_type, advice, confidence FROM (
        SELECT 'o_orderkey' AS column_name, 'identifier' AS raw_type, 0.98 AS rc, 'Identifier' AS semantic_type, 'ignore_for_ml' AS advice, 98 AS confidence UNION ALL
        SELECT 'o_custkey', 'integer', 0.86, 'Continuous Numeric', 'keep_numeric_scale_if_needed', 90 FROM u WHERE c > 20 UNION ALL
        SELECT 'o_orderstatus', 'string', 0.75, 'Categorical', 'onehot_encode', 90 FROM u WHERE s BETWEEN 3 AND 10 UNION ALL
-       SELECT 'o_totalprice', 'currency', 0.92, 'Currency / Amount', 'numeric_scale_review', 92 UNION ALL
+       SELECT 'o_totalprice', 'currency', 0.92, CASE WHEN every THEN 'Identifier' ELSE 'Currency / Amount' END,
+         CASE WHEN every THEN 'ignore_for_ml' ELSE 'numeric_scale_review' END, CASE WHEN every THEN 98 ELSE 92 END FROM u UNION ALL
        SELECT 'o_orderdate', 'date', 0.95, 'Datetime', 'extract_datetime_features', 94 UNION ALL
        SELECT 'o_orderpriority', 'string', 0.75, 'Categorical', 'onehot_encode', 90 FROM u WHERE p BETWEEN 3 AND 10)""",
 )
@@ -198,12 +200,12 @@ register(
 )
 register(
     "recommended_graphs",
-    "events",
-    lambda df: P.recommended_graphs(P.profile(df), "event_type"),
-    """SELECT * FROM (VALUES ('histogram', 'user_id', NULL, 'high'), ('boxplot', NULL, 'user_id', 'high'), ('qq_plot', 'user_id', NULL, 'medium'),
-       ('histogram', 'value', NULL, 'high'), ('boxplot', NULL, 'value', 'high'), ('qq_plot', 'value', NULL, 'medium'), ('correlation_heatmap', NULL, NULL, 'high'),
-       ('countplot', 'event_type', NULL, 'medium'), ('countplot', 'props', NULL, 'medium'), ('skewness_kurtosis_table', NULL, NULL, 'medium'),
-       ('target_balance', 'event_type', NULL, 'high')) v(chart_type, x_column, y_column, priority)""",
+    "outliers",
+    lambda df: P.recommended_graphs(P.profile(df)),
+    f"""WITH s AS ({_union('outliers', _basic)}), d AS (SELECT column_name AS c FROM s WHERE {TYPE_SQL} = 'numeric')
+    SELECT 'histogram' AS chart_type, c AS x_column, NULL AS y_column, 'high' AS priority FROM d UNION ALL SELECT 'boxplot', NULL, c, 'high' FROM d
+    UNION ALL SELECT 'qq_plot', c, NULL, 'medium' FROM d UNION ALL SELECT 'skewness_kurtosis_table', NULL, NULL, 'medium' FROM d HAVING count(*) > 0
+    UNION ALL SELECT 'correlation_heatmap', NULL, NULL, 'high' FROM d HAVING count(*) > 1""",
 )
 register(
     "recommended_charts",
