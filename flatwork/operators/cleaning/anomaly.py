@@ -113,6 +113,16 @@ def _random_tree(x: np.ndarray, seed: int) -> list[tuple]:
     return nodes
 
 
+def _tree_arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Feature, cut, children and path length per node; a leaf leads to itself, so no step needs a test."""
+    feature, own = nodes["feature"].to_numpy(), np.arange(len(nodes))
+    leaf = feature < 0
+    child = np.empty(2 * len(nodes), dtype=np.int64)
+    child[0::2] = np.where(leaf, own, nodes["left_node"].to_numpy())
+    child[1::2] = np.where(leaf, own, nodes["right_node"].to_numpy())
+    return np.where(leaf, 0, feature), nodes["cut"].to_numpy(), child, nodes["path"].to_numpy()
+
+
 def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float = 0.05, trees: int = TREES) -> DataFrame:
     """Isolation forest: 100 trees of 256 rows each, grown in parallel, scored in Arrow batches.
 
@@ -122,9 +132,6 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float
     work = df.withColumns(dict(zip(names, filled_columns(df, columns))))
     n = work.count()
     pool_size = trees * TREE_ROWS
-    pool = work.select(*names)
-    if n > pool_size:
-        pool = pool.sample(min(1.0, 1.1 * pool_size / n), seed=42).limit(2 * pool_size)
     rows_per_tree = min(TREE_ROWS, n)
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -135,28 +142,31 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float
 
     from pyspark.sql import Window as W
 
-    draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("__r", F.rand(42))
-    first = W.partitionBy("tree").orderBy("__r")
-    draws = draws.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= rows_per_tree).drop("__at")
+    rows = work.select(*names)
+    if n > 2 * pool_size:
+        # A big table gives every tree rows of its own, out of a sample of bounded size.
+        rows = rows.sample(min(1.0, 1.2 * pool_size / n), seed=42).limit(2 * pool_size).withColumn("__r", F.rand(42))
+        placed = rows.withColumn("__at", F.row_number().over(W.orderBy("__r")) - 1)
+        draws = placed.withColumn("tree", F.pmod("__at", F.lit(trees)).cast("int")).drop("__at")
+    else:
+        # A small one is drawn from once per tree.
+        draws = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("__r", F.rand(42))
+        first = W.partitionBy("tree").orderBy("__r")
+        draws = draws.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= rows_per_tree).drop("__at")
     schema = "feature int, cut double, left_node int, right_node int, path double, tree int, node int"
     grown = draws.groupBy("tree").applyInPandas(grow, schema).toPandas().sort_values(["tree", "node"])
-    forest = [tuple(g[c].to_numpy() for c in ("feature", "cut", "left_node", "right_node", "path")) for _, g in grown.groupby("tree")]
+    forest = [_tree_arrays(g) for _, g in grown.groupby("tree")]
+    depth_limit = math.ceil(math.log2(max(rows_per_tree, 2)))
     scale = max(float(average_path(rows_per_tree)), 1e-12)
 
     @F.pandas_udf("double")
     def score(*values: pd.Series) -> pd.Series:
         x = np.column_stack([v.to_numpy(dtype=float) for v in values])
-        depth = np.zeros(len(x))
-        every = np.arange(len(x))
-        for feature, cut, left, right, path in forest:
-            node = np.zeros(len(x), dtype=int)
-            while True:
-                inner = feature[node] >= 0
-                if not inner.any():
-                    break
-                at = node[inner]
-                goes_left = x[every[inner], feature[at]] <= cut[at]
-                node[inner] = np.where(goes_left, left[at], right[at])
+        cells, first, depth = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+        for feature, cut, child, path in forest:
+            node = np.zeros(len(x), dtype=np.int64)
+            for _ in range(depth_limit):
+                node = child[2 * node + (cells[first + feature[node]] > cut[node])]
             depth += path[node]
         return pd.Series(-(2.0 ** (-depth / len(forest) / scale)))
 
