@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flatwork.llm import bpe, huffman, packing, simhash, token_counts
+from flatwork.llm import bpe, huffman, packing, simhash, suffixes, token_counts
 from flatwork.llm.tokens import default_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -42,12 +42,17 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(_read(spark, sf_dir, "documents"), length=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), words=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_huffman_token_files, op5_best_fit_packing, op6_token_counts, op7_bpe_codec, op9_simhash_near_dedup)
+    f.__name__: f for f in (op3_huffman_token_files, op5_best_fit_packing, op6_token_counts, op7_bpe_codec, op8_suffix_dedup, op9_simhash_near_dedup)
 }
 ORACLES: dict[str, str] = {}
