@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flatwork.llm import bpe, huffman, packing, simhash, suffixes, token_counts
+from flatwork.llm import bpe, huffman, packing, pii, simhash, suffixes, token_counts
 from flatwork.llm.tokens import default_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -21,6 +21,16 @@ def op3_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[pii.count(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.written(F.col("spans"), base_only=True), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_read(spark, sf_dir, "documents"), default_path(BYTES), end_id=0)
     cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -53,6 +63,6 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_huffman_token_files, op5_best_fit_packing, op6_token_counts, op7_bpe_codec, op8_suffix_dedup, op9_simhash_near_dedup)
+    f.__name__: f for f in (op3_huffman_token_files, op4_pii, op5_best_fit_packing, op6_token_counts, op7_bpe_codec, op8_suffix_dedup, op9_simhash_near_dedup)
 }
 ORACLES: dict[str, str] = {}
