@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flatwork.llm import bpe, huffman, packing, pii, simhash, suffixes, token_counts
+from flatwork.llm import bpe, huffman, lattice, packing, pii, simhash, suffixes, token_counts, vptree
 from flatwork.llm.tokens import default_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -16,6 +16,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op2_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = huffman.round_trip(_read(spark, sf_dir, "documents"), default_path(WORDS), end_id=1)
     return files.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -63,6 +71,17 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_huffman_token_files, op4_pii, op5_best_fit_packing, op6_token_counts, op7_bpe_codec, op8_suffix_dedup, op9_simhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_lattice_near_dedup,
+        op2_vantage_point_search,
+        op3_huffman_token_files,
+        op4_pii,
+        op5_best_fit_packing,
+        op6_token_counts,
+        op7_bpe_codec,
+        op8_suffix_dedup,
+        op9_simhash_near_dedup,
+    )
 }
 ORACLES: dict[str, str] = {}
