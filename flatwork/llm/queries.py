@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flatwork.llm import bpe, huffman, lattice, packing, pii, simhash, suffixes, token_counts, vptree
+from flatwork.llm import bpe, huffman, langid, lattice, packing, pii, simhash, suffixes, token_counts, vptree
 from flatwork.llm.tokens import default_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -70,6 +70,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(_read(spark, sf_dir, "documents"))
+    return langid.identify_pages(_read(spark, sf_dir, "pages"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_bpe_codec,
         op8_suffix_dedup,
         op9_simhash_near_dedup,
+        op10_language_id,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -244,20 +244,25 @@ def _window_hashes(length: int):
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, as_text: bool):
+    """What is left of a text and its figures. As text, each kept run is decoded for itself and a letter that a
+    cut has halved is dropped; as bytes, the runs are joined as they are."""
+
     def run(spans: pa.Array, texts: pa.Array) -> pa.Array:
-        rows = []
-        for found, text in zip(spans.to_pylist(), text_bytes(texts)):
-            if not found:
-                rows.append({"kept": text, "n_bytes": len(text), "n_removed": 0, "n_spans": 0})
+        kept, figures = [], []
+        for found, text in zip(spans, text_bytes(texts)):
+            if not found.is_valid:
+                kept.append(text.decode() if as_text else text)
+                figures.append((len(text), 0, 0))
                 continue
-            edge = np.zeros(len(text) + 1, np.int64)
-            np.add.at(edge, [f["first"] for f in found], 1)
-            np.add.at(edge, [f["last"] + length for f in found], -1)
+            first, last = (found.values.field(i).to_numpy() for i in (0, 1))
+            edge = np.bincount(first, minlength=len(text) + 1) - np.bincount(last + length, minlength=len(text) + 1)
             gone = np.cumsum(edge)[:-1] > 0
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            rows.append({"kept": kept, "n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": len(_runs(gone)[0])})
-        return pa.array(rows, pa.struct([("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]))
+            runs = [text[a:b] for a, b in zip(*(x.tolist() for x in _runs(~gone)))]
+            kept.append("".join(r.decode("utf-8", "ignore") for r in runs) if as_text else b"".join(runs))
+            figures.append((len(text), int(gone.sum()), len(_runs(gone)[0])))
+        columns = [pa.array(kept, pa.string() if as_text else pa.binary()), *[pa.array([f[i] for f in figures], pa.int64()) for i in range(3)]]
+        return pa.StructArray.from_arrays(columns, ["kept", "n_bytes", "n_removed", "n_spans"])
 
     return run
 
@@ -266,10 +271,10 @@ def _check(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", keep_columns: bool = False) -> DataFrame:
-    """doc_id, kept (remaining bytes, joined), n_bytes, n_removed and n_spans (runs of removed bytes) of every row.
+def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", as_text: bool = False, keep_columns: bool = False) -> DataFrame:
+    """doc_id, kept (remaining bytes, or text), n_bytes, n_removed and n_spans (runs of removed bytes) of every row.
 
-    With `keep_columns` the input's own columns stay as well, as a struct `row`.
+    With `keep_columns` the input's other columns stay as well, as a struct `row`.
     """
     if not GRAM + 8 <= length < GRAM + (1 << STARTS_BITS):
         raise ValueError(f"The length lies between {GRAM + 8} and {GRAM + (1 << STARTS_BITS) - 1}.")
@@ -312,7 +317,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
 
     spans = whole.unionByName(sorted_).unionByName(counted)
     by_doc = spans.groupBy("doc_id", "check").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    cut = F.arrow_udf(_remove(length), "struct<kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")
+    kind = "string" if as_text else "binary"
+    cut = F.arrow_udf(_remove(length, as_text), f"struct<kept: {kind}, n_bytes: bigint, n_removed: bigint, n_spans: bigint>").asNondeterministic()
     joined = texts.join(by_doc, same(texts, by_doc), "left").select(
         texts["doc_id"], *([F.col("row")] if keep_columns else []), cut(F.col("spans"), F.col("text").cast("binary")).alias("r")
     )
