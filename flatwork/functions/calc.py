@@ -264,14 +264,7 @@ def _compile(node: ast.expr, df: DataFrame, names: dict[str, str]) -> Term:
     raise ValueError(f"Not allowed in an expression: {type(node).__name__}")
 
 
-def _holds_numbers(df: DataFrame, term: Term) -> bool:
-    """Whether a text result has any number; stops at the first one found."""
-    if term.constant is None and df.isStreaming:
-        return True
-    return not df.select(term.number.alias("n"), term.column.alias("t")).where("n is not null").isEmpty()
-
-
-def _as_output(df: DataFrame, term: Term, output_type: str) -> Column:
+def _as_output(term: Term, output_type: str) -> Column:
     kind = (output_type or "number").strip().lower()
     if kind in ("text", "category", "categorical", "string"):
         return term.text
@@ -281,16 +274,13 @@ def _as_output(df: DataFrame, term: Term, output_type: str) -> Column:
         return term.time
     if _family(term.dtype) == "number":
         return term.column.cast("double")
-    # A number field keeps text that holds no number at all.
-    if isinstance(term.dtype, T.StringType) and _holds_numbers(df, term):
-        return term.number
-    return term.column
+    return term.number if isinstance(term.dtype, T.StringType) else term.column
 
 
 def expression(df: DataFrame, text: str, output_type: str = "number") -> Column:
     """The Spark column of an expression over the columns of df."""
     tree, names = _parse(text, df.columns)
-    return _as_output(df, _compile(tree, df, names), output_type)
+    return _as_output(_compile(tree, df, names), output_type)
 
 
 def dependency_columns(text: str, columns: Sequence[str]) -> list[str]:

@@ -43,10 +43,3 @@ def moments(c: Column) -> dict[str, Column]:
 def share(part: Column, total: Column, digits: int = 2) -> Column:
     """Percentage with half-even rounding, 0 for an empty total."""
     return F.coalesce(F.bround(F.try_divide(part * 100.0, total), digits), F.lit(0.0))
-
-
-def safe_correlation(x: Column, y: Column) -> Column:
-    """Pearson over rows where both are present; null when either side is constant."""
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from flatwork.functions.coerce import col, column_type, num, ts
+from flatwork.functions.coerce import col, column_type, is_numeric, num, ts
 from flatwork.operators.ordered import first_value, last_value
 from flatwork.operators.projection import clamp
 from flatwork.operators.joins import join_on, one_row
@@ -39,6 +39,10 @@ AGGREGATION_ALIASES = {
 ASCENDING = ("ascending", "asc", "smallest", "low_to_high", "low to high", "a-z", "oldest")
 
 
+#: Parts that a group is ranked in before its best rows meet.
+PARTS_OF_A_GROUP = 16
+
+
 def aggregation_name(raw: str | None) -> str:
     return AGGREGATION_ALIASES.get((raw or "sum").strip().lower(), "sum")
 
@@ -126,11 +130,15 @@ def top_n(df: DataFrame, value: str, n: int, keys: Sequence[str], ascending: boo
 
 
 def top_per_group(df: DataFrame, group: str, value: str, k: int = 10, keys: Sequence[str] = ()) -> DataFrame:
-    """The best k rows of each group. The rank filter also runs before the shuffle, so one huge
-    group sends at most k rows per task."""
-    order = W.partitionBy(col(group)).orderBy(col(value).desc_nulls_last(), *[col(c) for c in keys])
-    ranked = df.where(col(group).isNotNull()).withColumn("__at", F.row_number().over(order))
-    return ranked.where(F.col("__at") <= k).drop("__at")
+    """The best k rows of each group. One huge group is ranked in parts first, and each part passes on its best
+    k rows, whatever k is."""
+    order = [col(value).desc_nulls_last(), *[col(c) for c in keys]]
+    part = F.pmod(F.xxhash64(*[col(c) for c in (keys or df.columns)]), F.lit(PARTS_OF_A_GROUP)).alias("__part")
+    parts = df.where(col(group).isNotNull()).select("*", part)
+    for split in (["__part"], []):
+        rank = F.row_number().over(W.partitionBy(col(group), *split).orderBy(*order))
+        parts = parts.withColumn("__at", rank).where(F.col("__at") <= k).drop("__at")
+    return parts.drop("__part")
 
 
 def with_other(df: DataFrame, x: str, value: str, n=10, label: str = "Other") -> DataFrame:
@@ -155,7 +163,7 @@ def _needs_fallback(df: DataFrame, column: str | None, how: str) -> bool:
     return (
         column is not None
         and aggregation_name(how) not in ("count", "nunique")
-        and isinstance(column_type(df, column), T.StringType)
+        and not is_numeric(column_type(df, column))
     )
 
 
@@ -173,7 +181,7 @@ def grouped_chart(
     """The table of a bar, line, area, combo, pie or donut chart.
 
     Every measure of every series comes from one aggregate over (x, color). Missing x is dropped,
-    a missing color is a group of its own. A text measure without a single number counts its rows.
+    a missing color is a group of its own. A measure without a single number counts its present values.
     """
     by = [x] + ([color] if color and color != x else [])
     series = [(c, aggregation_name(a), c or "row_count") for c, a in measures] or [(None, "count", "row_count")]
@@ -299,19 +307,19 @@ def pivot_table(df: DataFrame, x: str, group: str, value: str | None = None, how
 
 def heatmap(df: DataFrame, x: str, group: str, value: str | None = None, how: str = "count") -> DataFrame:
     """Long matrix: every x with every group value, empty cells 0."""
-    wide = pivot_table(df, x, group, value, how)
-    names = [c for c in wide.columns if c != x]
-    return wide.unpivot([col(x)], [col(n) for n in names], group, "value")
+    filled = cells(df, x, group, value, how)
+    every = filled.agg(F.array_sort(F.collect_set(col(group).cast("string")))).scalar()
+    grid = filled.select(col(x)).distinct().select(col(x), F.explode(every).alias(group))
+    shown = filled.withColumn(group, col(group).cast("string"))
+    return join_on(grid, shown, [x, group], "left").select(col(x), col(group), F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def totals_matrix(df: DataFrame, x: str, group: str, value: str, how: str = "sum", top: int | None = None, sort_order: str = "descending") -> DataFrame:
     """Pivot with a row total, sorted and cut by it."""
     wide = pivot_table(df, x, group, value, how)
     names = [c for c in wide.columns if c != x]
-    total = col(names[0])
-    for n in names[1:]:
-        total = total + col(n)
-    summed = wide.withColumn("total", total)
+    first = col(names[0])
+    summed = wide.withColumn("total", F.aggregate(F.array(*[col(n) for n in names[1:]]), first, lambda a, v: a + v) if names[1:] else first)
     up = is_ascending(sort_order)
     if top:
         return top_n(summed, "total", clamp(top, 1, 100, 20), [x], up)

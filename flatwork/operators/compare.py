@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from flatwork.functions.coerce import col, num
-from flatwork.functions.stats import safe_correlation, share
+from flatwork.functions.stats import share
 from flatwork.operators import eda
 from flatwork.operators.profile import missing_counts, summary
 from flatwork.operators.joins import one_row
@@ -66,7 +66,7 @@ def distribution_change(before: DataFrame, after: DataFrame, column: str, bins:
 
 def correlation_shift(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson values of both tables and their difference."""
-    sides = [eda.correlation(d, columns, limit=50, undefined=None) for d in (before, after)]
+    sides = [eda.correlation(d, columns, undefined=None) for d in (before, after)]
     both = _sides(*sides, ["x_column", "y_column"])
     return both.withColumn("delta", F.col("value_after") - F.col("value_before"))
 
@@ -74,20 +74,21 @@ def correlation_shift(before: DataFrame, after: DataFrame, columns: Sequence[str
 def feature_validation(before: DataFrame, after: DataFrame, target: str | None = None, features: Sequence[str] | None = None) -> DataFrame:
     """New columns of `after`: missing, distinct, and their correlation with a numeric target."""
     names = list(features or [c for c in after.columns if c not in before.columns])
-    relation = [safe_correlation(num(after, c), num(after, target)) if target else F.lit(None).cast("double") for c in names]
-    row = after.agg(
-        F.count("*").alias("rows"),
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
-        *[r.alias(f"r{i}") for i, r in enumerate(relation)],
-    ) if target else after.agg(F.count("*").alias("rows"), *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)]).withColumns(
-        {f"r{i}": F.lit(None).cast("double") for i in range(len(names))}
-    )
+    row = after.agg(F.count("*").alias("rows"), *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)])
     cells = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(c not in before.columns).alias("is_new"),
-                 (F.col("rows") - F.col(f"n{i}")).alias("missing_count"), F.col(f"r{i}").alias("target_correlation"))
+                 (F.col("rows") - F.col(f"n{i}")).alias("missing_count"), F.lit(i).alias("j"))
         for i, c in enumerate(names)
     ])
     rows = row.select(F.explode(cells).alias("c")).select("c.*")
+    if target:
+        # The target goes first, so its pairs are those with i = 0.
+        work = after.select(num(after, target).alias("c0"), *[num(after, c).alias(f"c{i}") for i, c in enumerate(names, 1)])
+        related = eda.pair_correlations(work, len(names) + 1).where("i = 0 AND j > 0")
+        rows = rows.join(related.select((F.col("j") - 1).alias("j"), F.col("value").alias("target_correlation")), "j", "left")
+    else:
+        rows = rows.withColumn("target_correlation", F.lit(None).cast("double"))
+    rows = rows.select("column_name", "is_new", "missing_count", "target_correlation")
     from flatwork.operators.aggregate import frequencies
 
     distinct = frequencies(after, names).groupBy("column_name").agg(F.count("*").alias("unique_count"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from flatwork.functions.coerce import col, column_type, is_numeric, num, present
-from flatwork.functions.stats import moments, safe_correlation, share
+from flatwork.functions.stats import moments, share
 from flatwork.operators.aggregate import top_n
 from flatwork.operators.ordered import with_position
 from flatwork.operators.projection import clamp, sample_rows
@@ -297,17 +297,41 @@ def violin(df: DataFrame, column: str, group: str, top: int = 30) -> DataFrame:
     return density(df, column, group, top=top)
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    inverse = NormalDist().inv_cdf
-    return p.map(lambda v: inverse(v) if 0 < v < 1 else None)
+# Coefficients of algorithm AS 241 (Wichura 1988), highest power first: numerator and
+# denominator near the middle, in the tails, and far out.
+AS241 = (
+    (2.50908_09287_30122_6727e+3, 3.34305_75583_58812_8105e+4, 6.72657_70927_00870_0853e+4, 4.59219_53931_54987_1457e+4, 1.37316_93765_50946_1125e+4, 1.97159_09503_06551_4427e+3, 1.33141_66789_17843_7745e+2, 3.38713_28727_96366_6080e+0),
+    (5.22649_52788_52854_5610e+3, 2.87290_85735_72194_2674e+4, 3.93078_95800_09271_0610e+4, 2.12137_94301_58659_5867e+4, 5.39419_60214_24751_1077e+3, 6.87187_00749_20579_0830e+2, 4.23133_30701_60091_1252e+1, 1.0),
+    (7.74545_01427_83414_07640e-4, 2.27238_44989_26918_45833e-2, 2.41780_72517_74506_11770e-1, 1.27045_82524_52368_38258e+0, 3.64784_83247_63204_60504e+0, 5.76949_72214_60691_40550e+0, 4.63033_78461_56545_29590e+0, 1.42343_71107_49683_57734e+0),
+    (1.05075_00716_44416_84324e-9, 5.47593_80849_95344_94600e-4, 1.51986_66563_61645_71966e-2, 1.48103_97642_74800_74590e-1, 6.89767_33498_51000_04550e-1, 1.67638_48301_83803_84940e+0, 2.05319_16266_37758_82187e+0, 1.0),
+    (2.01033_43992_92288_13265e-7, 2.71155_55687_43487_57815e-5, 1.24266_09473_88078_43860e-3, 2.65321_89526_57612_30930e-2, 2.96560_57182_85048_91230e-1, 1.78482_65399_17291_33580e+0, 5.46378_49111_64114_36990e+0, 6.65790_46435_01103_77720e+0),
+    (2.04426_31033_89939_78564e-15, 1.42151_17583_16445_88870e-7, 1.84631_83175_10054_68180e-5, 7.86869_13114_56132_59100e-4, 1.48753_61290_85061_48525e-2, 1.36929_88092_27358_05310e-1, 5.99832_20655_58879_37690e-1, 1.0),
+)
 
 
-def qq_points(df: DataFrame, column: str, key: Sequence[str], rows_per_range: int = 1_000_000) -> DataFrame:
+def normal_quantile(p: Column) -> Column:
+    """The inverse of the normal distribution, to 16 digits; null outside of (0, 1)."""
+
+    def poly(c: Sequence[float], x: Column) -> Column:
+        out = F.lit(c[0])
+        for k in c[1:]:
+            out = out * x + k
+        return out
+
+    q = p - 0.5
+    middle = F.lit(0.180625) - q * q
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    ratio = lambda i, x: poly(AS241[i], x) / poly(AS241[i + 1], x)
+    tail = F.when(r <= 5, ratio(2, r - 1.6)).otherwise(ratio(4, r - 5.0))
+    value = F.when(F.abs(q) <= 0.425, q * ratio(0, middle)).otherwise(F.when(q < 0, -tail).otherwise(tail))
+    return F.when((p > 0) & (p < 1), value)
+
+
+def qq_points(df: DataFrame, column: str, key: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Ordered values against normal quantiles. `key` breaks ties, so equal values spread over ranges."""
     values = _values(df, column, keys=key)
     order = ["v", *[f"__key_{i}" for i in range(len(key))]]
-    placed = with_position(values, order, out="i", rows_per_range=rows_per_range)
+    placed = with_position(values, order, out="i", ranges=ranges)
     n = values.agg(F.count("*")).scalar().cast("double")
     edge = F.pow(F.lit(0.5), 1.0 / n)
     i = F.col("i") + 1
@@ -330,23 +354,14 @@ def qq_line(points: DataFrame) -> DataFrame:
 
 # ---- correlation ------------------------------------------------------------------------------
 
-PAIRS_IN_ONE_AGGREGATE = 6
-
-
 def numeric_columns(df: DataFrame, limit: int | None = None) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)][:limit]
 
 
-def _few_pairs(work: DataFrame, names: list[str]) -> DataFrame:
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = work.agg(*[safe_correlation(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i, j in pairs])
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("value")) for i, j in pairs]
-    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-
-
-def _many_pairs(work: DataFrame, names: list[str]) -> DataFrame:
-    """Co-moments of many columns as matrix products of Arrow batches; only d*d partial sums travel."""
-    d = len(names)
+def pair_correlations(work: DataFrame, d: int) -> DataFrame:
+    """i, j (i <= j) and Pearson's value of the columns c0, c1, ... over rows where both are present; null where one
+    side is constant. Values are centred first, so a large offset costs no digits. Co-moments are matrix products of
+    Arrow batches; only d*d partial sums travel."""
     means = work.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(d)]).first()
     center = np.array([means[f"c{i}"] or 0.0 for i in range(d)])
 
@@ -368,13 +383,17 @@ def _many_pairs(work: DataFrame, names: list[str]) -> DataFrame:
     vx = F.col("xx") - F.col("x") * F.col("x") / F.col("n")
     vy = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
     flat = (vx <= 1e-12 * F.col("xx")) | (vy <= 1e-12 * F.col("yy"))
-    return sums.select("i", "j", F.when(~flat, F.try_divide(cov, F.sqrt(vx * vy))).alias("value"))
+    value = F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))
+    return sums.select("i", "j", F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).alias("value"))
 
 
 def correlation(
     df: DataFrame, columns: Sequence[str] | None = None, limit=20, undefined: float | None = 0.0, drop_constant: bool = False
 ) -> DataFrame:
-    """Pearson matrix in long form: x_column, y_column, value, over rows where both are present."""
+    """Pearson matrix in long form: x_column, y_column, value, over rows where both are present.
+
+    All named columns take part; `limit` is for a call without names.
+    """
     asked = [c for c in columns or df.columns if c in df.columns]
     kinds = [c for c in asked if columns or is_numeric(column_type(df, c)) or column_type(df, c).simpleString() == "string"]
     found = df.agg(
@@ -382,11 +401,12 @@ def correlation(
         *[(F.min(num(df, c)) < F.max(num(df, c))).alias(f"v{i}") for i, c in enumerate(kinds)],
     ).first()
     names = [c for i, c in enumerate(kinds) if found[f"n{i}"] and (not drop_constant or found[f"v{i}"])]
-    names = names[: clamp(limit, 2, 50, 20)]
+    if not columns:
+        names = names[: max(2, int(limit))]
     if len(names) < 2:
         raise ValueError("A correlation matrix needs at least two numeric columns.")
     work = df.select(*[num(df, c).alias(f"c{i}") for i, c in enumerate(names)])
-    half = (_few_pairs if len(names) * (len(names) + 1) // 2 <= PAIRS_IN_ONE_AGGREGATE else _many_pairs)(work, names)
+    half = pair_correlations(work, len(names))
     named = F.array(*[F.lit(n) for n in names])
     both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
     pairs = half.select("value", F.explode(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)).alias("p"))
@@ -394,10 +414,10 @@ def correlation(
     return pairs.select(F.get(named, F.col("p.i")).alias("x_column"), F.get(named, F.col("p.j")).alias("y_column"), value.alias("value"))
 
 
-def correlation_wide(df: DataFrame, columns: Sequence[str], digits: int = 4, limit: int = 12) -> DataFrame:
+def correlation_wide(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
     """The matrix with one column per variable, rounded."""
-    names = list(columns)[:limit]
-    cells = correlation(df, names, limit)
+    names = list(columns)
+    cells = correlation(df, names)
     return cells.groupBy(F.col("x_column").alias("column")).pivot("y_column", names).agg(F.bround(F.first("value"), digits))
 
 
@@ -437,8 +457,9 @@ def target_rate(df: DataFrame, category: str, target: str, n: int = 30) -> DataF
 
 
 def pair_matrix(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, sample=None) -> DataFrame:
-    """Complete rows of up to six numeric columns, as x/y points of every ordered column pair."""
-    names = list(columns or numeric_columns(df))[:6]
+    """Complete rows of the named columns (without names: the first six numeric ones), as x/y points of every
+    ordered column pair."""
+    names = list(columns or numeric_columns(df, 6))
     if len(names) < 2:
         raise ValueError("A pair matrix needs at least two numeric columns.")
     rows = df.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(key)], *[num(df, c).alias(c) for c in names])

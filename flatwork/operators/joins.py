@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flatwork.functions.coerce import col
-from flatwork.sources.checkpoints import cut_lineage
-
-BROADCAST_ROWS = 200_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", bounded: bool = False) -> DataFrame:
@@ -25,16 +22,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(F.broadcast(renamed) if bounded else renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def measured(stats: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A table of statistics, marked for broadcast when it is measured to be small.
-
-    It is written once and counted there. Beyond the bound it is joined by shuffle, where Spark
-    splits skewed keys at run time.
-    """
-    stored = cut_lineage(stats)
-    return F.broadcast(stored) if stored.count() <= rows else stored
-
-
 def one_row(df: DataFrame) -> Column:
     """A one-row DataFrame as a struct: a scalar subquery, computed once per query."""
     return df.select(F.struct(*[col(c) for c in df.columns])).scalar()

@@ -1,24 +1,23 @@
 """Operators that depend on row order: positions, fills, interpolation, rolling means.
 
-A window over a whole table is one task. Here rows are first cut into contiguous key ranges, the
-windows run inside a range, and what a range must know of its neighbours travels as one small row
-per range. A partition key only leads the sort key, so one huge partition is spread over many
+A window over a whole table is one task. Here rows are first cut into contiguous key ranges by
+`repartitionByRange`, as many as the session has shuffle partitions, and stored with their range
+number. Windows run inside a range, and what a range must know of its neighbours travels as one small
+row per range. A partition key only leads the sort key, so one huge partition is spread over many
 ranges as well. `order_by` (with `partition_by`) must identify a row; ties have no defined order.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flatwork.functions.coerce import col
 from flatwork.operators.joins import join_on
+from flatwork.sources.checkpoints import cut_lineage
 
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 8192
-SAMPLES_PER_RANGE = 16
+ROWS_PER_BLOCK = 1 << 16
 
 
 def _struct(names: Sequence[str]) -> Column:
@@ -30,175 +29,110 @@ def _sort_key(names: Sequence[str]) -> Column:
     return col(names[0]) if len(names) == 1 else _struct(names)
 
 
-def _ranges(df: DataFrame, keys: Sequence[str], rows_per_range: int) -> tuple[Column, int]:
-    """The range number of each row, and how many ranges there are.
-
-    The boundaries come from a bounded random sample of the keys, drawn once and then fixed as
-    literals, so every use of the number agrees. The sample affects balance only.
-    """
-    rows = df.count()
-    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range)) if rows else 1
-    if ranges <= 1:
-        return F.lit(0), 1
-    target = ranges * SAMPLES_PER_RANGE
-    picked = df.select(*[col(k) for k in keys])
-    if target < rows:
-        picked = picked.sample(min(1.0, 1.1 * target / rows), seed=42)
-    picked = picked.limit(2 * target).distinct()
-    samples = picked.orderBy(*[col(k) for k in keys]).collect()
-    stride = max(1, len(samples) // ranges)
-    bounds = samples[stride::stride]
-    if not bounds:
-        return F.lit(0), 1
-    types = [df.schema[k].dataType for k in keys]
-    cuts = [F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(b, types, keys)]) for b in bounds]
-    step = max(1, int(len(cuts) ** 0.5))
-    key = _struct(keys)
-    skipped = F.size(F.filter(F.array(*cuts[step - 1 :: step]), lambda b: b <= key)) * step
-    rest = F.slice(F.array(*cuts), skipped + 1, F.lit(step))
-    return skipped + F.size(F.filter(rest, lambda b: b <= key)), len(bounds) + 1
+def _ranged(df: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+    """The rows with the number of their key range. They are stored, so every use agrees on it; the sample that
+    Spark draws for the bounds affects balance only."""
+    columns = [col(k) for k in keys]
+    split = df.repartitionByRange(ranges, *columns) if ranges else df.repartitionByRange(*columns)
+    return cut_lineage(split.withColumn("__range", F.spark_partition_id()))
 
 
 def with_position(
-    df: DataFrame,
-    order_by: Sequence[str],
-    partition_by: Sequence[str] = (),
-    out: str = "position",
-    rows_per_range: int = ROWS_PER_RANGE,
+    df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), out: str = "position", ranges: int | None = None
 ) -> DataFrame:
     """Add the 0-based row position in `order_by`, per partition."""
-    return _position(df, order_by, partition_by, out, _ranges(df, [*partition_by, *order_by], rows_per_range))
+    return _position(_ranged(df, [*partition_by, *order_by], ranges), order_by, partition_by, out).drop("__range")
 
 
-def _position(
-    df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str], out: str, ranged_by: tuple[Column, int]
-) -> DataFrame:
-    counted = _total(df.withColumn("__one", F.lit(1).cast("long")), "__one", order_by, partition_by, out, ranged_by)
+def _position(ranged: DataFrame, order_by: Sequence[str], partition_by: Sequence[str], out: str) -> DataFrame:
+    counted = _total(ranged.withColumn("__one", F.lit(1).cast("long")), "__one", order_by, partition_by, out)
     return counted.withColumn(out, F.col(out) - 1).drop("__one")
 
 
 def running_total(
-    df: DataFrame,
-    value: str,
-    order_by: Sequence[str],
-    partition_by: Sequence[str] = (),
-    out: str = "total",
-    rows_per_range: int = ROWS_PER_RANGE,
+    df: DataFrame, value: str, order_by: Sequence[str], partition_by: Sequence[str] = (), out: str = "total", ranges: int | None = None
 ) -> DataFrame:
     """Add the sum of `value` over all rows up to and including each row, per partition."""
-    return _total(df, value, order_by, partition_by, out, _ranges(df, [*partition_by, *order_by], rows_per_range))
+    return _total(_ranged(df, [*partition_by, *order_by], ranges), value, order_by, partition_by, out).drop("__range")
 
 
-def _total(
-    df: DataFrame, value: str, order_by: Sequence[str], partition_by: Sequence[str], out: str, ranged_by: tuple[Column, int]
-) -> DataFrame:
-    number, ranges = ranged_by
+def _total(ranged: DataFrame, value: str, order_by: Sequence[str], partition_by: Sequence[str], out: str) -> DataFrame:
     parts = [col(p) for p in partition_by]
-    ranged = df.withColumn("__range", number)
     inside = (
         W.partitionBy("__range", *parts).orderBy(*[col(o) for o in order_by]).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     placed = ranged.withColumn(out, F.sum(col(value)).over(inside))
-    if ranges == 1:
-        return placed.drop("__range")
     sums = ranged.groupBy("__range", *parts).agg(F.sum(col(value)).alias("__sum"))
     # A partition has at most one row per range here.
     earlier = W.partitionBy(*parts).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("__offset", F.sum("__sum").over(earlier)).drop("__sum").where("__offset is not null")
     # Only the first partition of a range can have begun before it: at most one row per range.
     joined = join_on(placed, offsets, ["__range", *partition_by], "left", bounded=True)
-    return joined.withColumn(out, F.col(out) + F.coalesce("__offset", F.lit(0))).drop("__range", "__offset")
+    return joined.withColumn(out, F.col(out) + F.coalesce("__offset", F.lit(0))).drop("__offset")
 
 
 def _last_present(
-    df: DataFrame,
-    value: Column,
-    order_by: Sequence[str],
-    partition_by: Sequence[str],
-    out: str,
-    backward: bool,
-    ranged_by: tuple[Column, int],
+    ranged: DataFrame, value: Column, order_by: Sequence[str], partition_by: Sequence[str], out: str, backward: bool
 ) -> DataFrame:
     """Add the last non-null `value` up to and including each row (or the next one, backward)."""
-    number, ranges = ranged_by
-    if backward:
-        number = -number
     parts = [col(p) for p in partition_by]
-    direction = [col(o).desc() if backward else col(o).asc() for o in order_by]
-    ranged = df.withColumns({"__range": number, "__value": value})
-    upto = (
-        W.partitionBy("__range", *parts).orderBy(*direction).rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    filled = ranged.withColumn(out, F.last("__value", ignorenulls=True).over(upto))
-    if ranges == 1:
-        return filled.drop("__range", "__value")
+    way = (lambda c: c.desc()) if backward else (lambda c: c.asc())
+    valued = ranged.withColumn("__value", value)
+    upto = W.partitionBy("__range", *parts).orderBy(*[way(col(o)) for o in order_by]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    filled = valued.withColumn(out, F.last("__value", ignorenulls=True).over(upto))
 
     # One row per range: the partition it ends in, with the last value present there.
     order = _sort_key(order_by)
     pick = F.min_by if backward else F.max_by
     tails = (
-        ranged.groupBy("__range", *parts)
+        valued.groupBy("__range", *parts)
         .agg(pick("__value", F.when(F.col("__value").isNotNull(), order)).alias("__tail"))
     )
     if parts:
         edge = F.min if backward else F.max
-        edges = ranged.groupBy("__range").agg(edge(_struct(partition_by)).alias("__edge"))
+        edges = valued.groupBy("__range").agg(edge(_struct(partition_by)).alias("__edge"))
         edges = edges.select("__range", *[F.col("__edge")[p].alias(p) for p in partition_by])
         tails = join_on(tails, edges, ["__range", *partition_by])
-    chain = W.partitionBy(*parts).orderBy("__range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    number = way(F.col("__range"))
+    chain = W.partitionBy(*parts).orderBy(number).rowsBetween(W.unboundedPreceding, W.currentRow)
     carried = tails.withColumns(
         {
             "__carry": F.last("__tail", ignorenulls=True).over(chain),
-            # At most MAX_RANGES rows are left here, so this one-task window is bounded.
-            "__next": F.lead("__range").over(W.orderBy("__range")),
+            # One row per range is left here, so this one-task window is small.
+            "__next": F.lead("__range").over(W.orderBy(number)),
         }
     ).select(F.col("__next").alias("__range"), *parts, "__carry")
     joined = join_on(filled, carried.where("__range is not null"), ["__range", *partition_by], "left", bounded=True)
-    return joined.withColumn(out, F.coalesce(col(out), F.col("__carry"))).drop("__range", "__value", "__carry")
+    return joined.withColumn(out, F.coalesce(col(out), F.col("__carry"))).drop("__value", "__carry")
 
 
-def forward_fill(
-    df: DataFrame,
-    column: str,
-    order_by: Sequence[str],
-    partition_by: Sequence[str] = (),
-    rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
+def _fill(df: DataFrame, column: str, order_by: Sequence[str], partition_by: Sequence[str], ranges: int | None, backward: bool) -> DataFrame:
+    ranged = _ranged(df, [*partition_by, *order_by], ranges)
+    filled = _last_present(ranged, col(column), order_by, partition_by, "__fill", backward)
+    return filled.withColumn(column, F.col("__fill")).drop("__fill", "__range")
+
+
+def forward_fill(df: DataFrame, column: str, order_by: Sequence[str], partition_by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Replace a missing value by the last present one before it."""
-    ranged_by = _ranges(df, [*partition_by, *order_by], rows_per_range)
-    filled = _last_present(df, col(column), order_by, partition_by, "__fill", False, ranged_by)
-    return filled.withColumn(column, F.col("__fill")).drop("__fill")
+    return _fill(df, column, order_by, partition_by, ranges, False)
 
 
-def backward_fill(
-    df: DataFrame,
-    column: str,
-    order_by: Sequence[str],
-    partition_by: Sequence[str] = (),
-    rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
+def backward_fill(df: DataFrame, column: str, order_by: Sequence[str], partition_by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Replace a missing value by the next present one after it."""
-    ranged_by = _ranges(df, [*partition_by, *order_by], rows_per_range)
-    filled = _last_present(df, col(column), order_by, partition_by, "__fill", True, ranged_by)
-    return filled.withColumn(column, F.col("__fill")).drop("__fill")
+    return _fill(df, column, order_by, partition_by, ranges, True)
 
 
 def interpolate_linear(
-    df: DataFrame,
-    column: str,
-    order_by: Sequence[str],
-    partition_by: Sequence[str] = (),
-    rows_per_range: int = ROWS_PER_RANGE,
+    df: DataFrame, column: str, order_by: Sequence[str], partition_by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Fill gaps on the straight line between their neighbours, by row position.
 
     Leading gaps stay, trailing gaps take the last present value.
     """
-    ranged_by = _ranges(df, [*partition_by, *order_by], rows_per_range)
-    placed = _position(df, order_by, partition_by, "__pos", ranged_by)
+    placed = _position(_ranged(df, [*partition_by, *order_by], ranges), order_by, partition_by, "__pos")
     point = F.when(col(column).isNotNull(), F.struct(F.col("__pos").alias("p"), col(column).cast("double").alias("v")))
-    before = _last_present(placed, point, order_by, partition_by, "__lo", False, ranged_by)
-    both = _last_present(before, point, order_by, partition_by, "__hi", True, ranged_by)
+    before = _last_present(placed, point, order_by, partition_by, "__lo", False)
+    both = _last_present(before, point, order_by, partition_by, "__hi", True)
     slope = F.try_divide(
         F.col("__hi.v") - F.col("__lo.v"), (F.col("__hi.p") - F.col("__lo.p")).cast("double")
     )
@@ -206,7 +140,7 @@ def interpolate_linear(
     value = F.when(col(column).isNotNull(), col(column).cast("double")).when(
         F.col("__hi").isNull(), F.col("__lo.v")
     ).otherwise(on_line)
-    return both.withColumn(column, value).drop("__pos", "__lo", "__hi")
+    return both.withColumn(column, value).drop("__pos", "__lo", "__hi", "__range")
 
 
 def rolling_mean(
@@ -216,7 +150,8 @@ def rolling_mean(
     window: int = 3,
     partition_by: Sequence[str] = (),
     out: str | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    ranges: int | None = None,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Mean of the present values among the current and the `window - 1` rows before it.
 
@@ -224,8 +159,8 @@ def rolling_mean(
     next one as context, so each block computes on its own.
     """
     window = max(1, int(window))
-    block = max(rows_per_range, window)
-    placed = with_position(df, order_by, partition_by, "__pos", rows_per_range)
+    block = max(rows_per_block, window)
+    placed = with_position(df, order_by, partition_by, "__pos", ranges)
     number = F.floor(F.col("__pos") / block)
     copies = F.when(
         F.pmod(F.col("__pos"), F.lit(block)) >= block - (window - 1), F.array(number, number + 1)

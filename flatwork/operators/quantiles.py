@@ -1,126 +1,56 @@
-"""Exact quantiles and modes that never gather a whole column in one task.
+"""Exact quantiles and modes that never gather a whole column or group in one task.
 
-`percentile` keeps every distinct value of a group in one buffer. That is used only where the
-measured row count is below SMALL_ROWS. Beyond it the column is cut into bands by a sketch, the
-bands are counted, and only the rows of the bands that hold a wanted rank are looked at. The
-sketch decides how even the bands are, never the answer.
+Equal values collapse first, so a value that a third of all rows hold is one row per task. The distinct
+values are then ranked by a running total over key ranges, whatever the number of rows or groups, and
+each quantile picks the values at its two ranks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flatwork.functions.coerce import col
-from flatwork.operators.joins import join_on, measured, one_row
+from flatwork.operators.joins import join_on, one_row
 from flatwork.operators.ordered import running_total
-from flatwork.sources.checkpoints import cut_lineage
 
-SMALL_ROWS = 1_000_000
-BANDS = 1024
-SKETCH_ACCURACY = 10_000
 
-
-def _bands(df: DataFrame, columns: Sequence[str], cuts: Sequence[Sequence[float]]) -> DataFrame:
-    """Add `__band_<i>` for each column: between which cuts its value lies, by binary search."""
-    infinity = float("inf")
-    splits = [[-infinity, *(sorted(set(c)) or [0.0]), infinity] for c in cuts]
-    bucketizer = Bucketizer(
-        splitsArray=splits, inputCols=list(columns), outputCols=[f"__band_{i}" for i in range(len(columns))], handleInvalid="keep"
-    )
-    return bucketizer.transform(df)
-
-
-def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    small_rows: int = SMALL_ROWS,
-) -> DataFrame:
-    """Linear-interpolated quantiles of double columns: one row per group.
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """Linear-interpolated quantiles of double columns: one row per group, groups without a value included.
 
     The result holds `by` and, for each column, the array `q_<column>` in the order of `probs`.
     """
-    probs = list(probs)
-    if df.count() <= small_rows:
-        aggs = [F.percentile(col(c), F.array(*[F.lit(p) for p in probs])).alias(f"q_{c}") for c in columns]
-        return df.groupBy(*[col(b) for b in by]).agg(*aggs)
     # Grouping columns get neutral names inside, so no name of a table can clash.
-    inner = {f"__by_{i}": b for i, b in enumerate(by)}
-    named = df.select(*[col(b).alias(k) for k, b in inner.items()], *[col(c).alias(f"__c_{i}") for i, c in enumerate(columns)])
-    out = _banded(named, [f"__c_{i}" for i in range(len(columns))], probs, list(inner))
-    return out.select(
-        *[F.col(k).alias(b) for k, b in inner.items()], *[F.col(f"q___c_{i}").alias(f"q_{c}") for i, c in enumerate(columns)]
-    )
-
-
-def _banded(df: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> DataFrame:
-    grid = F.split(F.lit(",".join(str(i / BANDS) for i in range(1, BANDS))), ",").cast("array<double>")
-    plain = df.select(*[col(b) for b in by], *[col(c).cast("double").alias(f"__v_{i}") for i, c in enumerate(columns)])
-    values = [f"__v_{i}" for i in range(len(columns))]
-    cuts = plain.agg(*[F.percentile_approx(v, grid, SKETCH_ACCURACY).alias(v) for v in values]).first()
-
-    banded = _bands(plain, values, [cuts[v] or [] for v in values])
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.col(f"__v_{i}").alias("v"), F.col(f"__band_{i}").cast("int").alias("band"))
-        for i, c in enumerate(columns)
-    ]
-    long = (
-        banded.select(*[col(b) for b in by], F.explode(F.array(*cells)).alias("cell"))
-        .select(*[col(b) for b in by], "cell.*")
-        .where(F.col("v").isNotNull())
-    )
-    keys = [*by, "column"]
-
-    # At most BANDS rows per group reach one task here.
-    counts = long.groupBy(*keys, "band").agg(F.count("*").alias("rows"))
-    within = W.partitionBy(*keys)
-    upto = within.orderBy("band").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumns(
-        {"total": F.sum("rows").over(within), "before": F.sum("rows").over(upto) - F.col("rows")}
-    )
-    wanted = (
-        ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in sorted(set(probs))])))
-        .withColumn("at", F.col("p") * (F.col("total") - 1))
-        .withColumns({"lo": F.floor("at"), "hi": F.ceil("at")})
-        .where(
-            F.col("lo").between(F.col("before"), F.col("before") + F.col("rows") - 1)
-            | F.col("hi").between(F.col("before"), F.col("before") + F.col("rows") - 1)
-        )
-        .select(*keys, "band", "before", "p", "at", "lo", "hi")
-    )
-    bands = wanted.select(*keys, "band", "before").distinct()
-    # Without groups there are two bands per quantile at most; with groups the table is measured.
-    bands = measured(bands) if by else F.broadcast(bands)
-
-    # Equal values collapse first, so a value held by a third of all rows is one row.
-    kept = join_on(long, bands, [*keys, "band"]).groupBy(*keys, "band", "before", "v").agg(F.count("*").alias("n"))
-    kept = cut_lineage(kept)
-    placed = running_total(kept, "n", ["v"], [*keys, "band"], "upto").withColumn("last", F.col("before") + F.col("upto") - 1)
-    picked = join_on(placed.drop("before"), wanted.drop("before"), [*keys, "band"]).where(
-        F.col("lo").between(F.col("last") - F.col("n") + 1, F.col("last"))
-        | F.col("hi").between(F.col("last") - F.col("n") + 1, F.col("last"))
-    )
-    first = F.max(F.when(F.col("lo").between(F.col("last") - F.col("n") + 1, F.col("last")), F.col("v")))
-    second = F.max(F.when(F.col("hi").between(F.col("last") - F.col("n") + 1, F.col("last")), F.col("v")))
-    values = picked.groupBy(*keys, "p").agg((first + (second - first) * F.max(F.col("at") - F.col("lo"))).alias("q"))
-
-    out = [
-        F.array(*[F.max(F.when((F.col("column") == c) & (F.col("p") == float(p)), F.col("q"))) for p in probs])
-        for c in columns
-    ]
-    out = [a.alias(f"q_{c}") for a, c in zip(out, columns)]
-    return values.groupBy(*[col(b) for b in by]).agg(*out)
-
-
-def quantile_scalars(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small_rows: int = SMALL_ROWS
-) -> dict[str, list[Column]]:
+    keys = [f"__by_{i}" for i in range(len(by))]
+    cells = [F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
+    named = df.select(*[col(b).alias(k) for k, b in zip(keys, by)], F.explode(F.array(*cells)).alias("__cell")).select(*keys, "__cell.*")
+    group = [*keys, "c"]
+    counts = named.where("v IS NOT NULL").groupBy(*group, "v").agg(F.count("*").alias("n"))
+    placed = running_total(counts, "n", ["v"], group, "upto", ranges)
+    totals = placed.groupBy(*group).agg(F.sum("n").alias("total"))
+    ranked = join_on(placed, totals, group)
+    aggs = []
+    for i in range(len(columns)):
+        found = []
+        for p in probs:
+            at = F.lit(float(p)) * (F.col("total") - 1)
+            holds = lambda rank: (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
+            value = lambda rank: F.max(F.when((F.col("c") == i) & holds(rank), F.col("v")))
+            low, high = value(F.floor(at)), value(F.ceil(at))
+            share = F.max(F.when(F.col("c") == i, at - F.floor(at)))
+            found.append(low + (high - low) * share)
+        aggs.append(F.array(*found).alias(f"q{i}"))
+    out = ranked.groupBy(*keys).agg(*aggs)
+    if keys:
+        out = join_on(named.select(*keys).distinct(), out, keys, "left")
+    none = F.array(*[F.lit(None).cast("double") for _ in probs])
+    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], *[F.coalesce(f"q{i}", none).alias(f"q_{c}") for i, c in enumerate(columns)])
+
+
+def quantile_scalars(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[Column]]:
     """Whole-table quantiles as scalar subqueries, to be used inside any expression."""
-    row = one_row(quantiles(df, columns, probs, small_rows=small_rows))
+    row = one_row(quantiles(df, columns, probs))
     return {c: [F.get(row[f"q_{c}"], F.lit(i)) for i in range(len(probs))] for c in columns}
 
 

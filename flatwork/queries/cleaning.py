@@ -99,17 +99,17 @@ LINE = """WITH p AS (SELECT event_id, {k}value, row_number() OVER ({p}ORDER BY t
           SELECT q.event_id, round(CASE WHEN q.value IS NOT NULL THEN q.value WHEN q.lo IS NULL THEN NULL WHEN q.hi IS NULL THEN a.value
             ELSE a.value + (b.value - a.value) * (q.i - q.lo) / (q.hi - q.lo) END, 6) AS value
           FROM q LEFT JOIN p a ON a.i = q.lo {ja}LEFT JOIN p b ON b.i = q.hi {jb}"""
-for _rows, _tag in ((1_000_000, ""), (900, "_ranged")):
-    register(f"forward_fill{_tag}", "gaps", lambda df, r=_rows: forward_fill(df, "value", ["ts"], rows_per_range=r).select("event_id", "value"), FFILL.format(p=""))
-    register(f"backward_fill{_tag}", "gaps", lambda df, r=_rows: backward_fill(df, "value", ["ts"], rows_per_range=r).select("event_id", "value"), BFILL.format(p=""))
+for _ranges, _tag in ((None, ""), (11, "_ranged")):
+    register(f"forward_fill{_tag}", "gaps", lambda df, r=_ranges: forward_fill(df, "value", ["ts"], ranges=r).select("event_id", "value"), FFILL.format(p=""))
+    register(f"backward_fill{_tag}", "gaps", lambda df, r=_ranges: backward_fill(df, "value", ["ts"], ranges=r).select("event_id", "value"), BFILL.format(p=""))
     register(
         f"interpolate{_tag}", "gaps",
-        lambda df, r=_rows: interpolate_linear(df, "value", ["ts"], rows_per_range=r).select("event_id", F.round("value", 6).alias("value")),
+        lambda df, r=_ranges: interpolate_linear(df, "value", ["ts"], ranges=r).select("event_id", F.round("value", 6).alias("value")),
         LINE.format(p="", k="", ja="", jb=""),
     )
     register(
         f"rolling_mean{_tag}", "gaps",
-        lambda df, r=_rows: rolling_mean(df, "value", ["ts"], 4, out="mean", rows_per_range=r).select("event_id", F.round("mean", 6).alias("mean")),
+        lambda df, r=_ranges: rolling_mean(df, "value", ["ts"], 4, out="mean", ranges=r).select("event_id", F.round("mean", 6).alias("mean")),
         ROLL,
     )
 BY_USER = "PARTITION BY user_id "

@@ -143,7 +143,7 @@ register(
 )
 register("qq_points", "orders", lambda df: E.qq_points(df, "o_totalprice", ["o_orderkey"]))
 register(
-    "qq_ranks", "orders", lambda df: E.qq_points(df, "o_totalprice", ["o_orderkey"], rows_per_range=2000).select("rank", "ordered"),
+    "qq_ranks", "orders", lambda df: E.qq_points(df, "o_totalprice", ["o_orderkey"], ranges=6).select("rank", "ordered"),
     "SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rank, o_totalprice AS ordered FROM orders",
 )
 register("qq_line", "orders", lambda df: E.qq_line(E.qq_points(df, "o_totalprice", ["o_orderkey"])))

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is named (tests)."""
+    """The cluster's checkpoint folder. Where none is named, one in the warehouse, which a cluster shares too."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
     if current is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flatwork-checkpoints-"))
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
         current = context.getCheckpointDir()
     return current
 

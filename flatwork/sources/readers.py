@@ -58,10 +58,11 @@ def typed(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """A table from a CSV or Parquet path. Types of a CSV are worked out unless a schema is given.
 
-    `multi_line` allows line breaks inside quoted cells, but then a file is read by one task.
+    Quoted cells may hold line breaks, so a file is read by one task. `multi_line=False` is the caller's promise
+    that there are none; then files are split.
     """
     if source_format(path) == "parquet":
         return nan_to_null(spark.read.parquet(path))
@@ -76,7 +77,7 @@ def column_names(spark: SparkSession, path: str) -> list[str]:
     """The column names of a source, from its header alone."""
     if source_format(path) == "parquet":
         return spark.read.parquet(path).columns
-    return spark.read.option("header", True).csv(path, inferSchema=False).columns
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path, inferSchema=False).columns
 
 
 def validate_source(spark: SparkSession, path: str) -> DataFrame:

@@ -19,10 +19,10 @@ from flatwork.operators.projection import preview
 
 ORIGINAL, CLEANED, ENGINEERED, READY = "original", "cleaned", "feature_engineered", "ml_ready"
 PRIORITY = {READY: 4, ENGINEERED: 3, CLEANED: 2, ORIGINAL: 1}
-# Other names for a kind of version.
+# Other names for a kind of version; none means any kind.
 ALIASES = {
-    "raw": ORIGINAL, "original": ORIGINAL, "cleaned": CLEANED, "engineered": ENGINEERED,
-    "feature_engineered": ENGINEERED, "transformed": ENGINEERED, "ml_ready": READY,
+    "raw": ORIGINAL, "original": ORIGINAL, "cleaned": CLEANED, "feature_engineered": ENGINEERED, "engineered": ENGINEERED,
+    "ml_ready": READY, "transformed": None, "active": None, "latest": None,
 }
 SCHEMA = (
     "seq bigint, version int, version_type string, path string, parent int, is_active boolean, "
@@ -120,15 +120,19 @@ def _newest(rows: DataFrame, usable: Column) -> DataFrame:
 
 
 def resolve(spark: SparkSession, base: str, name: str | int | None = "raw") -> DataFrame:
-    """The manifest row for a name: raw, cleaned, engineered, ml_ready, active, latest or a number."""
+    """The manifest row for a name: raw, cleaned, engineered, ml_ready, transformed, active, latest or a number.
+
+    A kind means its newest active version; a name without a kind, or an unknown one, the newest active version
+    of all. Without one it is the original.
+    """
     rows, name = manifest(spark, base), str(name or "raw").strip().lower()
     if name.isdigit():
         return _newest(rows, F.col("version") == int(name))
-    if name == "latest":
-        return rows.orderBy(F.desc("version")).limit(1)
-    if name == "active":
-        return _newest(rows, F.col("is_active"))
-    return _newest(rows, F.col("version_type") == ALIASES.get(name, ORIGINAL))
+    kind = ALIASES.get(name)
+    if kind == ORIGINAL:
+        return _newest(rows, F.lit(False))
+    usable = F.col("is_active")
+    return _newest(rows, usable if kind is None else usable & (F.col("version_type") == kind))
 
 
 def load(chosen: DataFrame) -> DataFrame:

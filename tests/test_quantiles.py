@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from flatwork.operators.aggregate import aggregate
 from flatwork.operators.quantiles import modes, quantiles
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
@@ -18,15 +19,15 @@ def frame():
     return out
 
 
-@pytest.mark.parametrize("small_rows", [10**6, 0])
-def test_quantiles_equal_numpy_with_a_hot_value(spark, frame, small_rows):
-    got = quantiles(spark.createDataFrame(frame), ["v", "w"], PROBS, small_rows=small_rows).first()
+@pytest.mark.parametrize("ranges", [None, 40])
+def test_quantiles_equal_numpy_with_a_hot_value(spark, frame, ranges):
+    got = quantiles(spark.createDataFrame(frame), ["v", "w"], PROBS, ranges=ranges).first()
     for c in "vw":
         np.testing.assert_allclose(got[f"q_{c}"], frame[c].dropna().quantile(PROBS), rtol=1e-12)
 
 
 def test_banded_groups_keep_the_null_group(spark, frame):
-    rows = quantiles(spark.createDataFrame(frame), ["v"], PROBS, ["g"], small_rows=0).collect()
+    rows = quantiles(spark.createDataFrame(frame), ["v"], PROBS, ["g"], ranges=30).collect()
     want = frame.groupby("g", dropna=False)["v"]
     assert {r["g"] for r in rows} == {"a", "b", None}
     for r in rows:
@@ -34,6 +35,12 @@ def test_banded_groups_keep_the_null_group(spark, frame):
         np.testing.assert_allclose(r["q_v"], part.dropna().quantile(PROBS), rtol=1e-12)
 
 
+def test_a_group_without_values_stays(spark):
+    rows = spark.createDataFrame([("a", 1.0, 1), ("b", None, 2), ("c", 3.0, 3)], "g string, v double, w int")
+    got = aggregate(rows, ["g"], [("v", "median", "m"), ("w", "sum", "s")]).orderBy("g").collect()
+    assert [tuple(r) for r in got] == [("a", 1.0, 1.0), ("b", None, 2.0), ("c", 3.0, 3.0)]
+
+
 def test_mode_takes_the_smallest_of_ties(spark):
     rows = spark.createDataFrame([("x", 3), ("x", 2), ("x", 3), ("x", 2), ("y", None)], "g string, v int")
     assert [tuple(r) for r in modes(rows, "v", ["g"]).collect()] == [("x", 2, 2)]
@@ -41,5 +48,5 @@ def test_mode_takes_the_smallest_of_ties(spark):
 
 def test_one_value_and_no_value(spark):
     rows = spark.createDataFrame([(7.0, None)] * 40, "v double, w double")
-    got = quantiles(rows, ["v", "w"], [0.1, 0.9], small_rows=0).first()
+    got = quantiles(rows, ["v", "w"], [0.1, 0.9], ranges=30).first()
     assert got["q_v"] == [7.0, 7.0] and got["q_w"] == [None, None]
