@@ -90,9 +90,10 @@ def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                a, b = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in (0, 1))
+                # numpy counts the bits of a signed number's absolute value, so the bits are taken as unsigned.
+                a, b = (batch.column(c)[row].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
                 x, y = links(a, b, batch.column(2)[row].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
     return run
 
