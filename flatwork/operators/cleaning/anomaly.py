@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flatwork.functions.coerce import num
 from flatwork.operators.cleaning.density import dbscan
@@ -17,6 +17,7 @@ from flatwork.sources.checkpoints import cut_lineage
 
 TREES = 100
 TREE_ROWS = 256
+HASHES = 1 << 40
 
 
 def _quadratic(parts: Sequence[Column], matrix: np.ndarray) -> Column:
@@ -131,7 +132,6 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float
     names = [f"__v{i}" for i in range(len(columns))]
     work = df.withColumns(dict(zip(names, filled_columns(df, columns))))
     n = work.count()
-    pool_size = trees * TREE_ROWS
     rows_per_tree = min(TREE_ROWS, n)
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -140,19 +140,15 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float
         out = pd.DataFrame(nodes, columns=["feature", "cut", "left_node", "right_node", "path"])
         return out.assign(tree=key[0], node=range(len(nodes)))
 
-    from pyspark.sql import Window as W
-
-    rows = work.select(*names)
-    if n > 2 * pool_size:
-        # A big table gives every tree rows of its own, out of a sample of bounded size.
-        rows = rows.sample(min(1.0, 1.2 * pool_size / n), seed=42).limit(2 * pool_size).withColumn("__r", F.rand(42))
-        placed = rows.withColumn("__at", F.row_number().over(W.orderBy("__r")) - 1)
-        draws = placed.withColumn("tree", F.pmod("__at", F.lit(trees)).cast("int")).drop("__at")
-    else:
-        # A small one is drawn from once per tree.
-        draws = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("__r", F.rand(42))
-        first = W.partitionBy("tree").orderBy("__r")
-        draws = draws.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= rows_per_tree).drop("__at")
+    # A seeded hash of (row, tree) decides which trees may see a row, about twice as many rows as a tree needs; the
+    # lowest ones are taken. So each tree meets a bounded number of rows, whatever the size of the table.
+    share = int(min(1.0, (2 * rows_per_tree + 64) / max(n, 1)) * HASHES)
+    place = lambda t: F.pmod(F.xxhash64("__id", t, F.lit(42)), F.lit(HASHES))
+    numbered = work.select(*names, F.monotonically_increasing_id().alias("__id"))
+    draws = numbered.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < share)))
+    draws = draws.withColumn("__r", place(F.col("tree")))
+    first = W.partitionBy("tree").orderBy("__r", "__id")
+    draws = draws.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= rows_per_tree).drop("__at", "__id")
     schema = "feature int, cut double, left_node int, right_node int, path double, tree int, node int"
     grown = draws.groupBy("tree").applyInPandas(grow, schema).toPandas().sort_values(["tree", "node"])
     forest = [_tree_arrays(g) for _, g in grown.groupby("tree")]

@@ -88,8 +88,10 @@ def _dense_edges(points: DataFrame, pairs: DataFrame, eps: float, side: float, d
         decided = sure if decided is None else decided.unionByName(sure)
         open_pairs = cut_lineage(judged.join(sure, ["cell", "other"], "left_anti").drop("near", "far"))
         if open_pairs.isEmpty():
-            break
-    return decided
+            return decided
+        ends = open_pairs.select("cell").union(open_pairs.select("other")).distinct()
+        points = cut_lineage(points.join(ends, "cell", "left_semi"))
+    raise RuntimeError("Pairs of dense cells stayed undecided.")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -86,6 +86,8 @@ def fill_nearest(df: DataFrame, column: str, features: Sequence[str], k: int = 5
     known = work.where("__v is not null").groupBy(F.col("__x").alias("x")).agg(
         F.count("*").alias("w"), F.avg("__v").alias("payload")
     )
+    if known.isEmpty():  # nothing to learn from: missing stays missing
+        return df.withColumn(column, num(df, column))
     asked = work.where("__v is null").select(F.col("__x").alias("x"))
     near = nearest(asked, known, k).select("x", F.explode("near").alias("n"))
     guess = near.groupBy(F.col("x").alias("__kx")).agg(

@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flatwork.functions.coerce import num
-from flatwork.operators.joins import one_row
 from flatwork.operators.quantiles import quantiles
 
 BOX_POINTS = 2_000
@@ -38,11 +37,15 @@ def filled_columns(df: DataFrame, columns: Sequence[str]) -> list[Column]:
 
 
 def with_standardised(df: DataFrame, columns: Sequence[str], out: str = "__x") -> DataFrame:
-    """Add the array of z-scores (population spread; a constant column becomes 0)."""
+    """Add the array of z-scores (population spread; a constant column becomes 0).
+
+    Means and spreads are fetched once, two numbers per column: every use of a row's z-scores has the same bits, so
+    results can be joined back by them.
+    """
     plain = df.withColumns({f"__v{i}": c for i, c in enumerate(filled_columns(df, columns))})
     names = [f"__v{i}" for i in range(len(columns))]
-    stats = one_row(plain.agg(*[F.avg(n).alias(f"m{n}") for n in names], *[F.stddev_pop(n).alias(f"s{n}") for n in names]))
-    parts = [F.coalesce(F.try_divide(F.col(n) - stats[f"m{n}"], stats[f"s{n}"]), F.lit(0.0)) for n in names]
+    stats = plain.agg(*[F.avg(n).alias(f"m{n}") for n in names], *[F.stddev_pop(n).alias(f"s{n}") for n in names]).first()
+    parts = [(F.col(n) - stats[f"m{n}"]) / stats[f"s{n}"] if stats[f"s{n}"] else F.lit(0.0) for n in names]
     # Adding 0 turns -0.0 into 0.0, which group keys treat as equal anyway.
     return plain.withColumn(out, F.array(*[p + 0.0 for p in parts])).drop(*names)
 
