@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from flatwork.functions.coerce import TEMPORAL, col, numeric, temporal
+from flatwork.functions.coerce import NUMBER_TEXT, TEMPORAL, col, numeric, temporal
 
 # The accepted field names and output types.
 FIELD_NAME = r"^[A-Za-z][A-Za-z0-9_ ]{0,63}$"
@@ -264,7 +264,18 @@ def _compile(node: ast.expr, df: DataFrame, names: dict[str, str]) -> Term:
     raise ValueError(f"Not allowed in an expression: {type(node).__name__}")
 
 
-def _as_output(term: Term, output_type: str) -> Column:
+def _may_hold_numbers(node: ast.expr) -> bool:
+    """Whether a text result can be a number, told from the expression alone: text literals that are no numbers
+    cannot, whichever of them a condition picks."""
+    match node:
+        case ast.Constant(value=str(value)):
+            return bool(re.match(NUMBER_TEXT, value.strip()))
+        case ast.Call(func=ast.Name(id="if_else"), args=[_, *results]):
+            return any(map(_may_hold_numbers, results))
+    return True
+
+
+def _as_output(tree: ast.expr, term: Term, output_type: str) -> Column:
     kind = (output_type or "number").strip().lower()
     if kind in ("text", "category", "categorical", "string"):
         return term.text
@@ -274,13 +285,13 @@ def _as_output(term: Term, output_type: str) -> Column:
         return term.time
     if _family(term.dtype) == "number":
         return term.column.cast("double")
-    return term.number if isinstance(term.dtype, T.StringType) else term.column
+    return term.number if isinstance(term.dtype, T.StringType) and _may_hold_numbers(tree) else term.column
 
 
 def expression(df: DataFrame, text: str, output_type: str = "number") -> Column:
     """The Spark column of an expression over the columns of df."""
     tree, names = _parse(text, df.columns)
-    return _as_output(_compile(tree, df, names), output_type)
+    return _as_output(tree, _compile(tree, df, names), output_type)
 
 
 def dependency_columns(text: str, columns: Sequence[str]) -> list[str]:

@@ -273,8 +273,20 @@ register(
 register(
     "sort_numeric_text",
     "text_numbers",
-    lambda df: A.sort_table(df, "amount_text", ["id"], "low to high").limit(50).select("id", "amount_text"),
-    f"SELECT id, amount_text FROM text_numbers ORDER BY {NUM} NULLS LAST, amount_text, id LIMIT 50",
+    lambda df: A.sort_table(df, "amount_text", ["id"], "low to high").select("id", "amount_text"),
+    f"SELECT id, amount_text FROM text_numbers ORDER BY {NUM} NULLS LAST, amount_text, id",
+)
+register(
+    "group_median_null_group",
+    "sparse",
+    lambda df: A.aggregate(df.withColumn("g", F.col("id") % 7), ["g"], [("val", "median", "m"), ("id", "sum", "s")]).select("g", F.round("m", 4).alias("m"), "s"),
+    "SELECT id % 7 AS g, round(quantile_cont(val, 0.5), 4) AS m, CAST(sum(id) AS DOUBLE) AS s FROM sparse GROUP BY 1",
+)
+register(
+    "chart_measure_without_numbers",
+    "orders",
+    lambda df: A.grouped_chart(df, "o_orderstatus", [("o_orderdate", "sum")]),
+    "SELECT o_orderstatus, CAST(count(o_orderdate) AS DOUBLE) AS o_orderdate FROM orders GROUP BY 1",
 )
 register(
     "limit_clamped",

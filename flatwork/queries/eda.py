@@ -94,18 +94,21 @@ register(
         (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20) GROUP BY 1""",
 )
 register(
-    "box_by_median", "sparse", lambda df: E.box_by_median(df, "val", "grp").limit(2).select("grp", F.round("median", 4).alias("median")),
-    "SELECT grp, round(quantile_cont(val, 0.5), 4) AS median FROM sparse WHERE grp IS NOT NULL GROUP BY 1 ORDER BY 2, 1 LIMIT 2",
+    "box_by_median", "sparse", lambda df: E.box_by_median(df, "val", "grp").select("grp", F.round("median", 4).alias("median")),
+    "SELECT grp, round(quantile_cont(val, 0.5), 4) AS median FROM sparse WHERE grp IS NOT NULL GROUP BY 1 ORDER BY 2, 1",
 )
 register(
     "box_whiskers", "outliers",
     lambda df: E.box_whiskers(df.withColumn("g", F.col("id") % 3), "val", "g", ["id"]).select(
-        "g", "lower_whisker", "upper_whisker", "outlier_count", F.element_at("outliers", 1).alias("first_outlier")
+        "g", "lower_whisker", "upper_whisker", "outlier_count", F.size("outliers").cast("long").alias("listed"),
+        F.round(F.aggregate("outliers", F.lit(0.0), lambda a, v: a + v), 2).alias("listed_sum"), F.element_at("outliers", 1).alias("first_outlier")
     ),
     """WITH s AS (SELECT id % 3 AS g, id, val FROM outliers), q AS (SELECT g, quantile_cont(val, 0.25) AS a, quantile_cont(val, 0.75) AS b FROM s GROUP BY 1),
        m AS (SELECT s.*, val BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) AS inside FROM s JOIN q USING (g))
+       , r AS (SELECT *, row_number() OVER (PARTITION BY g, inside ORDER BY id) AS i FROM m)
        SELECT g, min(val) FILTER (inside) AS lower_whisker, max(val) FILTER (inside) AS upper_whisker, count(*) FILTER (NOT inside) AS outlier_count,
-       arg_min(val, id) FILTER (NOT inside) AS first_outlier FROM m GROUP BY 1""",
+       least(count(*) FILTER (NOT inside), 200) AS listed, round(sum(val) FILTER (NOT inside AND i <= 200), 2) AS listed_sum,
+       arg_min(val, id) FILTER (NOT inside) AS first_outlier FROM r GROUP BY 1""",
 )
 register(
     "box_summary", "outliers",
@@ -259,10 +262,19 @@ register(
 )
 register(
     "compare_correlation", "sparse cleaned",
-    lambda b, a: C.correlation_shift(b.select("id", "val"), a.select("id", "val"), ["id", "val"]).where("x_column = 'id' and y_column = 'val'")
-    .select("x_column", F.round("value_before", 8).alias("value_before"), F.round("value_after", 8).alias("value_after"), F.round("delta", 8).alias("delta")),
+    lambda b, a: C.correlation_shift(b.select("id", "val"), a.select("id", "val"), ["id", "val"])
+    .select("x_column", "y_column", F.round("value_before", 8).alias("value_before"), F.round("value_after", 8).alias("value_after"), F.round("delta", 8).alias("delta")),
     """WITH v AS (SELECT (SELECT corr(id, val) FROM sparse) AS b, (SELECT corr(id, val) FROM cleaned) AS a)
-       SELECT 'id' AS x_column, round(b, 8) AS value_before, round(a, 8) AS value_after, round(a - b, 8) AS delta FROM v""",
+       SELECT x_column, y_column, round(CASE WHEN x_column = y_column THEN 1.0 ELSE b END, 8) AS value_before,
+         round(CASE WHEN x_column = y_column THEN 1.0 ELSE a END, 8) AS value_after, round(CASE WHEN x_column = y_column THEN 0.0 ELSE a - b END, 8) AS delta
+       FROM v, (VALUES ('id', 'id'), ('id', 'val'), ('val', 'id'), ('val', 'val')) c(x_column, y_column)""",
+)
+register(
+    "correlation_large_offset", "orders",
+    lambda df: E.correlation(df.select((1e9 + F.col("o_totalprice") / 1e7).alias("a"), (1e9 + F.col("o_custkey") / 1e5).alias("b")), ["a", "b"])
+    .select("x_column", "y_column", F.round("value", 4).alias("value")),
+    """WITH v AS (SELECT round(corr(1e9::DOUBLE + o_totalprice / 1e7::DOUBLE, 1e9::DOUBLE + o_custkey / 1e5::DOUBLE), 4) AS r FROM orders)
+       SELECT x AS x_column, y AS y_column, CASE WHEN x = y THEN 1.0 ELSE r END AS value FROM v, (VALUES ('a', 'a'), ('a', 'b'), ('b', 'a'), ('b', 'b')) c(x, y)""",
 )
 register(
     "compare_features", "sparse cleaned",

@@ -232,9 +232,10 @@ register(
     "column_evidence",
     "sparse",
     lambda df: P.column_evidence(df, ["grp", "val"], ["id"]).select(
-        "column_name", "missing_count", "unique_count", F.round("mean", 4).alias("mean"), F.element_at("samples", 1).alias("first_sample")
+        "column_name", "missing_count", "unique_count", F.round("mean", 4).alias("mean"), F.array_join("samples", "|").alias("samples")
     ),
     """SELECT 'grp' AS column_name, count(*) - count(grp) AS missing_count, count(DISTINCT grp) AS unique_count, CAST(NULL AS DOUBLE) AS mean,
-       arg_min(grp, id) FILTER (grp IS NOT NULL) AS first_sample FROM sparse UNION ALL
-       SELECT 'val', count(*) - count(val), count(DISTINCT val), round(avg(val), 4), CAST(arg_min(val, id) FILTER (val IS NOT NULL) AS VARCHAR) FROM sparse""",
+       (SELECT string_agg(v, '|' ORDER BY i) FROM (SELECT grp AS v, min(id) AS i FROM sparse WHERE grp IS NOT NULL GROUP BY 1 ORDER BY 2 LIMIT 5)) AS samples FROM sparse UNION ALL
+       SELECT 'val', count(*) - count(val), count(DISTINCT val), round(avg(val), 4),
+       (SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY i) FROM (SELECT val AS v, min(id) AS i FROM sparse WHERE val IS NOT NULL GROUP BY 1 ORDER BY 2 LIMIT 5)) FROM sparse""",
 )

@@ -91,6 +91,21 @@ register(
     "versions_approved_types", "sparse", _types,
     "SELECT c AS column_name, CASE c WHEN 'val' THEN 'Currency / Amount' WHEN 'id' THEN 'Identifier' END AS approved_type FROM (VALUES ('id'), ('ts'), ('grp'), ('val')) v(c)",
 )
+def _deactivated(df):
+    spark, base = _history(df)
+    V._change(spark, base, 4, is_active=False)
+    return V.load(V.resolve(spark, base, "latest")).select("id", "grp_head")
+
+
+register("versions_latest", "sparse", _load("latest", "id", "val"), "SELECT id, coalesce(val, 0) AS val FROM sparse")
+register("versions_transformed", "sparse", _load("transformed", "id", "val"), "SELECT id, coalesce(val, 0) AS val FROM sparse")
+register("versions_unknown_name", "sparse", _load("no such kind", "id", "val"), "SELECT id, coalesce(val, 0) AS val FROM sparse")
+register("versions_inactive", "sparse", _deactivated, "SELECT id, left(grp, 1) AS grp_head FROM sparse")
+register(
+    "csv_quoted_breaks", "orders",
+    lambda df: _csv(df.select(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('", x')).alias("note"))),
+    """SELECT o_orderkey AS id, o_orderpriority || chr(10) || '"' || o_orderstatus || '", x' AS note FROM orders""",
+)
 register(
     "csv_roundtrip", "text_numbers",
     lambda df: _csv(df).select("id", F.col("amount_text").alias("amount")),
@@ -102,5 +117,5 @@ def _csv(df):
     from flatwork.sources.readers import read_table
 
     path = f"{_base(df)}.csv"
-    df.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    df.write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return read_table(df.sparkSession, path)
