@@ -36,7 +36,7 @@ AGGREGATION_ALIASES = {
     "first": "first",
     "last": "last",
 }
-ASCENDING = ("ascending", "asc", "smallest", "low_to_high", "low to high", "a-z", "oldest")
+ASCENDING = ("asc", "ascending", "smallest", "low_to_high", "low to high", "a-z", "oldest")
 
 
 #: Parts that a group is ranked in before its best rows meet.

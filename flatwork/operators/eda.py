@@ -255,8 +255,8 @@ def box_summary(df: DataFrame, column: str, order_by: Sequence[str] = (), keep:
 def density(df: DataFrame, column: str, group: str | None = None, points: int = 200, top: int = 30) -> DataFrame:
     """Gaussian kernel density on an even grid over the data range, Scott bandwidth.
 
-    Every row meets the grid inside its own task and only the sums of the grid points travel. A
-    group without spread has no density.
+    Every task sums its own rows at the grid points, and only those sums travel: `points` rows per group and task.
+    A group without spread has no density.
     """
     by = [GROUP] if group else []
     values = _values(df, column, group)
@@ -272,11 +272,25 @@ def density(df: DataFrame, column: str, group: str | None = None, points: int =
     else:
         facts = one_row(stats)
         joined = values.withColumns({n: facts[n] for n in ("n", "low", "high", "h")}).where("h is not null")
-    x = F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / (points - 1)
-    spread = joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    kernel = F.sum(F.exp(-0.5 * z * z)) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))
-    out = spread.groupBy(*by, "point").agg(F.first("x").alias("x"), kernel.alias("density"))
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for frame in frames:
+            for key, part in frame.groupby(GROUP, dropna=False) if by else [(None, frame)]:
+                n, low, high, h = part[["n", "low", "high", "h"]].iloc[0]
+                if key not in sums:
+                    sums[key] = (n, h, low + np.arange(points) * (high - low) / (points - 1), np.zeros(points))
+                x, total = sums[key][2:]
+                v = part["v"].to_numpy()
+                for at in range(0, len(v), 4096):
+                    total += np.exp(-0.5 * ((x - v[at : at + 4096, None]) / h) ** 2).sum(axis=0)
+        for key, (n, h, x, total) in sums.items():
+            own = {GROUP: [key] * points} if by else {}
+            yield pd.DataFrame(own | {"point": range(points), "x": x, "part": total / (n * h * math.sqrt(2 * math.pi))})
+
+    kind = [f"`{GROUP}` {joined.schema[GROUP].dataType.simpleString()}"] if by else []
+    summed = joined.mapInPandas(partial, ", ".join([*kind, "point int, x double, part double"]))
+    out = summed.groupBy(*by, "point").agg(F.first("x").alias("x"), F.sum("part").alias("density"))
     return out.withColumnRenamed(GROUP, group) if group else out
 
 
@@ -439,7 +453,7 @@ def target_balance(df: DataFrame, target: str) -> DataFrame:
 
 
 # What counts as the positive and the negative class.
-POSITIVE, NEGATIVE = ["1", "yes", "true", "y", "positive"], ["0", "no", "false", "n", "negative"]
+POSITIVE, NEGATIVE = ["yes", "y", "true", "1", "positive"], ["no", "n", "false", "0", "negative"]
 
 
 def target_rate(df: DataFrame, category: str, target: str, n: int = 30) -> DataFrame:
