@@ -211,25 +211,6 @@ def _sort_groups(length: int):
     return run
 
 
-def _extract(length: int):
-    """The strings of contexts out of their documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["core", "doc_id", "check", "start", "known", "big", "string"]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-        for batch in batches:
-            texts, wanted = text_bytes(batch.column(2)), batch.column(3)
-            for row, (doc, check) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                text = texts[row]
-                rows = [
-                    (w["core"], doc, check, w["start"], w["known"], w["big"], text[w["start"] : w["start"] + w["n"] - 1 + length])
-                    for w in wanted[row].as_py()
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-    return run
-
-
 def _window_hashes(length: int):
     """128 bits for every string of `length` bytes of a context."""
 
@@ -303,9 +284,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
     wanted = open_.groupBy("doc_id", "check").agg(F.collect_list(F.struct("core", "start", "n", "known", "big")).alias("wanted"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["check"] == b["check"])
     plain = texts.select("doc_id", "check", "text")
-    found = plain.join(wanted, same(plain, wanted)).select(plain["doc_id"], plain["check"], F.col("text").cast("binary"), "wanted")
-    types = "core long, doc_id long, check long, start long, known boolean, big boolean, string binary"
-    strings = stored(found.mapInArrow(_extract(length), types))
+    found = plain.join(wanted, same(plain, wanted)).select(plain["doc_id"], plain["check"], F.col("text").cast("binary").alias("t"), F.explode("wanted").alias("w"))
+    string = F.substring("t", F.col("w.start").cast("int") + 1, F.col("w.n").cast("int") + (length - 1)).alias("string")
+    strings = stored(found.select("w.core", "doc_id", "check", "w.start", "w.known", "w.big", string))
 
     small = strings.where("not big").select("core", "doc_id", "check", "start", "known", "string")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
