@@ -29,7 +29,7 @@ from flatwork.llm.common import shared_folder, slices, stored
 from flatwork.llm.tokens import encode_texts
 
 MAX_BITS = 20
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 CHECKPOINT_IDS = 1 << 9
 
 
@@ -72,14 +72,15 @@ class Coder:
 
     def __init__(self, lengths: dict[int, int]):
         self.ids, self.bits, self.codes = canonical(lengths)
-        self.order = np.argsort(self.ids)
-        self.sorted_ids = self.ids[self.order]
+        # From an id to its row: an id is below the size of the vocabulary.
+        self.row = np.zeros(int(self.ids.max(initial=0)) + 1, np.int64)
+        self.row[self.ids] = np.arange(len(self.ids))
         self.top = int(self.bits.max(initial=1))
         self.table = np.repeat(np.arange(len(self.ids), dtype=np.int32), 1 << (self.top - self.bits))
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits of ids, and the bit offset of every CHECKPOINT_IDS-th."""
-        row = self.order[np.searchsorted(self.sorted_ids, ids)]
+        row = self.row[ids]
         bits = self.bits[row]
         ends = np.cumsum(bits)
         starts, total = ends - bits, int(ends[-1]) if len(ends) else 0
@@ -111,19 +112,17 @@ class Coder:
 
 def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
     """Documents in ascending order, encoded by the tokenizers library with the end id appended, as blocks
-    of packed ids: part and place (order of the blocks), doc_ids, n_tokens, ids."""
+    of packed ids: part and place (order of the blocks), own (ids before it in its part), doc_ids, n_tokens, ids."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[int | None] = []
         held: list[bytes] = []
-        place, size = 0, 0
+        place, own, size = 0, 0, 0
 
         def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(([place], [docs], [[len(h) // 4 for h in held]], [b"".join(held)]), BLOCK_TYPES)],
-                ["place", "doc_ids", "n_tokens", "ids"],
-            )
+            values = [place], [own], [docs], [[len(h) // 4 for h in held]], [b"".join(held)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, BLOCK_TYPES)], ["place", "own", "doc_ids", "n_tokens", "ids"])
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -134,7 +133,7 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_
                     size += len(held[-1]) // 4
                     if size >= block_ids:
                         yield block()
-                        docs, held, size, place = [], [], 0, place + 1
+                        docs, held, size, place, own = [], [], 0, place + 1, own + size
         if docs:
             yield block()
 
@@ -145,11 +144,11 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_
         .repartitionByRange(parts, "d")
         .sortWithinPartitions("d", F.xxhash64("t"))
     )
-    blocks = ordered.mapInArrow(run, "place long, doc_ids array<long>, n_tokens array<long>, ids binary")
+    blocks = ordered.mapInArrow(run, "place long, own long, doc_ids array<long>, n_tokens array<long>, ids binary")
     return blocks.withColumn("part", F.spark_partition_id())  # ranges are numbered in the order of their keys
 
 
-BLOCK_TYPES = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+BLOCK_TYPES = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
 
 
 def counts(blocks: DataFrame, ids: str = "ids") -> dict[int, int]:
@@ -181,21 +180,20 @@ def write(blocks: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(lengths)
         for batch in batches:
-            made = [coder.encode(np.frombuffer(p, "<u4").astype(np.int64)) for p in batch.column("ids").to_pylist()]
+            made = [coder.encode(np.frombuffer(p, "<u4")) for p in batch.column("ids").to_pylist()]
             names = ["block", "first_token", "doc_ids", "n_tokens"]
             values = [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + values, [*names, "payload", "checkpoints"])
 
-    # Sums in two levels: blocks within a range, and ranges within the table, one row per task that wrote.
-    sized = blocks.withColumn("n", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x))
-    inside = W.partitionBy("part").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    own = sized.select("part", "place", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("own"))
+    # What lies before a range: one row for each task that wrote, so it may be broadcast.
+    n = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    ranges = sized.groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("b")).select(
+    ranges = blocks.groupBy("part").agg(F.sum(n).alias("n"), F.count("*").alias("b")).select(
         "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("t"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b")
     )
-    placed = own.join(ranges, "part").select("part", "place", (F.col("t") + F.col("own")).alias("first_token"), (F.col("b") + F.col("place")).alias("block"))
-    numbered = blocks.join(placed, ["part", "place"]).select("block", "first_token", "doc_ids", "n_tokens", "ids")
+    numbered = blocks.join(F.broadcast(ranges), "part").select(
+        (F.col("b") + F.col("place")).alias("block"), (F.col("t") + F.col("own")).alias("first_token"), "doc_ids", "n_tokens", "ids"
+    )
     out = "block long, first_token long, doc_ids array<long>, n_tokens array<long>, payload binary, checkpoints array<long>"
     numbered.mapInArrow(code, out).write.parquet(f"{path}/blocks")
 
@@ -208,12 +206,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         coder = Coder(lengths)
         for batch in batches:
             for row in range(batch.num_rows):
-                first, docs, sizes, payload, marks = (batch.column(i)[row].as_py() for i in range(5))
+                first, payload = batch.column(0)[row].as_py(), batch.column(3)[row].as_py()
+                sizes, marks = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in (2, 4))
                 ends = np.cumsum(sizes)
-                packed = coder.decode(payload, np.array(marks, np.int64), int(ends[-1])).astype("<u4").tobytes()
-                columns = [docs, first + ends - np.array(sizes), sizes, [packed[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), sizes)]]
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "start", "n_tokens", "ids"])
+                packed = coder.decode(payload, marks, int(ends[-1])).astype("<u4").tobytes()
+                values = [packed[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), sizes.tolist())]
+                arrays = [batch.column(1)[row].values, *[pa.array(c, pa.int64()) for c in (first + ends - sizes, sizes)], pa.array(values, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids"])
 
     blocks = spark.read.parquet(f"{path}/blocks").select("first_token", "doc_ids", "n_tokens", "payload", "checkpoints")
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
