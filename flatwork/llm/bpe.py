@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 import heapq
 import json
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flatwork.functions.coerce import col
 from flatwork.llm.common import slices
-from flatwork.llm.tokens import MEMORY_PIECE_LENGTH, MEMORY_PIECES, SPACE, piece_rule, words
-
-
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes stand
-    for themselves, the others follow from code point 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
+from flatwork.llm.tokens import PieceMemory, Words, piece_rule, words
 
 
 class Bpe:
@@ -45,20 +36,17 @@ class Bpe:
             raise ValueError("Only byte-level BPE vocabularies that split by one pattern and drop white space are supported.")
         if spec.get("decoder") is not None or piece_rule(spec) is None:
             raise ValueError("This vocabulary file asks for rules that are not supported.")
-        kinds = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", ())}
-        self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
-        self.words = regex.compile(steps[0]["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}"))
+        self.words = Words(spec)
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
-        self.letters = byte_letters()
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.table = [self.strings.get(i) for i in range(max(self.strings, default=0) + 1)]
         self.whole = None not in self.table
-        self.memory: dict[str, bytes] = {}
+        self.memory = PieceMemory(lambda pieces: [self.piece(p) for p in pieces])
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first and leftmost among equals."""
@@ -81,18 +69,12 @@ class Bpe:
                 heapq.heappush(queue, (m[0], before[i], m[1], symbols[before[i]], made))
         return [s for s, a in zip(symbols, alive) if a]
 
-    def _word(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += self.suffix
-        return self.merge([self.vocab[x] for x in letters if x in self.vocab])
-
     def _plain(self, piece: str) -> list[int]:
-        if self.nfc and not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece)
-        if self.lower:
-            # Letter by letter: a sigma at the end of a word has no form of its own.
-            piece = piece.replace("Σ", "σ").lower()
-        return [i for w in self.words.findall(piece) for i in self._word(w)]
+        ids: list[int] = []
+        for word in self.words.split(piece):
+            letters = [*word[:-1], word[-1] + self.suffix]
+            ids += self.merge([self.vocab[x] for x in letters if x in self.vocab])
+        return ids
 
     def piece(self, piece: str) -> bytes:
         """Packed ids of text without white space."""
@@ -104,18 +86,7 @@ class Bpe:
         return np.array(ids + self._plain(piece[at:]), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [words(t) for t in texts]
-        if len(self.memory) > MEMORY_PIECES:
-            self.memory.clear()
-        memory = self.memory
-        new = set().union(*pieces).difference(memory)
-        for p in new:
-            memory[p] = self.piece(p)
-        out = [b"".join(map(memory.__getitem__, p)) for p in pieces]
-        for p in new:
-            if len(p) > MEMORY_PIECE_LENGTH:
-                del memory[p]
-        return out
+        return self.memory.joined([words(t) for t in texts])
 
     def decode(self, packed: bytes) -> str:
         """The vocabulary strings of the ids, a blank between two; an unknown id gives nothing."""
@@ -137,14 +108,14 @@ def model(path: str) -> Bpe:
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the packed ids (little-endian unsigned 32-bit integers) of whole texts."""
 
-    @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
         own, values, made = model(path), [t or "" for t in texts.to_pylist()], []
         for a, b in slices([len(t) for t in values]):
             made += own.encode(values[a:b])
         return pa.array(made, pa.binary())
 
-    return df.withColumn(out, run(col(text)))
+    # Called non-deterministic, so that a plan that uses the ids twice doesn't encode twice.
+    return df.withColumn(out, F.arrow_udf(run, "binary").asNondeterministic()(col(text)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -1,9 +1,9 @@
 """Token ids of whole texts by the `tokenizers` library, as packed little-endian unsigned 32-bit ids.
 
 A word that comes back a thousand times is encoded once: texts fall into pieces at places where the
-tokenizer's own rules never join two sides, distinct pieces go to the library, and a bounded memory
-keeps their ids. Where a tokenizer's rules are not known to allow that, or a text holds the literal
-form of a special token, the library gets the whole text.
+tokenizer's own rules never join two sides, the words of new pieces go to the library's model, and a
+bounded memory keeps the ids of pieces. Where a tokenizer's rules are not known to allow that, or a
+text holds the literal form of a special token, the library gets the whole text.
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ import functools
 import json
 import os
 import re
+import struct
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, functions as F
 
 from flatwork.llm.common import slices
@@ -24,8 +27,13 @@ from flatwork.llm.common import slices
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What Python's split() takes for white space beyond that.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
-MEMORY_PIECES = 400_000
-MEMORY_PIECE_LENGTH = 64
+#: Pieces that one generation of a worker's memory holds, and the letters of the longest one kept.
+MEMORY_PIECES = 200_000
+MEMORY_WORDS = 80_000
+MEMORY_PIECE_LENGTH = 40
+
+#: Fixed value: the pattern of the byte-level pre-tokenizer.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: A word with the blank before it, or a run of white space up to its last one: no pre-token of the
 #: byte-level rule crosses these borders.
@@ -56,6 +64,78 @@ def piece_rule(spec: dict) -> Callable[[str], list[str]] | None:
     return None
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes stand
+    for themselves, the others follow from code point 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class Words:
+    """The words of a piece, in the letters of a byte-level vocabulary, as a vocabulary file asks for them."""
+
+    def __init__(self, spec: dict):
+        kinds = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", ())}
+        self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        pattern = steps[0]["pattern"]["Regex"] if steps else BYTE_LEVEL
+        self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
+        self.letters = dict(enumerate(byte_letters()))
+
+    def split(self, piece: str) -> list[str]:
+        if self.nfc and not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece)
+        if self.lower:
+            # Letter by letter: a sigma at the end of a word has no form of its own.
+            piece = piece.replace("Σ", "σ").lower()
+        # Most pieces are one word, perhaps with a mark behind it.
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha():
+            found = [piece]
+        elif body[-1:] in (",", ".") and body[:-1].isalpha():
+            found = [piece[:-1], piece[-1]]
+        else:
+            found = self.pattern.findall(piece)
+        if piece.isascii() and piece.isprintable():
+            return [w.replace(" ", self.letters[32]) for w in found] if " " in piece else found
+        return [w.encode().decode("latin-1").translate(self.letters) for w in found]
+
+
+class PieceMemory:
+    """Packed ids of pieces in two generations: when the young one is full it becomes the old one, and a
+    piece that is asked for again moves back. So frequent pieces stay, and memory is bounded."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode = encode
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """The packed ids of texts that are given as pieces."""
+        young, old = self.young, self.old
+        new = set().union(*texts).difference(young)
+        back = [p for p in new if p in old]
+        young.update((p, old[p]) for p in back)
+        fresh = list(new.difference(back))
+        young.update(zip(fresh, self.encode(fresh)))
+        out = [b"".join(map(young.__getitem__, pieces)) for pieces in texts]
+        for p in fresh:
+            if len(p) > MEMORY_PIECE_LENGTH:
+                del young[p]
+        if len(self.young) > MEMORY_PIECES:
+            self.young, self.old = {}, self.young
+        return out
+
+
+_PACKERS = [struct.Struct(f"<{n}I") for n in range(32)]
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return _PACKERS[len(ids)].pack(*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceEncoder:
     """Packed ids of texts, with a bounded memory of pieces."""
 
@@ -70,27 +150,36 @@ class PieceEncoder:
         self.library.no_padding()
         self.cut = piece_rule(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
-        self.memory: dict[str, bytes] = {}
+        self.words = Words(spec) if self.cut else None
+        self.model = self.library.model
+        self.known_words: dict[str, bytes] = {}
+        self.memory = PieceMemory(self._pieces)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut, special = self.cut, self.special
-        pieces = [None if cut is None or any(s in t for s in special) else cut(t) for t in texts]
-        if len(self.memory) > MEMORY_PIECES:
-            self.memory.clear()
-        memory = self.memory
-        new = list(set().union(*[p for p in pieces if p]).difference(memory))
-        known = dict(zip(new, self._library(new)))
-        long = {p: known[p] for p in new if len(p) > MEMORY_PIECE_LENGTH}
-        memory.update(known)
-        whole = iter(self._library([t for t, p in zip(texts, pieces) if p is None]))
-        out = [next(whole) if p is None else b"".join(map(memory.__getitem__, p)) for p in pieces]
-        for p in long:
-            del memory[p]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        known, split, tokenize, out = self.known_words, self.words.split, self.model.tokenize, []
+        if len(known) > MEMORY_WORDS:
+            known.clear()
+        for piece in pieces:
+            parts = []
+            for word in split(piece):
+                ids = known.get(word)
+                if ids is None:
+                    ids = packed_ids([t.id for t in tokenize(word)])
+                    if len(word) <= MEMORY_PIECE_LENGTH:
+                        known[word] = ids
+                parts.append(ids)
+            out.append(parts[0] if len(parts) == 1 else b"".join(parts))
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [self.cut is None or any(s in t for s in self.special) for t in texts]
+        rest = iter(self._library([t for t, w in zip(texts, whole) if w]))
+        cut = iter(self.memory.joined([self.cut(t) for t, w in zip(texts, whole) if not w]))
+        return [next(rest) if w else next(cut) for w in whole]
+
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> PieceEncoder:
