@@ -98,7 +98,7 @@ def derived_lengths(examples: DataFrame, source: str, expected: str) -> DataFram
     return pairs.agg(*[F.when(F.min(n) == F.max(n), F.min(n)).alias(k) for k, n in kinds.items()])
 
 
-def infer_rules(examples: DataFrame, source: str, expected: str, mapping_limit: int = 1000) -> DataFrame:
+def infer_rules(examples: DataFrame, source: str, expected: str) -> DataFrame:
     """Every rule scored by the share of examples it reproduces, best first.
 
     One pass: all candidate rules become columns of the examples, then one grouped average. Rules
