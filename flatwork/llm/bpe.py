@@ -25,6 +25,9 @@ from flatwork.llm.common import slices
 from flatwork.llm.tokens import PieceMemory, Words, piece_rule, words
 
 
+MEMORY_PIECES = 150_000
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file of the word kind (words lower-cased, blanks dropped)."""
 
@@ -46,7 +49,8 @@ class Bpe:
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.table = [self.strings.get(i) for i in range(max(self.strings, default=0) + 1)]
         self.whole = None not in self.table
-        self.memory = PieceMemory(lambda pieces: [self.piece(p) for p in pieces])
+        # A plan that encodes and decodes runs two workers for each task, so this one remembers less.
+        self.memory = PieceMemory(lambda pieces: [self.piece(p) for p in pieces], MEMORY_PIECES)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first and leftmost among equals."""

@@ -106,8 +106,9 @@ class PieceMemory:
     """Packed ids of pieces in two generations: when the young one is full it becomes the old one, and a
     piece that is asked for again moves back. So frequent pieces stay, and memory is bounded."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pieces: int | None = None):
         self.encode = encode
+        self.pieces = pieces or MEMORY_PIECES
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -123,7 +124,7 @@ class PieceMemory:
         for p in fresh:
             if len(p) > MEMORY_PIECE_LENGTH:
                 del young[p]
-        if len(self.young) > MEMORY_PIECES:
+        if len(self.young) > self.pieces:
             self.young, self.old = {}, self.young
         return out
 
