@@ -17,6 +17,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,7 +26,7 @@ from flatwork.llm.common import slices
 from flatwork.llm.tokens import PieceMemory, Words, piece_rule, words
 
 
-MEMORY_PIECES = 150_000
+MEMORY_PIECES = 80_000
 
 
 class Bpe:
@@ -109,13 +110,17 @@ def model(path: str) -> Bpe:
     return Bpe(path)
 
 
+def _sizes(column: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the packed ids (little-endian unsigned 32-bit integers) of whole texts."""
 
     def run(texts: pa.Array) -> pa.Array:
-        own, values, made = model(path), [t or "" for t in texts.to_pylist()], []
-        for a, b in slices([len(t) for t in values]):
-            made += own.encode(values[a:b])
+        own, made = model(path), []
+        for a, b in slices(_sizes(texts)):  # only a slice of the batch is held as Python strings
+            made += own.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
         return pa.array(made, pa.binary())
 
     # Called non-deterministic, so that a plan that uses the ids twice doesn't encode twice.
@@ -127,7 +132,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     @F.arrow_udf("string")
     def run(packed: pa.Array) -> pa.Array:
-        own = model(path)
-        return pa.array([own.decode(p or b"") for p in packed.to_pylist()], pa.string())
+        own, made = model(path), []
+        for a, b in slices(_sizes(packed)):
+            texts = [own.decode(p or b"") for p in packed.slice(a, b - a).to_pylist()]
+            made.append(pa.array(texts, pa.string()))
+        return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     return df.withColumn(out, run(col(ids)))
