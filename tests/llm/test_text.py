@@ -191,6 +191,21 @@ def test_redaction(private):
     assert pii.redact(df.where("false")).count() == pii.find(df.where("false")).count() == 0
 
 
+def test_ibans_end_where_their_country_says(spark):
+    plain, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    rest = [" Please pay", " AND MORE", " 2024-01-01", " 2024", "", ".", " Bitte", " DE", f" {spaced}", " BE68 5390 0754 7034 X1"]
+    cases = [f"{lead}{iban}{tail}" for lead in ("", "IBAN ", "REF BE12 ", "é NO12 ", "AB12 ") for iban in (plain, spaced, "GB82WEST12345698765432", "NO93 8601 1117 947") for tail in rest]
+    cases += [f"{plain}X", f"X{plain}", "DE89370400440532013001 Please", "DE8937040044053201300", "ZZ89370400440532013000", f"{plain} " * 700]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "iban"] for r in pii.find(df).collect()}
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(df.withColumn("text", F.col("text"))).collect()}
+    known = sorted([plain, spaced, "GB82WEST12345698765432", "NO93 8601 1117 947", "BE68 5390 0754 7034"])
+    for i, t in enumerate(cases):
+        want = [m.span() for m in re.finditer(rf"(?<![A-Za-z0-9])(?:{'|'.join(known)})(?![A-Za-z0-9])", t)]
+        assert spans[i] == want, t[:80]
+        assert texts[i].count("[IBAN]") == len(want) and not any(re.search(rf"(?<![A-Za-z0-9]){k}(?![A-Za-z0-9])", texts[i]) for k in known), t[:80]
+
+
 # ---- language ---------------------------------------------------------------------------------
 
 
