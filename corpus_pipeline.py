@@ -1,8 +1,8 @@
 """The training-data pipeline: five operators of `flatwork.llm` in a row over `documents`.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that
-`run` writes as Parquet and reads again. All stages but the last return the columns of documents. Rows that
-share a doc_id are one document; null doc_ids are one document too. A null text has no letter, so its
+`run` writes as Parquet and reads again. All stages but the last return the columns of documents. Every row
+is a document; rows that share a doc_id, or have none, stay apart. A null text has no letter, so its
 document goes at the first stage. An empty table passes through all stages.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flatwork.llm import langid, packing, pii, simhash, suffixes
 from flatwork.llm.common import stored
@@ -18,7 +18,6 @@ from flatwork.llm.tokens import default_path
 
 TOKENIZER = "byte_bpe_50k.json"
 PASSAGE_BYTES = 200
-NO_ID = -(1 << 63)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    groups = simhash.near_duplicates(docs, words=3, radius=3)
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__k")).distinct()
-    kept = docs.withColumn("__k", key).join(first, "__k", "left_semi")
-    once = kept.withColumn("__n", F.row_number().over(W.partitionBy("__k").orderBy(F.xxhash64("text"))))
-    return once.where("__n = 1").select(*docs.columns)
+    """One row of each group of near copies: the smallest doc_id, null last."""
+    return simhash.one_of_each(docs, words=3, radius=3)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

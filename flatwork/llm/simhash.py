@@ -124,11 +124,26 @@ def links(fingerprints: DataFrame, radius: int = 3) -> DataFrame:
     return met.select("a", "b", "same").mapInArrow(_compare(radius), "a long, b long")
 
 
+def _named(rows: DataFrame, first: Column, radius: int) -> DataFrame:
+    """fp and first (its minimum in the whole component) of every fingerprint of the rows."""
+    distinct = stored(rows.groupBy("fp").agg(F.min(first).alias("first")))
+    roots = components(links(distinct, radius))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", F.col("least").alias("first"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (long) and component_id (smallest doc_id reachable by links) of every row."""
     rows = stored(docs.select(col(doc_id).alias("doc_id"), fingerprint(col(text), words).alias("fp")))
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    named = _named(rows, F.col("doc_id"), radius)
+    return rows.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with the columns of the input: the smallest doc_id, null last, and of rows
+    that share it the first by a number that is written with the row."""
+    given = F.struct(*[col(c) for c in docs.columns]).alias("row")
+    rows = stored(docs.select(given, col(doc_id).alias("doc_id"), fingerprint(col(text), words).alias("fp")).withColumn("number", F.monotonically_increasing_id()), "zstd")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")
+    kept = _named(rows, least, radius).select("first.number").distinct()
+    return rows.select("number", "row").join(kept, "number", "left_semi").select("row.*")

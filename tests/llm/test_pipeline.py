@@ -51,3 +51,16 @@ def test_decisions(spark, docs, sf):
     assert [tuple(r)[1] for r in stages["PII"](spark, df, sf).orderBy("doc_id").collect()] == ["mail [EMAIL]", None]
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), sf).count() == 0, name
+
+
+def test_near_copies_keep_one_row_of_each_group(spark, sf):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80))
+    texts = [text() for _ in range(30)]
+    rows = [(None, t) for t in texts[:20] for _ in range(2)]  # unlike texts without an id, each twice
+    rows += [(7, texts[20]), (7, texts[21]), (8, texts[20]), (9, texts[21]), (7, texts[20])]  # one id in two groups
+    rows += [(5, texts[0]), (None, texts[22]), (3, texts[22]), (4, texts[22])]  # an id goes before none
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, df, sf).collect()]
+    want = [(5, texts[0]), *[(None, t) for t in texts[1:20]], (7, texts[20]), (7, texts[21]), (3, texts[22])]
+    assert sorted(got, key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
