@@ -14,9 +14,9 @@ when their texts can agree, so the work is dealt by content before it is sorted:
 4. A core with more than GROUP distinct contexts is not sorted in one place: the hashes (128 bits) of its
    strings are counted instead, which gives the same answer for any number of rows.
 
-Nulls and empty texts have no byte and nothing removed. Repeated rows are copies of each other. Rows with
-the same doc_id and different texts are kept apart. A null doc_id is a key like any other. An empty table
-gives no rows.
+The input is written once with a number for each row, and rows are told apart by that alone, whatever
+their doc_id. Nulls and empty texts have no byte and nothing removed. Repeated rows are copies of each
+other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flatwork.functions.coerce import col
 from flatwork.llm.common import slices, stored, text_bytes
@@ -35,8 +35,8 @@ GRAM = 64
 GROUP = 1024
 #: Bytes that are sorted at a time, unless one group alone holds more (GROUP contexts at most).
 SORT_BYTES = 1 << 18
-#: Layout of `place`: a check of the text, the first start, the number of starts.
-STARTS_BITS, OFFSET_BITS, CHECK_BITS = 10, 32, 21
+#: Layout of `place`: the first start, then the number of starts.
+STARTS_BITS = 10
 
 
 def _gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -91,12 +91,12 @@ def contexts(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, checks, texts = batch.column(0), batch.column(1).to_numpy(), text_bytes(batch.column(2))
+            numbers, texts = batch.column(0), text_bytes(batch.column(1))
             for a, b in slices([len(t) for t in texts]):
                 of, offset, n, core, own = contexts(texts[a:b], length)
-                place = (checks[a:b][of] << (STARTS_BITS + OFFSET_BITS)) | (offset << STARTS_BITS) | n
-                arrays = [keys.take(pa.array(of + a)), *[pa.array(x, pa.int64()) for x in (place, core, own)]]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "place", "core", "own"])
+                place = (offset << STARTS_BITS) | n
+                arrays = [numbers.take(pa.array(of + a)), *[pa.array(x, pa.int64()) for x in (place, core, own)]]
+                yield pa.RecordBatch.from_arrays(arrays, ["number", "place", "core", "own"])
 
     return run
 
@@ -174,22 +174,22 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-SPANS = "doc_id long, check long, first long, last long"
+SPANS = "number long, first long, last long"
 
 
 def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "check", "first", "last"])
+    columns = list(zip(*rows)) if rows else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["number", "first", "last"])
 
 
 def _sort_groups(length: int):
-    """Sorted contexts of a task: core, doc_id, check, start, known, string. Whole cores at a time."""
+    """Sorted contexts of a task: core, number, start, known, string. Whole cores at a time."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         rows = []
-        for (doc, check, start, known, _), hit in zip(held, repeated_starts([h[4] for h in held], length)):
+        for (number, start, known, _), hit in zip(held, repeated_starts([h[3] for h in held], length)):
             if not known:
-                rows += [(doc, check, start + a, start + b - 1) for a, b in zip(*(x.tolist() for x in _runs(hit)))]
+                rows += [(number, start + a, start + b - 1) for a, b in zip(*(x.tolist() for x in _runs(hit)))]
         return _span_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +200,9 @@ def _sort_groups(length: int):
                 if core != last and size > SORT_BYTES:
                     yield solve(held)
                     held, size = [], 0
-                if core == last and held[-1][:3] == tuple(row[:3]):
-                    continue  # the same context out of a repeated row
                 last = core
                 held.append(tuple(row))
-                size += len(row[4])
+                size += len(row[3])
         if held:
             yield solve(held)
 
@@ -216,11 +214,11 @@ def _window_hashes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, check, start, string in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, start, string in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes = [xxhash.xxh3_128_digest(string[i : i + length]) for i in range(len(string) - length + 1)]
                 n = len(hashes)
-                arrays = [pa.array([doc] * n, pa.int64()), pa.array([check] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(hashes, pa.binary())], ["doc_id", "check", "first", "h"])
+                arrays = [pa.array([number] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(hashes, pa.binary())], ["number", "first", "h"])
 
     return run
 
@@ -248,10 +246,6 @@ def _remove(length: int, as_text: bool):
     return run
 
 
-def _check(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
-
-
 def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", as_text: bool = False, keep_columns: bool = False) -> DataFrame:
     """doc_id, kept (remaining bytes, or text), n_bytes, n_removed and n_spans (runs of removed bytes) of every row.
 
@@ -260,47 +254,37 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
     if not GRAM + 8 <= length < GRAM + (1 << STARTS_BITS):
         raise ValueError(f"The length lies between {GRAM + 8} and {GRAM + (1 << STARTS_BITS) - 1}.")
     own_row = [F.struct(*[col(c) for c in docs.columns if c != text]).alias("row")] if keep_columns else []
-    texts = docs.select(col(doc_id).cast("long").alias("doc_id"), _check(col(text)).alias("check"), col(text).alias("text"), *own_row)
-    anchors = texts.select("doc_id", "check", F.col("text").cast("binary")).mapInArrow(_anchor_rows(length), "doc_id long, place long, core long, own long")
+    texts = stored(docs.select(col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("number"), col(text).alias("text"), *own_row), "zstd")
+    anchors = texts.select("number", F.col("text").cast("binary")).mapInArrow(_anchor_rows(length), "number long, place long, core long, own long")
 
     cores = anchors.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    shared = stored(anchors.join(cores, "core"))
-    distinct = stored(shared.groupBy("core", "own").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("at")))
-
-    mask = lambda bits: F.lit((1 << bits) - 1)
-    place = lambda c: {
-        "check": F.shiftright(c, STARTS_BITS + OFFSET_BITS),
-        "start": F.shiftright(c, STARTS_BITS).bitwiseAND(mask(OFFSET_BITS)),
-        "n": c.bitwiseAND(mask(STARTS_BITS)),
-    }
-    whole = shared.join(distinct.where("n > 1").select("core", "own"), ["core", "own"]).withColumns(place(F.col("place")))
-    whole = whole.select("doc_id", "check", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last"))
+    shared = stored(anchors.join(cores, "core"), "zstd")
+    distinct = stored(shared.groupBy("core", "own").agg(F.count("*").alias("n"), F.min(F.struct("number", "place")).alias("at")))
+
+    place = {"start": F.shiftright("place", STARTS_BITS), "n": F.col("place").bitwiseAND(F.lit((1 << STARTS_BITS) - 1))}
+    whole = shared.join(distinct.where("n > 1").select("core", "own"), ["core", "own"]).withColumns(place)
+    whole = whole.select("number", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last"))
 
     groups = distinct.groupBy("core").agg(F.count("*").alias("members")).where("members > 1")
     open_ = distinct.join(groups, "core").select(
-        "core", "at.doc_id", F.col("at.place").alias("place"), (F.col("n") > 1).alias("known"), (F.col("members") > GROUP).alias("big")
+        "core", "at.number", F.col("at.place").alias("place"), (F.col("n") > 1).alias("known"), (F.col("members") > GROUP).alias("big")
     )
-    open_ = open_.withColumns(place(F.col("place")))
-    wanted = open_.groupBy("doc_id", "check").agg(F.collect_list(F.struct("core", "start", "n", "known", "big")).alias("wanted"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["check"] == b["check"])
-    plain = texts.select("doc_id", "check", "text")
-    found = plain.join(wanted, same(plain, wanted)).select(plain["doc_id"], plain["check"], F.col("text").cast("binary").alias("t"), F.explode("wanted").alias("w"))
+    open_ = open_.withColumns(place)
+    wanted = open_.groupBy("number").agg(F.collect_list(F.struct("core", "start", "n", "known", "big")).alias("wanted"))
+    found = texts.select("number", "text").join(wanted, "number").select("number", F.col("text").cast("binary").alias("t"), F.explode("wanted").alias("w"))
     string = F.substring("t", F.col("w.start").cast("int") + 1, F.col("w.n").cast("int") + (length - 1)).alias("string")
-    strings = stored(found.select("w.core", "doc_id", "check", "w.start", "w.known", "w.big", string))
+    strings = stored(found.select("w.core", "number", "w.start", "w.known", "w.big", string), "zstd")
 
-    small = strings.where("not big").select("core", "doc_id", "check", "start", "known", "string")
+    small = strings.where("not big").select("core", "number", "start", "known", "string")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = small.repartition(parts, "core").sortWithinPartitions("core", "doc_id", "check", "start").mapInArrow(_sort_groups(length), SPANS)
-    windows = strings.where("big").select("doc_id", "check", "start", "string").mapInArrow(_window_hashes(length), "doc_id long, check long, first long, h binary")
-    where = F.struct("doc_id", "check", "first")  # repeated rows give a place twice
-    often = windows.groupBy("h").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("NOT a <=> b").select("h")
-    counted = windows.join(often, "h").select("doc_id", "check", "first", F.col("first").alias("last"))
+    sorted_ = small.repartition(parts, "core").sortWithinPartitions("core", "number", "start").mapInArrow(_sort_groups(length), SPANS)
+    windows = strings.where("big").select("number", "start", "string").mapInArrow(_window_hashes(length), "number long, first long, h binary")
+    often = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    counted = windows.join(often, "h").select("number", "first", F.col("first").alias("last"))
 
     spans = whole.unionByName(sorted_).unionByName(counted)
-    by_doc = spans.groupBy("doc_id", "check").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    by_row = spans.groupBy("number").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     kind = "string" if as_text else "binary"
     cut = F.arrow_udf(_remove(length, as_text), f"struct<kept: {kind}, n_bytes: bigint, n_removed: bigint, n_spans: bigint>").asNondeterministic()
-    joined = texts.join(by_doc, same(texts, by_doc), "left").select(
-        texts["doc_id"], *([F.col("row")] if keep_columns else []), cut(F.col("spans"), F.col("text").cast("binary")).alias("r")
-    )
+    joined = texts.join(by_row, "number", "left").select("doc_id", *([F.col("row")] if keep_columns else []), cut(F.col("spans"), F.col("text").cast("binary")).alias("r"))
     return joined.select("doc_id", *(["row"] if keep_columns else []), "r.*")

@@ -135,6 +135,18 @@ def test_removal_of_repeated_rows_ids_and_nothing(spark):
     assert suffixes.remove_repeats(df.limit(1), keep_columns=True).columns[:2] == ["doc_id", "row"]
 
 
+@pytest.mark.parametrize("group", [suffixes.GROUP, 1])
+def test_removal_tells_thousands_of_rows_without_an_id_apart(spark, monkeypatch, group):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    rng = random.Random(11)
+    passages = ["".join(rng.choices("abcdefg ", k=210)) for _ in range(20)]
+    own = lambda n: "".join(rng.choices("abcdefg ", k=n))
+    texts = [own(rng.randrange(0, 60)) + (passages[i % 20] if i % 3 else own(230)) + own(rng.randrange(0, 60)) for i in range(6000)]
+    df = spark.createDataFrame([(None, i, t) for i, t in enumerate(texts)], "doc_id long, i long, text string")
+    got = suffixes.remove_repeats(df, keep_columns=True).select("row.i", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == slow_removal([t.encode() for t in texts], 200)
+
+
 # ---- personal data ----------------------------------------------------------------------------
 
 
