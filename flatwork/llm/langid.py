@@ -26,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flatwork.functions.coerce import col
-from flatwork.llm.common import stored, text_bytes
+from flatwork.llm.common import slices, stored, text_bytes
 
-#: Labelled documents per language that the model is fitted on (about: by a hash of the text), and languages at most.
-SAMPLE_DOCUMENTS, LANGUAGES = 500, 64
+#: Labelled documents per language that the model is fitted on (about: by a hash of the text).
+SAMPLE_DOCUMENTS = 500
 BUCKETS = 1 << 16
 TEXT_WEIGHT = 200
 MIN_POSTERIOR = 0.4
 STRENGTH = 20.0  # rows that the level above counts for
 AT_ONCE = 1 << 16
+ENTRIES_AT_ONCE = 1 << 20
 
 #: ASCII letters and all bytes of other letters stay, the rest is a blank.
 _LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
@@ -53,45 +54,62 @@ def trigrams(text: bytes) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
+    """Log-likelihoods, of buckets that occur only: `base` is what a language gives any trigram, and entries
+    first[b] to first[b + 1] say by how much (`more`) which `language` gives bucket b more."""
+
     languages: tuple[str, ...]
-    table: np.ndarray  # log-likelihood by bucket and language
+    base: np.ndarray
+    first: np.ndarray
+    language: np.ndarray
+    more: np.ndarray
 
     def score(self, text: bytes) -> tuple[int, list[float]]:
         """The number of trigrams and their mean log-likelihood for each language."""
         n, total = 0, np.zeros(len(self.languages))
         for codes in trigrams(text):
             n += len(codes)
-            total += self.table[codes].sum(axis=0, dtype=np.float64)
-        return n, (total / max(n, 1)).tolist()
+            for a in range(0, len(codes), step := max(1, ENTRIES_AT_ONCE // max(len(total), 1))):
+                begin = self.first[codes[a : a + step]]
+                sizes = self.first[codes[a : a + step] + 1] - begin
+                at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                total += np.bincount(self.language[at], self.more[at], len(total))
+        return n, (total / max(n, 1) + self.base if n else total).tolist()
+
+
+def labelled(label: Column) -> Column:
+    """The primary language of a label; a label without one, such as a name in full, as it is in lower case."""
+    return F.when(primary(label) != "", primary(label)).otherwise(F.lower(label))
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """A model of the most frequent labels. What reaches the driver is bounded by LANGUAGES * BUCKETS."""
-    named = docs.select(F.lower(col(label)).alias("label"), col(text).alias("t")).where("label IS NOT NULL AND t IS NOT NULL")
-    sizes = named.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
+    """A model of all labels. The driver receives a row per label, and per label and bucket that occurs in its sample."""
+    named = docs.select(labelled(col(label)).alias("label"), col(text).alias("t")).where("label IS NOT NULL AND t IS NOT NULL")
+    sizes = named.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()
     names = tuple(sorted(r["label"] for r in sizes))
     if not names:
-        return Model((), np.zeros((BUCKETS, 0), np.float32))
+        return Model((), np.zeros(0), np.zeros(BUCKETS + 1, np.int64), np.zeros(0, np.int32), np.zeros(0))
     # A share of each label by the hash of the text: the same rows in every run, none twice more likely.
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["label"]), F.lit(min(1.0, sample / r["n"])))])
+    share = F.map_from_arrays(F.lit([r["label"] for r in sizes]), F.lit([min(1.0, sample / r["n"]) for r in sizes]))
     place = F.pmod(F.xxhash64(F.lit("sample"), "t"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = named.where(F.col("label").isin(list(names))).where(place < F.element_at(share, F.col("label")))
+    picked = named.where(place < F.element_at(share, F.col("label")))
+    number = {name: i for i, name in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(names), BUCKETS), np.int64)
         for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                for codes in trigrams(t):
-                    counts[names.index(name)] += np.bincount(codes, minlength=BUCKETS)
-        language, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(language), pa.array(bucket), pa.array(counts[language, bucket])], ["l", "b", "n"])
-
-    found = picked.select("label", F.lower("t").cast("binary")).mapInArrow(run, "l long, b long, n long")
-    counts = np.zeros((BUCKETS, len(names)))
-    for r in found.groupBy("l", "b").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["b"], r["l"]] = r["n"]
-    table = np.log((counts + 1) / (counts.sum(axis=0) + BUCKETS))
-    return Model(names, table.astype(np.float32))
+            labels, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            for a, b in slices([len(t) for t in texts]):
+                codes = [number[name] * BUCKETS + c.astype(np.int64) for name, t in zip(labels[a:b], texts[a:b]) for c in trigrams(t)]
+                found, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["c", "n"])
+
+    found = picked.select("label", F.lower("t").cast("binary")).mapInArrow(run, "c long, n long")
+    counts = found.groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    code, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("c", "n"))
+    order = np.lexsort((code // BUCKETS, code % BUCKETS))
+    language, bucket, n = (code // BUCKETS)[order], (code % BUCKETS)[order], n[order]
+    base = -np.log(np.bincount(language, n, len(names)) + BUCKETS)
+    first = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+    return Model(names, base, first, language.astype(np.int32), np.log(n + 1.0))
 
 
 def score(text: Column, model: Model) -> Column:
@@ -159,38 +177,42 @@ def identify(
 
     votes = scored.where(fits).select(best.alias("b"), "__d", "__x", "__h", "__m")
     votes = stored(votes.groupBy("b", "__d", "__x", "__h", "__m").agg(F.count("*").alias("n")))
-    counted = [F.coalesce(F.sum(F.when(F.col("b") == i, F.col("n"))), F.lit(0)).cast("double") for i in range(size)]
-    total = [float(v) for v in votes.agg(F.array(*counted).alias("c")).first()["c"]]
+    total = [0.0] * size
+    for r in votes.groupBy("b").agg(F.sum("n").alias("n")).collect():  # a row per language at most
+        total[r["b"]] = float(r["n"])
     rows = sum(total)
-    overall = [(t + 1) / (rows + size) for t in total]
+    overall = F.lit([(t + 1) / (rows + size) for t in total])
+    totals = F.lit(total)
 
     def counts(key: str) -> DataFrame:
-        return votes.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*counted).alias(f"c{key}"))
+        """The counts of each value by language, and their sum."""
+        by_language = votes.where(F.col(key).isNotNull()).groupBy(key, "b").agg(F.sum("n").cast("double").alias("n"))
+        one = by_language.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("b").cast("int"), "n"))).alias("m"), F.sum("n").alias(f"e{key}"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+        return one.select(key, dense.alias(f"c{key}"), f"e{key}")
 
     out = scored
     for key in ("__d", "__x", "__h", "__m"):
         out = out.join(counts(key), key, "left")
 
-    def count(key: str, i: int) -> Column:
-        return F.coalesce(F.get(f"c{key}", F.lit(i)), F.lit(0.0))
+    def count(key: str, i: Column) -> Column:
+        return F.coalesce(F.get(f"c{key}", i), F.lit(0.0))
 
-    def likelihood(key: str, i: int) -> Column:
+    def likelihood(key: str, i: Column) -> Column:
         """How often the language goes with this value, against how often any does."""
-        every = sum((count(key, k) for k in range(1, size)), count(key, 0))
-        expected = every / max(rows, 1.0)
-        return F.when(F.col(f"c{key}").isNull(), 0.0).otherwise(F.log((count(key, i) + STRENGTH * expected) / (total[i] + STRENGTH)))
+        expected = F.col(f"e{key}") / max(rows, 1.0)
+        return F.when(F.col(f"c{key}").isNull(), 0.0).otherwise(F.log((count(key, i) + STRENGTH * expected) / (F.get(totals, i) + STRENGTH)))
 
-    def prior(i: int) -> Column:
-        domain_rows = sum((count("__m", k) for k in range(1, size)), count("__m", 0))
-        of_domain = (count("__m", i) + STRENGTH * overall[i]) / (domain_rows + STRENGTH)
-        host_rows = sum((count("__h", k) for k in range(1, size)), count("__h", 0))
-        return F.log((count("__h", i) + STRENGTH * of_domain) / (host_rows + STRENGTH))
+    def prior(i: Column) -> Column:
+        sums = {key: F.coalesce(f"e{key}", F.lit(0.0)) for key in ("__m", "__h")}
+        of_domain = (count("__m", i) + STRENGTH * F.get(overall, i)) / (sums["__m"] + STRENGTH)
+        return F.log((count("__h", i) + STRENGTH * of_domain) / (sums["__h"] + STRENGTH))
 
     weight = F.least(F.col("__s.n"), F.lit(TEXT_WEIGHT))
-    logs = F.array(*[F.get("__s.ll", F.lit(i)) * weight + likelihood("__d", i) + likelihood("__x", i) + prior(i) for i in range(size)])
+    logs = F.transform("__s.ll", lambda x, i: x * weight + likelihood("__d", i) + likelihood("__x", i) + prior(i))
     out = out.withColumn("__l", logs).withColumn("__top", F.array_max("__l"))
     out = out.withColumn("__p", 1 / F.aggregate("__l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top"))))
-    names = F.array(*[F.lit(x) for x in model.languages])
+    names = F.lit(list(model.languages))
     rejected = ~(fits & (F.col("__p") >= MIN_POSTERIOR))
     return out.select(
         *[col(c) for c in kept],

@@ -269,3 +269,25 @@ def test_evidence_out_of_pages(spark):
     got = df.select(host, langid.domain_of(host), langid.suffix_of(host), langid.declared_of(F.col("html")), F.trim(langid.text_of(F.col("html")))).collect()
     assert re.sub(" +", " ", got[0][4]) == "Bon jour"
     assert tuple(got[0])[:4] == ("news.example.co.fr", "co.fr", "fr", "fr") and tuple(got[1]) == ("", "", "", "", "plain")
+
+
+def test_all_labels_have_a_language(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(70):  # more than the 64 that were once modelled, rarer and rarer
+        letters = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 9))
+        words = ["".join(rng.choices(letters, k=rng.randrange(3, 8))) for _ in range(40)]
+        rows += [(f"{chr(97 + k // 26)}{chr(97 + k % 26)}", " ".join(rng.choices(words, k=120))) for _ in range(6 if k < 60 else 3)]
+    df = spark.createDataFrame([*rows, ("klingonisch", "qapla batlh " * 60)], "lang string, text string")
+    model = langid.fit(df)
+    assert len(model.languages) == 71
+    got = langid.identify(df, model, F.col("text"), declared=langid.primary(F.col("lang")), host=F.lit("h")).collect()
+    assert [r for r in got if r["rejected"] or r["language"] != r["lang"]] == []
+
+
+def test_regions_are_one_language(spark, documents):
+    tagged = documents.withColumn("lang", F.when(F.col("lang") == "en", F.element_at(F.array(*map(F.lit, ["en", "EN-us", "en_GB"])), (F.col("doc_id") % 3 + 1).cast("int"))).otherwise(F.col("lang")))
+    model, plain = langid.fit(tagged), langid.fit(documents)
+    assert model.languages == plain.languages and np.array_equal(model.more, plain.more)
+    got = langid.identify(tagged, model, F.col("text"), declared=langid.primary(F.col("lang")))
+    assert got.where("lang ILIKE 'en%' AND n_chars > 40").agg(F.avg((F.col("language").eqNullSafe("en")).cast("double"))).first()[0] >= 0.95
