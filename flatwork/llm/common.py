@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from flatwork.functions.coerce import col
+from flatwork.operators.joins import join_on
 
 #: Bytes of text that a Python task works on at a time.
 SLICE_BYTES = 1 << 20
@@ -30,6 +35,27 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    """Each row with the columns of the row of `table` that has its keys; rows without one go, null matches null.
+
+    The keys are unique in `table`, and `count` tells there how many rows have them. Keys of more than a
+    quarter of a partition's share would fill a task of the join. There are at most four of them for each
+    partition, so they are broadcast; the rest is joined plainly. Both inputs are read more than once and
+    should be stored.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > total / (4 * partitions(rows.sparkSession))
+    known = table.where(hot)
+    same = [col(k).eqNullSafe(col(f"__k_{k}")) for k in keys]
+    names = known.select(*[col(k).alias(f"__k_{k}") for k in keys])
+    rest = rows.join(F.broadcast(names), reduce(and_, same), "left_anti")
+    return join_on(rows, known, keys, bounded=True).unionByName(join_on(rest, table.where(~hot), keys))
+
+
 def slices(sizes, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes add up to about `limit`, one item at least."""
     start = total = 0

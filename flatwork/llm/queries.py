@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flatwork.llm import bpe, huffman, langid, lattice, packing, pii, simhash, suffixes, token_counts, vptree
+from flatwork.llm import (
+    bpe,
+    codes,
+    huffman,
+    langid,
+    lattice,
+    mixing,
+    packing,
+    pii,
+    prefixes,
+    simhash,
+    suffixes,
+    token_counts,
+    vptree,
+)
+from flatwork.llm.oracles import CONVERSATION_TRIE, SOURCE_MIXING, VECTOR_CODES
 from flatwork.llm.tokens import default_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -75,6 +90,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_pages(_read(spark, sf_dir, "pages"), model)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(prefixes.rebuilt(_read(spark, sf_dir, "conversations"), group=5, modulus=9))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"), cycle=(1, 2, 3), cap=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    books = codes.fit(vectors, parts=8, entries=16, rounds=6, scale=4096)
+    coded = codes.with_label_error(codes.encode(vectors, books, scale=4096))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +119,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_simhash_near_dedup,
         op10_language_id,
+        op11_conversation_trie,
+        op12_source_mixing,
+        op13_vector_codes,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_conversation_trie": CONVERSATION_TRIE,
+    "op12_source_mixing": SOURCE_MIXING,
+    "op13_vector_codes": VECTOR_CODES,
+}

@@ -7,10 +7,15 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
+def finite(embedding: Column) -> Column:
+    """Not null, no null or non-finite component."""
+    sound = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return embedding.isNotNull() & F.coalesce(sound, F.lit(False))
+
+
 def usable(embedding: Column) -> Column:
     """Not null, no null or non-finite component, not zero."""
-    finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return embedding.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(embedding, lambda x: x != 0)
+    return finite(embedding) & F.exists(embedding, lambda x: x != 0)
 
 
 def matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
