@@ -61,21 +61,27 @@ def bounds(length: int, parts: int) -> list[int]:
 
 
 class Nearest:
-    """The nearest entry of one codebook, by way of remembered grid cells."""
-
-    def __init__(self, book: list[list[int]]):
-        length = len(book[0])
-        biggest = max((abs(c) for entry in book for c in entry), default=0)
-        # Distances are kept times the number of entries; below this bound they fit 64 bits.
-        self.room = 1 << max(0, (58 - (length * len(book)).bit_length()) // 2)
-        self.book = np.array(book, np.int64 if biggest < self.room else object).reshape(len(book), length)
+    """The nearest entry of one codebook, by way of remembered grid cells.
+
+    Vectors and entries are 64-bit integers, or all Python integers where `exact`.
+    """
+
+    def __init__(self, book: list[list[int]], exact: bool):
+        self.kind = object if exact else np.int64
+        self.book = np.array(book, self.kind).reshape(len(book), len(book[0]))
         self.width = grid_width(book)
-        self.known: dict = {}
-        self.masks = np.zeros((0, len(book)), bool)
+        self.mix = np.random.default_rng(1).integers(1 << 62, size=len(book[0]), dtype=np.int64) * 2 + 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, np.int64)
+        self.cells = np.zeros((0, self.book.shape[1]), self.kind)
+        self.masks = np.zeros((0, len(self.book)), bool)
 
     def __call__(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry numbers and squared distances for part vectors (a row each)."""
-        allowed = self.allowed(v)
+        v = v.astype(self.kind, copy=False)
+        allowed = self.allowed(v // self.width)
         rows, entries = np.nonzero(allowed)
         apart = v[rows] - self.book[entries]
         key = (apart * apart).sum(axis=1) * len(self.book) + entries
@@ -83,19 +89,34 @@ class Nearest:
         best = np.minimum.reduceat(key, np.cumsum(counts) - counts)
         return (best % len(self.book)).astype(np.int64), best // len(self.book)
 
-    def allowed(self, v: np.ndarray) -> np.ndarray:
-        """For each vector, the entries that are not dominated across the box of its cell."""
-        cells = v // self.width
-        keys = [tuple(c) for c in cells.tolist()]
-        fresh = list({k for k in keys if k not in self.known})
-        if len(self.known) + len(fresh) > MEMORY:
-            self.known, self.masks = {}, self.masks[:0]
-            fresh = list(set(keys))
-        if fresh:
-            corners = np.array(fresh, cells.dtype).reshape(len(fresh), v.shape[1])
-            self.known.update(zip(fresh, range(len(self.masks), len(self.masks) + len(fresh))))
-            self.masks = np.concatenate([self.masks, undominated(corners * self.width, self.width, self.book)])
-        return self.masks[[self.known[k] for k in keys]]
+    def allowed(self, cells: np.ndarray) -> np.ndarray:
+        """For the cell of each vector, the entries that are not dominated across its box. Where two cells share
+        a hash, all entries of the later one are evaluated."""
+        if self.kind is object:
+            hashes = np.array([hash(tuple(c)) for c in cells.tolist()], np.int64)
+        else:
+            hashes = (cells * self.mix).sum(axis=1)
+        fresh, first = np.unique(hashes, return_index=True)
+        if len(self.hashes):
+            new = self.hashes[np.searchsorted(self.hashes, fresh).clip(max=len(self.hashes) - 1)] != fresh
+            fresh, first = fresh[new], first[new]
+        if len(fresh):
+            if len(self.hashes) + len(fresh) > MEMORY:
+                self.forget()
+                fresh, first = np.unique(hashes, return_index=True)
+            corners = cells[first]
+            order = np.argsort(np.concatenate([self.hashes, fresh]))
+            self.hashes = np.concatenate([self.hashes, fresh])[order]
+            self.cells = np.concatenate([self.cells, corners])[order]
+            self.masks = np.concatenate([self.masks, undominated(corners * self.width, self.width, self.book)])[order]
+        slot = np.searchsorted(self.hashes, hashes)
+        return self.masks[slot] | (self.cells[slot] != cells).any(axis=1)[:, None]
+
+
+def room(book: list[list[int]]) -> int:
+    """Below this bound 64 bits hold distances times the number of entries; 0 where the entries are above."""
+    bound = 1 << max(0, (58 - (len(book[0]) * len(book)).bit_length()) // 2)
+    return bound if max((abs(c) for entry in book for c in entry), default=0) < bound else 0
 
 
 def undominated(low: np.ndarray, width: int, book: np.ndarray) -> np.ndarray:
@@ -109,10 +130,10 @@ def undominated(low: np.ndarray, width: int, book: np.ndarray) -> np.ndarray:
 
 
 def grid_width(book: list[list[int]]) -> int:
-    """Side of a cell: its diagonal is about the usual distance between neighbouring entries."""
+    """Side of a cell: its diagonal is about half the usual distance between neighbouring entries."""
     length = len(book[0])
     apart = [min((d for other in book if (d := sum((a - b) ** 2 for a, b in zip(entry, other)))), default=0) for entry in book]
-    return max(1, isqrt(median_low(apart) // max(1, length)))
+    return max(1, isqrt(median_low(apart) // max(1, 4 * length)))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], at: int, books: Books, scale: int):
@@ -120,21 +141,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], at: int, books: Books, scale: int
     edges = [0]
     for book in books:
         edges.append(edges[-1] + len(book[0]))
-    near = [Nearest(book) for book in books]
-    room = min(n.room for n in near)
+    bound = min(room(book) for book in books)
+    near = [[Nearest(book, exact) for book in books] for exact in (False, True)] if bound else [[], [Nearest(book, True) for book in books]]
     step = max(1, BLOCK // max(1, edges[-1] * len(books[0])))
     for batch in batches:
         for rows, x in matrices(batch.column(at)):
             if x.shape[1] != edges[-1]:
                 yield batch, rows, None, None, None
                 continue
-            small = np.abs(x).max(axis=1, initial=0) < (room - 1) / scale
-            for group in (np.flatnonzero(small), np.flatnonzero(~small)):
+            small = np.abs(x).max(axis=1, initial=0) < (bound - 1) / scale
+            for exact, group in enumerate((np.flatnonzero(small), np.flatnonzero(~small))):
                 for s in range(0, len(group), step):
                     some = group[s : s + step]
-                    y = whole(x[some], scale, room)
+                    y = whole(x[some], scale, bound)
                     parts = [y[:, a:b] for a, b in zip(edges, edges[1:])]
-                    found = [n(p) for n, p in zip(near, parts)]
+                    found = [n(p) for n, p in zip(near[exact], parts)]
                     yield batch, rows[some], parts, [f[0] for f in found], [f[1] for f in found]
 
 
