@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flatwork.functions.coerce import col
+from flatwork.llm.common import stored
 from flatwork.llm.tokens import encode_texts
 
 LENGTHS_PER_BLOCK = 1024
@@ -36,7 +37,8 @@ def histogram(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 def suffix_sums(lengths: DataFrame) -> DataFrame:
     """For each occurring length, taken as a context limit: docs_at_least and tokens_at_least (documents that
     long or longer, and their tokens), truncated_total (tokens when every document is cut there) and
-    quantile (share of documents that are no longer)."""
+    quantile (share of documents that are no longer). The histogram is stored first, so documents are encoded once."""
+    lengths = stored(lengths)
     blocked = lengths.withColumns({"block": F.floor(F.col("n_tokens") / LENGTHS_PER_BLOCK), "t": F.col("n_tokens") * F.col("n_docs")})
     after = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -68,5 +70,9 @@ def quantile(sums: DataFrame, share: float) -> DataFrame:
 
 
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
-    """Tokens when every document is cut at any limit, one that does not occur as a length included."""
-    return sums.agg(F.sum(F.col("n_docs") * F.least(F.col("n_tokens"), F.lit(limit))).alias("truncated_total"))
+    """Tokens when every document is cut at any limit, one that does not occur as a length included: the suffix sums
+    of the next length, or all tokens where none is that long."""
+    cut = F.col("truncated_total") - F.col("docs_at_least") * (F.col("n_tokens") - limit)
+    next_length = F.when(F.col("n_tokens") >= limit, F.col("n_tokens"))
+    found = F.coalesce(F.min_by(cut, next_length), F.max_by("truncated_total", "n_tokens"))
+    return sums.agg(found.alias("truncated_total"))
