@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flatwork.functions.coerce import col, finite, text_to_number
+from flatwork.sources.csv_records import csv_records
 
 # Texts that a CSV cell holds for "missing".
 MISSING_TEXTS = [
@@ -61,15 +62,22 @@ def typed(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """A table from a CSV or Parquet path. Types of a CSV are worked out unless a schema is given.
 
-    Quoted cells may hold line breaks, so a file is read by one task. `multi_line=False` is the caller's promise
-    that there are none; then files are split.
+    Quoted cells may hold line breaks; files are read in byte ranges all the same (see `csv_records`), and their
+    records are stored once. `multi_line=False` is the caller's promise that there are no such cells; then
+    Spark's reader parses the lines as they are.
     """
     if source_format(path) == "parquet":
         return nan_to_null(spark.read.parquet(path))
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    if multi_line:
+        names = [f.name for f in schema.fields] if schema is not None else column_names(spark, path)
+        types = [f.dataType.simpleString() if schema is not None else "string" for f in (schema.fields if schema is not None else names)]
+        cells = F.from_csv("record", ", ".join(f"c{i} {t}" for i, t in enumerate(types)), {"quote": '"', "escape": '"', "multiLine": "true"})
+        text = csv_records(spark, path).select(cells.alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+    else:
+        reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+        text = reader.schema(schema).csv(path) if schema is not None else reader.csv(path, inferSchema=False)
     if schema is not None:
-        return nan_to_null(reader.schema(schema).csv(path))
-    text = reader.csv(path, inferSchema=False)
+        return nan_to_null(text)
     return typed(text.select(*[F.when(~col(c).isin(MISSING_TEXTS), col(c)).alias(c) for c in text.columns]))
 
 
