@@ -342,7 +342,7 @@ register(
 register(
     "quantiles_by_group_banded",
     "lineitem",
-    lambda df: _quantile_table(quantiles(df, ["l_extendedprice"], [0.05, 0.5, 0.95], ["l_returnflag"], ranges=9)),
+    lambda df: _quantile_table(quantiles(df, ["l_extendedprice"], [0.05, 0.5, 0.95], ["l_returnflag"], limit=1000)),
     """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05,
        round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95
        FROM lineitem GROUP BY 1""",
