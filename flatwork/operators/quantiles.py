@@ -34,8 +34,8 @@ def leading(v: Column, bits: int) -> Column:
 
 def _ranks(probs: Sequence[float]) -> Column:
     """The distinct ranks that the quantiles of `total` values interpolate between."""
-    at = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
-    return F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
+    at = [f"{f}({float(p)!r}D * (total - 1))" for p in probs for f in ("floor", "ceil")]
+    return F.expr(f"array_distinct(array({', '.join(at)}))")
 
 
 def _placed(counts: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -98,17 +98,16 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
             same = lambda: reduce(and_, [named[g].eqNullSafe(large[g]) for g in group])
             few, many = named.join(sent, same(), "left_anti"), named.join(sent, same(), "left_semi")
             ranked = _by_values(few, group).unionByName(_by_ranges(many, group, probs, limit))
+    # One expression text per column: building these from single Column calls takes longer than small data.
     aggs = []
     for i in range(len(columns)):
         found = []
         for p in probs:
-            at = F.lit(float(p)) * (F.col("total") - 1)
-            holds = lambda rank: (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
-            value = lambda rank: F.max(F.when((F.col("c") == i) & holds(rank), F.col("v")))
-            low, high = value(F.floor(at)), value(F.ceil(at))
-            share = F.max(F.when(F.col("c") == i, at - F.floor(at)))
-            found.append(F.when(low == high, low).otherwise(low + (high - low) * share))
-        aggs.append(F.array(*found).alias(f"q{i}"))
+            at = f"({float(p)!r}D * (total - 1))"
+            low, high = (f"max(CASE WHEN c = {i} AND {f}({at}) >= upto - n AND {f}({at}) < upto THEN v END)" for f in ("floor", "ceil"))
+            share = f"max(CASE WHEN c = {i} THEN {at} - floor({at}) END)"
+            found.append(f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * {share} END")
+        aggs.append(F.expr(f"array({', '.join(found)})").alias(f"q{i}"))
     out = ranked.groupBy(*keys).agg(*aggs)
     if keys:
         out = join_on(df.select(*[col(b).alias(k) for k, b in zip(keys, by)]).distinct(), out, keys, "left")

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the caller of every Column operation takes longer than planning a query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
