@@ -94,6 +94,76 @@ def recommended_action(skewness: Column, kurtosis: Column, minimum: Column, perc
     )
 
 
+# What the advice on a column with outliers is called, where it leads, why, and what else to use or avoid.
+ACTION_LABELS = {
+    "keep_review": "Keep / Review",
+    "log_transform": "Forward Log Transform",
+    "sqrt_transform": "Forward Square Root Transform",
+    "yeojohnson_transform": "Forward Yeo-Johnson Transform",
+    "winsorization": "Winsorize / Cap",
+    "review_extreme_values": "Review Extremes",
+}
+OUTLIER_ADVICE = {
+    "keep": (
+        "Cleaning",
+        "Low outlier percentage and almost symmetric distribution. Review only; no automatic deletion needed.",
+        ("zscore_detection", "iqr_detection"),
+        ("delete_outlier_rows",),
+    ),
+    "right": (
+        "Feature Engineering",
+        "Right-skewed distribution with outliers. Prefer transformation so information is preserved for modelling.",
+        ("winsorization", "percentile_capping", "boxcox_transform"),
+        ("delete_outlier_rows",),
+    ),
+    "left": (
+        "Feature Engineering",
+        "Left-skewed distribution. Use a transformation that can handle zero or negative values.",
+        ("winsorization", "percentile_capping"),
+        ("delete_outlier_rows",),
+    ),
+    "heavy": (
+        "Cleaning",
+        "High outlier share and heavy tails. Capping is safer than deleting many rows.",
+        ("percentile_capping", "modified_zscore_detection"),
+        ("delete_outlier_rows",),
+    ),
+    "review": (
+        "Cleaning",
+        "Outliers are present, but distribution statistics do not strongly justify automatic transformation or deletion. "
+        "Confirm using min/max and extreme values.",
+        ("iqr_detection", "zscore_detection", "winsorization"),
+        ("delete_outlier_rows_without_review",),
+    ),
+}
+
+
+def outlier_advice(action: Column, skewness: Column) -> dict[str, Column]:
+    """What goes with a recommended action: label, destination, reason, alternatives and methods to avoid."""
+    case = _first_of(
+        (action == "keep_review", "keep"),
+        (action == "winsorization", "heavy"),
+        (action == "review_extreme_values", "review"),
+        (skewness > 0, "right"),
+        default="left",
+    )
+    listed = lambda values: F.array(*[F.lit(v) for v in values])
+    entries = [
+        part
+        for name, (place, reason, others, avoid) in OUTLIER_ADVICE.items()
+        for part in (F.lit(name), F.struct(F.lit(place).alias("place"), F.lit(reason).alias("reason"), listed(others).alias("others"), listed(avoid).alias("avoid")))
+    ]
+    advice = F.create_map(*entries)[case]
+    labels = F.create_map(*[F.lit(x) for pair in ACTION_LABELS.items() for x in pair])
+    return {
+        "recommended_label": labels[action],
+        "recommended_destination": advice["place"],
+        "recommendation_reason": advice["reason"],
+        "alternative_methods": advice["others"],
+        "avoid_methods": advice["avoid"],
+    }
+
+
 def outlier_method(kind: Column, skewness: Column, kurtosis: Column, percentage: Column) -> Column:
     """The method to preselect for a column."""
     return _first_of(
@@ -146,6 +216,7 @@ def outlier_report(df: DataFrame, columns: DataFrame | None = None, overrides: D
 
 def _outlier_rows(rows: DataFrame) -> DataFrame:
     pct = F.try_divide(F.col("outlier_count") * 100.0, F.col("row_count"))
+    action = recommended_action(F.col("skewness"), F.col("kurtosis"), F.col("min"), pct)
     return rows.select(
         "column_name", "detected_type", F.coalesce("approved_type", "detected_type").alias("schema_type"),
         F.lit("IQR").alias("method"), F.bround("low", 2).alias("lower_bound"), F.bround("high", 2).alias("upper_bound"),
@@ -154,7 +225,8 @@ def _outlier_rows(rows: DataFrame) -> DataFrame:
         *[F.bround(c, 2).alias(c) for c in ("mean", "median", "std", "variance", "skewness", "kurtosis")],
         "lowest_values", "highest_values",
         distribution_label(F.col("skewness")).alias("distribution_label"),
-        recommended_action(F.col("skewness"), F.col("kurtosis"), F.col("min"), pct).alias("recommended_method"),
+        action.alias("recommended_method"),
+        *[c.alias(n) for n, c in outlier_advice(action, F.col("skewness")).items()],
         outlier_method(F.col("detected_type"), F.col("skewness"), F.col("kurtosis"), pct).alias("selected_method"),
     )
 
@@ -200,12 +272,12 @@ def group_columns(columns: DataFrame, target: str) -> DataFrame:
     return chosen.orderBy("unique_count", "unique_ratio", "column_name")
 
 
-def _issue(rows: DataFrame, code: str, action, safety: str, confidence: str = "Medium", method=None) -> DataFrame:
+def _issue(rows: DataFrame, code: str, action, safety: str, confidence: str | Column = "Medium", method=None) -> DataFrame:
     return rows.select(
         "column_name", "detected_type", F.lit(code).alias("issue_code"),
         (action if isinstance(action, Column) else F.lit(action)).alias("action_code"),
         (method if method is not None else F.lit(None).cast("string")).alias("selected_method"),
-        F.lit(safety).alias("safety"), F.lit(confidence).alias("confidence"),
+        F.lit(safety).alias("safety"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"),
     )
 
 
@@ -242,7 +314,7 @@ def anomaly_issue(columns: DataFrame) -> DataFrame:
     suits = (F.col("n") > F.col("d") * 10) & (F.col("d") <= 10)
     return _issue(
         rows.where("d >= 2").withColumns({"column_name": F.lit("Dataset"), "detected_type": F.lit(None).cast("string")}),
-        "MULTIVARIATE_ANOMALY_CHECK_AVAILABLE", "REVIEW_DATASET_ANOMALIES", "Review",
+        "MULTIVARIATE_ANOMALY_CHECK_AVAILABLE", "REVIEW_DATASET_ANOMALIES", "Review", F.when(F.col("d") > 10, "High").otherwise("Medium"),
         method=F.when(suits, "mahalanobis_distance").otherwise("isolation_forest"),
     )
 
@@ -256,7 +328,7 @@ def recommendations(
     """Every issue of a table as one list, with evidence and the method to preselect."""
     columns = local_copy(profile(df)) if columns is None else columns
     missing = imputation_options(columns, overrides)
-    outliers = outlier_report(df, columns, overrides)
+    outliers = local_copy(outlier_report(df, columns, overrides))  # one row per column, read three times
     duplicates = duplicate_rows(df).where("duplicate_row_count > 0").withColumns(
         {"column_name": F.lit("Dataset"), "detected_type": F.lit(None).cast("string")}
     )

@@ -138,6 +138,20 @@ def infer_rules(examples: DataFrame, source: str, expected: str) -> DataFrame:
     )
 
 
+def mapping_from_examples(examples: DataFrame, source: str, expected: str) -> DataFrame:
+    """The value mapping that examples state: source_value, mapped_value and how many examples say so.
+
+    Values that an example maps to nothing are left out; where examples disagree, the most frequent one
+    counts, the smallest of tied ones. A group is reduced to one row per pair before its best one is picked.
+    """
+    s, e = text_of(examples, source), F.trim(text_of(examples, expected))
+    pairs = examples.select(s.alias("source_value"), e.alias("v")).where("source_value IS NOT NULL AND v <> ''")
+    counts = pairs.groupBy("source_value", "v").agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("v").alias("v")))
+    found = counts.groupBy("source_value").agg(best.alias("b"))
+    return found.select("source_value", F.col("b.v").alias("mapped_value"), (-F.col("b.n")).alias("example_count"))
+
+
 def _mapping_score(compared: DataFrame, source: str, expected: str) -> DataFrame:
     """How many examples the mapping source -> its largest expected value reproduces."""
     s, e = text_of(compared, source), F.trim(text_of(compared, expected))

@@ -283,6 +283,60 @@ register(
       CASE WHEN skewness(val) > 1 AND min(val) > 0 THEN 'log_transform' ELSE 'other' END AS recommended_method, round_even(max(val), 2) AS highest
       FROM outliers, f GROUP BY lo, hi""",
 )
+# Columns of every shape the advice tells apart, made from one with outliers.
+_SHAPES = {
+    "val": "val", "fallen": "-val", "moved": "val - 100000.0", "floored": "greatest(val - 1000.0, 0.0)",
+    "mirrored": "CASE WHEN id % 2 = 0 THEN val ELSE -val END", "thousands": "round(val / 1000.0)",
+    "balanced": "round(CASE WHEN id % 2 = 0 THEN val ELSE -val END / 1000.0)",
+}
+_SHAPED = "WITH v AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _SHAPES.items()) + " FROM outliers), s AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS n, count(DISTINCT {c}) AS u, skewness({c}) AS s, kurtosis({c}) AS k, min({c}) AS lo,
+        count(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS outside
+        FROM v, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM v)""" for c in _SHAPES
+) + "), p AS (SELECT *, outside * 100.0 / n AS pct FROM s WHERE outside > 0) "
+_ACTION = """CASE WHEN pct < 1 AND abs(s) < 0.5 AND k < 3 THEN 'keep_review' WHEN s > 1 AND lo > 0 THEN 'log_transform'
+  WHEN s > 1 AND lo >= 0 THEN 'sqrt_transform' WHEN abs(s) > 1 THEN 'yeojohnson_transform' WHEN pct > 10 AND k >= 3 THEN 'winsorization'
+  ELSE 'review_extreme_values' END"""
+_CASE = """CASE recommended_method WHEN 'keep_review' THEN 'keep' WHEN 'winsorization' THEN 'heavy' WHEN 'review_extreme_values' THEN 'review'
+  ELSE CASE WHEN s > 0 THEN 'right' ELSE 'left' END END"""
+
+
+def _shaped(df):
+    return df.selectExpr(*[f"{e} AS {c}" for c, e in _SHAPES.items()])
+
+
+def _checked(df):
+    return df.sparkSession.createDataFrame([(c, "Currency / Amount") for c in _SHAPES], "column_name string, approved_type string")
+
+
+register(
+    "report_outlier_advice", "outliers",
+    lambda df: R.outlier_report(_shaped(df), overrides=_checked(df)).select(
+        "column_name", "recommended_method", "recommended_label", "recommended_destination", "recommendation_reason",
+        F.concat_ws("|", "alternative_methods").alias("alternatives"), F.concat_ws("|", "avoid_methods").alias("avoid")),
+    _SHAPED + f""", m AS (SELECT *, {_ACTION} AS recommended_method FROM p), c AS (SELECT *, {_CASE} AS kind FROM m)
+      SELECT column_name, recommended_method, CASE recommended_method {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in R.ACTION_LABELS.items())} END AS recommended_label,
+      CASE kind {' '.join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in R.OUTLIER_ADVICE.items())} END AS recommended_destination,
+      CASE kind {' '.join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in R.OUTLIER_ADVICE.items())} END AS recommendation_reason,
+      CASE kind {' '.join(f"WHEN '{k}' THEN '{'|'.join(v[2])}'" for k, v in R.OUTLIER_ADVICE.items())} END AS alternatives,
+      CASE kind {' '.join(f"WHEN '{k}' THEN '{'|'.join(v[3])}'" for k, v in R.OUTLIER_ADVICE.items())} END AS avoid FROM c""",
+)
+register(
+    "report_outlier_methods", "outliers",
+    lambda df: R.outlier_report(_shaped(df).select("thousands", "balanced"), overrides=_checked(df)).select("column_name", "detected_type", "outlier_count", "selected_method"),
+    _SHAPED + """SELECT column_name, CASE WHEN u <= 20 AND u * 1.0 / n <= 0.2 THEN 'numeric_categorical' ELSE 'numeric' END AS detected_type, outside AS outlier_count,
+      CASE WHEN u <= 20 AND u * 1.0 / n <= 0.2 THEN 'ignore' WHEN pct >= 30 THEN 'iqr_detection' WHEN abs(s) < 0.5 THEN 'zscore_detection'
+        WHEN s IS NOT NULL THEN 'iqr_detection' WHEN k > 3 THEN 'modified_zscore_detection' ELSE 'iqr_detection' END AS selected_method
+      FROM p WHERE column_name IN ('thousands', 'balanced')""",
+)
+register(
+    "report_anomaly_method", "outliers",
+    lambda df: R.anomaly_issue(R.profile(_shaped(df).select("thousands", "balanced"))).select("column_name", "issue_code", "action_code", "selected_method", "safety", "confidence"),
+    _SHAPED + """SELECT 'Dataset' AS column_name, 'MULTIVARIATE_ANOMALY_CHECK_AVAILABLE' AS issue_code, 'REVIEW_DATASET_ANOMALIES' AS action_code,
+      CASE WHEN max(n) > 10 * count(*) AND count(*) <= 10 THEN 'mahalanobis_distance' ELSE 'isolation_forest' END AS selected_method, 'Review' AS safety,
+      CASE WHEN count(*) > 10 THEN 'High' ELSE 'Medium' END AS confidence
+      FROM s WHERE column_name IN ('thousands', 'balanced') AND NOT (u <= 20 AND u * 1.0 / n <= 0.2) HAVING count(*) >= 2""",
+)
 register(
     "report_issues", "constants",
     lambda df: R.recommendations(df).select("column_name", "issue_code", "action_code", "safety"),
@@ -298,8 +352,12 @@ register(
 )
 register(
     "report_summary", "sparse",
-    lambda df: R.report_summary(df).select("missing_values", "duplicate_rows", "columns"),
-    "SELECT 2 * count(*) - count(grp) - count(val) AS missing_values, count(*) - count(DISTINCT id) AS duplicate_rows, 4 AS columns FROM sparse",
+    lambda df: R.report_summary(df).drop("recommendations"),
+    _T + """, q AS (SELECT quantile_cont(val, 0.25) AS a, quantile_cont(val, 0.75) AS z FROM sparse)
+      SELECT 2 * count(*) - count(grp) - count(val) AS missing_values, count(*) - count(DISTINCT id) AS duplicate_rows, 4 AS columns,
+      (SELECT count(*) FROM d WHERE detected_type IN ('id_like', 'numeric_categorical', 'review')) AS datatype_issues,
+      CASE WHEN (SELECT count(*) FROM d WHERE column_name = 'val' AND detected_type = 'numeric') = 1
+        THEN count(*) FILTER (val < a - 1.5 * (z - a) OR val > z + 1.5 * (z - a)) ELSE 0 END AS outliers FROM sparse, q GROUP BY a, z""",
 )
 register(
     "clean_apply_actions", "sparse",

@@ -210,9 +210,25 @@ register(
 register(
     "recommended_charts",
     "geo",
-    lambda df: df.sparkSession.createDataFrame([(c,) for c in P.recommend_charts(df, ["location", "lat", "lon", "val"])], "chart string"),
-    """SELECT * FROM (VALUES ('bar'), ('horizontal_bar'), ('pie'), ('donut'), ('scatter'), ('bubble'), ('correlation_heatmap'),
-       ('symbol_map'), ('bubble_map'), ('density_map'), ('table')) v(chart)""",
+    lambda df: P.recommend_charts(df, ["location", "lat", "lon", "val", "not there"]),
+    """WITH f AS (SELECT (count(TRY_CAST(location AS DOUBLE)) = 0)::INT + (count(lat) = 0)::INT + (count(lon) = 0)::INT + (count(val) = 0)::INT AS categories,
+         (count(TRY_CAST(location AS DOUBLE)) > 0)::INT + (count(lat) > 0)::INT + (count(lon) > 0)::INT + (count(val) > 0)::INT AS numbers,
+         (coalesce(avg((TRY_CAST(location AS TIMESTAMP) IS NOT NULL)::INT), 0) > 0.5)::INT AS times FROM geo)
+       SELECT chart, CAST(rank AS INTEGER) AS rank FROM f, (VALUES (0, 'bar', 1, 1, 0), (1, 'horizontal_bar', 1, 1, 0), (2, 'pie', 1, 1, 0), (3, 'donut', 1, 1, 0),
+         (4, 'grouped_bar', 2, 1, 0), (5, 'stacked_bar', 2, 1, 0), (6, 'heatmap', 2, 1, 0), (7, 'line', 0, 1, 1), (8, 'area', 0, 1, 1),
+         (9, 'scatter', 0, 2, 0), (10, 'bubble', 0, 2, 0), (11, 'correlation_heatmap', 0, 2, 0), (15, 'symbol_map', 0, 0, 0), (16, 'bubble_map', 0, 0, 0),
+         (17, 'density_map', 0, 0, 0), (18, 'table', 1, 0, 0)) v(rank, chart, c, n, t) WHERE categories >= c AND numbers >= n AND times >= t""",
+)
+register(
+    "profile_advice",
+    "customer",
+    lambda df: P.profile(df).select("column_name", "detected_type", "role", "recommendation"),
+    f"""WITH s AS ({_union('customer', _basic)}), d AS (SELECT *, {TYPE_SQL} AS detected_type, missing * 100.0 / n AS lost FROM s)
+    SELECT column_name, detected_type, CASE WHEN detected_type = 'id_like' THEN 'identifier' WHEN detected_type = 'review' OR lost >= 85 THEN 'review'
+        WHEN u = 1 THEN 'exclude' WHEN regexp_matches(lower(column_name), '{P.TARGET_NAME}') THEN 'target_candidate' ELSE 'feature' END AS role,
+      CASE {' '.join(f"WHEN detected_type = '{k}' THEN '{P.ADVICE_BY_TYPE[k]}'" for k in P.ADVICE_FIRST)} WHEN u = 1 THEN '{P.ADVICE_CONSTANT}'
+        {' '.join(f"WHEN lost >= {least} THEN '{text}'" for least, text in P.ADVICE_MISSING)}
+        {' '.join(f"WHEN detected_type = '{k}' THEN '{v}'" for k, v in P.ADVICE_BY_TYPE.items())} ELSE '{P.ADVICE_OTHER}' END AS recommendation FROM d""",
 )
 register(
     "eda_summary",
@@ -223,6 +239,10 @@ register(
     o AS (SELECT count(*) AS outliers FROM sparse, q WHERE val < a - 1.5 * (z - a) OR val > z + 1.5 * (z - a))
     SELECT b.*, CASE WHEN (SELECT count(*) FROM d WHERE column_name = 'val' AND detected_type = 'numeric') = 1 THEN o.outliers ELSE 0 END AS outliers,
       (SELECT count(*) FROM d WHERE detected_type IN ('id_like', 'numeric_categorical', 'review')) AS datatype_issues,
+      (SELECT count(*) FROM d) AS recommendations, (SELECT count(*) FROM d WHERE detected_type = 'text') AS text_columns,
+      (SELECT 3 * count(*) FILTER (detected_type = 'numeric') + count(*) FILTER (detected_type IN ('categorical', 'numeric_categorical', 'boolean'))
+         + count(*) FILTER (detected_type = 'numeric') * count(*) FILTER (detected_type = 'datetime') + (sum(missing) > 0)::INT
+         + (count(*) FILTER (detected_type = 'numeric') > 1)::INT + (count(*) FILTER (detected_type = 'numeric') > 0)::INT FROM d) AS recommended_graphs,
       (SELECT count(*) FROM d WHERE detected_type = 'numeric') AS numeric_columns,
       (SELECT count(*) FROM d WHERE detected_type IN ('categorical', 'numeric_categorical')) AS categorical_columns,
       (SELECT count(*) FROM d WHERE detected_type = 'datetime') AS datetime_columns,
