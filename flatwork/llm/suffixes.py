@@ -11,8 +11,10 @@ when their texts can agree, so the work is dealt by content before it is sorted:
 3. What is left are distinct contexts that share a core. Each group of them is suffix-sorted by the
    difference cover modulo 3: sort the sampled triples, recurse on their names, merge the remaining
    suffixes, then compare the prefixes of neighbours. Tasks take whole groups, a bounded slice at a time.
-4. A core with more than GROUP distinct contexts is not sorted in one place: the hashes (128 bits) of its
-   strings are counted instead, which gives the same answer for any number of rows.
+4. A core with more than GROUP distinct contexts is too much for one task. Its strings reach either half of their
+   slack to the left of the gram or more than half to its right, so they share a longer gram with their equals:
+   each context is dealt again by these two, repeated ones are counted, those alone go, and so on. A level
+   costs two rows a context; after eight the gram is the string itself.
 
 The input is written once with a number for each row, and rows are told apart by that alone, whatever
 their doc_id. Nulls and empty texts have no byte and nothing removed. Repeated rows are copies of each
@@ -22,6 +24,7 @@ other. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from flatwork.functions.coerce import col
-from flatwork.llm.common import slices, stored, text_bytes
+from flatwork.llm.common import look_up, slices, stored, text_bytes
 
 GRAM = 64
 GROUP = 1024
 #: Bytes that are sorted at a time, unless one group alone holds more (GROUP contexts at most).
 SORT_BYTES = 1 << 18
-#: Layout of `place`: the first start, then the number of starts.
+#: Layout of `place`: the first start, then the gram's place after it, then the number of starts.
 STARTS_BITS = 10
 
 
@@ -63,12 +66,13 @@ def _rightmost_minimum(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def contexts(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Of every context: text number, first start in the text, number of starts, core, own hash."""
+    """Of every context: text number, first start in the text, place of its gram after that, number of starts,
+    core, own hash."""
     sizes = np.array([len(t) for t in texts])
     joined = b"".join(texts)
     none = np.zeros(0, np.int64)
     if sizes.max(initial=0) < length:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     b = np.frombuffer(joined, np.uint8)
     anchors = _rightmost_minimum(_gram_hashes(b), length - GRAM + 1)  # of each start in the joined texts
     ends = np.cumsum(sizes)
@@ -85,7 +89,7 @@ def contexts(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         own.append(xxhash.xxh3_64_intdigest(joined[s : s + n - 1 + length], p - s))
     signed = [np.array(x, np.uint64).view(np.int64) for x in (core, own)]
     of = number[begin]
-    return of, begin - (ends - sizes)[of], counts, *signed
+    return of, begin - (ends - sizes)[of], anchor - begin, counts, *signed
 
 
 def _anchor_rows(length: int):
@@ -93,8 +97,8 @@ def _anchor_rows(length: int):
         for batch in batches:
             numbers, texts = batch.column(0), text_bytes(batch.column(1))
             for a, b in slices([len(t) for t in texts]):
-                of, offset, n, core, own = contexts(texts[a:b], length)
-                place = (offset << STARTS_BITS) | n
+                of, offset, gram, n, core, own = contexts(texts[a:b], length)
+                place = (((offset << STARTS_BITS) | gram) << STARTS_BITS) | n
                 arrays = [numbers.take(pa.array(of + a)), *[pa.array(x, pa.int64()) for x in (place, core, own)]]
                 yield pa.RecordBatch.from_arrays(arrays, ["number", "place", "core", "own"])
 
@@ -209,18 +213,49 @@ def _sort_groups(length: int):
     return run
 
 
-def _window_hashes(length: int):
-    """128 bits for every string of `length` bytes of a context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, start, string in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes = [xxhash.xxh3_128_digest(string[i : i + length]) for i in range(len(string) - length + 1)]
-                n = len(hashes)
-                arrays = [pa.array([number] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(hashes, pa.binary())], ["number", "first", "h"])
-
-    return run
+def dealt_again(crowded: DataFrame, length: int) -> DataFrame:
+    """Contexts cut in two by how far their strings reach to the left of the gram, each part with the longer gram
+    that its strings share: its hash is the new core. `gram` is its place in the string, `width` its length."""
+    half = F.expr(f"({length} - width + 1) DIV 2").cast("int")
+    cut = crowded.where(F.col("width") < length).withColumn("half", half)
+    first = F.greatest(F.col("gram") - F.col("half") + 1, F.lit(0))  # strings from here on reach less than half
+    left = F.struct(
+        F.lit(0).alias("skip"), F.least("n", first).alias("n"), (F.col("gram") - F.col("half")).alias("gram"), (F.col("width") + F.col("half")).alias("width")
+    )
+    right = F.struct(first.alias("skip"), (F.col("n") - first).alias("n"), (F.col("gram") - first).alias("gram"), (F.lit(length + 1) - F.col("half")).alias("width"))
+    sides = F.filter(F.array(*[F.struct(F.lit(i).alias("side"), x.alias("x")) for i, x in enumerate((left, right))]), lambda x: x["x"]["n"] > 0)
+    parts = cut.select("core", "number", "start", "known", "string", F.explode(sides).alias("p"))
+    parts = parts.select(
+        "core", "number", (F.col("start") + F.col("p.x.skip")).alias("start"), "known", "p.side", "p.x.n", "p.x.gram", "p.x.width",
+        F.substring("string", F.col("p.x.skip") + 1, F.col("p.x.n") + (length - 1)).alias("string"),
+    )
+    grams = F.xxhash64("core", "side", F.substring("string", F.col("gram") + 1, F.col("width")))
+    return parts.withColumn("core", grams).drop("side")
+
+
+def crowded_cores(level: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts with the number of `members` of their core, dealt again until no core has more than GROUP: the
+    contexts to sort, and the spans of those that repeat as a whole on the way."""
+    small, spans = [], []
+    while True:
+        divisible = (F.col("members") > GROUP) & (F.col("width") < length)
+        crowded = level.where(divisible)
+        small.append(level.where(~divisible))
+        if crowded.isEmpty():
+            return small, spans
+        parts = stored(dealt_again(crowded, length).withColumns({"o1": F.xxhash64("string"), "o2": F.xxhash64(F.lit(1), "string")}), "zstd")
+        same = ["core", "o1", "o2", "gram", "n"]
+        distinct = parts.groupBy(*same).agg(
+            F.count("*").alias("rows"), F.min(F.struct("number", "start")).alias("at"), F.max("known").alias("known"),
+            F.first("width").alias("width"), F.first("string").alias("string"),
+        )
+        distinct = stored(distinct, "zstd")
+        often = distinct.where("rows > 1").select(*same)
+        whole = parts.where("NOT known").join(often, same)
+        spans.append(whole.select("number", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last")))
+        sizes = stored(distinct.groupBy("core").agg(F.count("*").alias("members")).where("members > 1"))
+        rest = distinct.select("core", "at.number", "at.start", "n", "gram", "width", (F.col("known") | (F.col("rows") > 1)).alias("known"), "string")
+        level = stored(look_up(rest, sizes, ["core"], "members"), "zstd")
 
 
 def _remove(length: int, as_text: bool):
@@ -261,28 +296,29 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
     shared = stored(anchors.join(cores, "core"), "zstd")
     distinct = stored(shared.groupBy("core", "own").agg(F.count("*").alias("n"), F.min(F.struct("number", "place")).alias("at")))
 
-    place = {"start": F.shiftright("place", STARTS_BITS), "n": F.col("place").bitwiseAND(F.lit((1 << STARTS_BITS) - 1))}
+    mask = F.lit((1 << STARTS_BITS) - 1)
+    place = {
+        "start": F.shiftright("place", 2 * STARTS_BITS),
+        "gram": F.shiftright("place", STARTS_BITS).bitwiseAND(mask).cast("int"),
+        "n": F.col("place").bitwiseAND(mask).cast("int"),
+    }
     whole = shared.join(distinct.where("n > 1").select("core", "own"), ["core", "own"]).withColumns(place)
     whole = whole.select("number", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last"))
 
     groups = distinct.groupBy("core").agg(F.count("*").alias("members")).where("members > 1")
-    open_ = distinct.join(groups, "core").select(
-        "core", "at.number", F.col("at.place").alias("place"), (F.col("n") > 1).alias("known"), (F.col("members") > GROUP).alias("big")
-    )
+    open_ = distinct.join(groups, "core").select("core", "at.number", F.col("at.place").alias("place"), (F.col("n") > 1).alias("known"), "members")
     open_ = open_.withColumns(place)
-    wanted = open_.groupBy("number").agg(F.collect_list(F.struct("core", "start", "n", "known", "big")).alias("wanted"))
+    wanted = open_.groupBy("number").agg(F.collect_list(F.struct("core", "start", "n", "gram", "known", "members")).alias("wanted"))
     found = texts.select("number", "text").join(wanted, "number").select("number", F.col("text").cast("binary").alias("t"), F.explode("wanted").alias("w"))
-    string = F.substring("t", F.col("w.start").cast("int") + 1, F.col("w.n").cast("int") + (length - 1)).alias("string")
-    strings = stored(found.select("w.core", "number", "w.start", "w.known", "w.big", string), "zstd")
+    string = F.substring("t", F.col("w.start").cast("int") + 1, F.col("w.n") + (length - 1)).alias("string")
+    strings = stored(found.select("w.core", "number", "w.start", "w.n", "w.gram", F.lit(GRAM).alias("width"), "w.known", string, "w.members"), "zstd")
 
-    small = strings.where("not big").select("core", "number", "start", "known", "string")
+    small, spans = crowded_cores(strings, length)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = small.repartition(parts, "core").sortWithinPartitions("core", "number", "start").mapInArrow(_sort_groups(length), SPANS)
-    windows = strings.where("big").select("number", "start", "string").mapInArrow(_window_hashes(length), "number long, first long, h binary")
-    often = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    counted = windows.join(often, "h").select("number", "first", F.col("first").alias("last"))
+    sorted_ = reduce(DataFrame.unionByName, [s.select("core", "number", "start", "known", "string") for s in small])
+    sorted_ = sorted_.repartition(parts, "core").sortWithinPartitions("core", "number", "start").mapInArrow(_sort_groups(length), SPANS)
 
-    spans = whole.unionByName(sorted_).unionByName(counted)
+    spans = reduce(DataFrame.unionByName, [whole, sorted_, *spans])
     by_row = spans.groupBy("number").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     kind = "string" if as_text else "binary"
     cut = F.arrow_udf(_remove(length, as_text), f"struct<kept: {kind}, n_bytes: bigint, n_removed: bigint, n_spans: bigint>").asNondeterministic()
