@@ -14,6 +14,7 @@ empty table gives no rows. Columns with the names of the result are replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -112,11 +113,13 @@ def slots(patterns: list[tuple[tuple[int, ...], int]], limit: int = LIMIT) -> di
     return {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(("length", "rank", "sequence", "offset"))}
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and packed ids of the pieces of whole texts. Only documents of more than
-    `limit` ids are cut, and all their pieces but the first are full."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and packed ids of the pieces of whole texts. Only documents of more
+    than `limit` ids are cut, and all their pieces but the first are full. Without `with_ids` the ids stay in the task."""
     end = np.array([end_id], "<u4").tobytes()
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    fields = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
+    if not with_ids:
+        del fields["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,11 +130,13 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, limit: int = LIMIT,
                     packed += end
                     n = len(packed) // 4
                     cuts = [0, *range(n % limit or limit, n + 1, limit)]
-                    rows += [(d, i, s, e - s, packed[4 * s : 4 * e]) for i, (s, e) in enumerate(zip(cuts, cuts[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length", "ids"])
+                    for i, (s, e) in enumerate(zip(cuts, cuts[1:])):
+                        ids = packed[4 * s : 4 * e]
+                        rows.append((d, i, s, e - s, zlib.crc32(ids), ids))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), fields.values())], list(fields))
 
     picked = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def pack(items: DataFrame, length: str = "length", limit: int = LIMIT) -> DataFrame:

@@ -55,9 +55,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(_read(spark, sf_dir, "documents"), default_path(BYTES), end_id=0)
-    cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(cut)
+    return packing.pack(packing.pieces(_read(spark, sf_dir, "documents"), default_path(BYTES), end_id=0, with_ids=False))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
