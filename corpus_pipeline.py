@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from flatwork.functions.coerce import col
 from flatwork.llm import langid, packing, pii, simhash, suffixes
 from flatwork.llm.common import stored
 from flatwork.llm.tokens import default_path
@@ -37,24 +38,23 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that also stand elsewhere."""
     cut = suffixes.remove_repeats(docs, length=PASSAGE_BYTES, as_text=True, keep_columns=True)
-    return _with_text(docs, cut, F.col("kept"), "row.")
+    return _with_text(docs, cut, F.col("kept"), lambda c: F.col("row")[c])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by the name of its kind."""
-    return _with_text(docs, pii.redact(docs), F.col("text"))
+    return _with_text(docs, pii.redact(docs), F.col("text"), col)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
-    cut = packing.pieces(docs, default_path(TOKENIZER), end_id=0)
-    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(packing.pieces(docs, default_path(TOKENIZER), end_id=0, with_ids=False))
 
 
-def _with_text(docs: DataFrame, df: DataFrame, text, prefix: str = "") -> DataFrame:
-    """The columns of documents with a new text and its length."""
+def _with_text(docs: DataFrame, df: DataFrame, text: Column, kept: Callable[[str], Column]) -> DataFrame:
+    """The columns of documents with a new text and its length; `kept` gives the others by their exact names."""
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return df.select(*[new.get(c, F.col(c if c == "doc_id" else f"{prefix}{c}")).alias(c) for c in docs.columns])
+    return df.select(*[(new[c] if c in new else F.col(c) if c == "doc_id" else kept(c)).alias(c) for c in docs.columns])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
