@@ -64,3 +64,11 @@ def test_near_copies_keep_one_row_of_each_group(spark, sf):
     got = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, df, sf).collect()]
     want = [(5, texts[0]), *[(None, t) for t in texts[1:20]], (7, texts[20]), (7, texts[21]), (3, texts[22])]
     assert sorted(got, key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+
+
+def test_stages_keep_other_columns_by_their_exact_names(spark, docs, sf):
+    more = docs.limit(20).select("*", F.col("n_chars").alias("a.b"), F.lit("k").alias("kept"), F.lit(1).alias("row"), F.lit(2).alias("number"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, sf)
+        assert out.columns == more.columns, name
+        assert out.where("kept <> 'k' OR row <> 1 OR number <> 2 OR `a.b` IS NULL").isEmpty(), name
