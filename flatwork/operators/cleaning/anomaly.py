@@ -182,9 +182,8 @@ def local_outlier_factor(df: DataFrame, columns: Sequence[str], neighbours: int
     total = points.agg(F.sum("w")).first()[0] or 0
     k = max(1, min(int(neighbours), total - 1))
     near = cut_lineage(nearest(points.select("x"), points, k, skip_self=True))
-    reach = near.select("x", F.array_max(F.transform("near", lambda n: n["d"])).alias("k_distance"), F.explode("near").alias("n"))
-    reach = reach.select("x", "k_distance", F.col("n.x").alias("o"), F.col("n.d").alias("d"), F.col("n.w").alias("w"))
-    own = near.select(F.col("x").alias("o"), F.array_max(F.transform("near", lambda n: n["d"])).alias("o_distance"))
+    reach = near.select("x", "o", "d", "w")
+    own = near.groupBy(F.col("x").alias("o")).agg(F.max("d").alias("o_distance"))
     weighted = F.sum(F.col("w") * F.greatest("d", "o_distance")) / F.sum("w")
     density = reach.join(own, "o").groupBy("x").agg((1.0 / (weighted + 1e-10)).alias("density"))
     other = density.select(F.col("x").alias("o"), F.col("density").alias("o_density"))
@@ -194,8 +193,8 @@ def local_outlier_factor(df: DataFrame, columns: Sequence[str], neighbours: int
     factors = around.join(density, "x").select(F.col("x").alias("__fx"), (-F.col("around") / F.col("density")).alias("anomaly_score"))
     factors = cut_lineage(factors)
     scored = work.join(factors, F.col("__x") == F.col("__fx"), "left").drop("__x", "__fx")
-    limit = quantiles(scored.select("anomaly_score"), ["anomaly_score"], [float(contamination)]).first()["q_anomaly_score"][0]
-    return scored.withColumn("anomaly_flag", (F.col("anomaly_score") < F.lit(float(limit))).cast("int"))
+    limit = quantiles(scored.select("anomaly_score"), ["anomaly_score"], [float(contamination)]).first()["q_anomaly_score"]
+    return scored.withColumn("anomaly_flag", (F.col("anomaly_score") < F.lit(limit[0] if limit else None).cast("double")).cast("int"))
 
 
 def flag_anomalies(df: DataFrame, columns: Sequence[str], method: str, params: dict | None = None) -> DataFrame:

@@ -89,9 +89,6 @@ def fill_nearest(df: DataFrame, column: str, features: Sequence[str], k: int = 5
     if known.isEmpty():  # nothing to learn from: missing stays missing
         return df.withColumn(column, num(df, column))
     asked = work.where("__v is null").select(F.col("__x").alias("x"))
-    near = nearest(asked, known, k).select("x", F.explode("near").alias("n"))
-    guess = near.groupBy(F.col("x").alias("__kx")).agg(
-        (F.sum(F.col("n.w") * F.col("n.payload")) / F.sum("n.w")).alias("__guess")
-    )
+    guess = nearest(asked, known, k).groupBy(F.col("x").alias("__kx")).agg((F.sum(F.col("w") * F.col("payload")) / F.sum("w")).alias("__guess"))
     joined = work.join(guess, F.col("__x") == F.col("__kx"), "left")
     return joined.withColumn(column, F.coalesce("__v", "__guess")).drop("__x", "__v", "__kx", "__guess")

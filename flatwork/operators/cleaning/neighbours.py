@@ -1,27 +1,36 @@
 """Exact nearest neighbours of points in a few dimensions, without a cross join.
 
-Equal points are one point with a weight, so copies cost nothing. Space is cut into boxes of about
-BOX_POINTS known points. Each asked point first gets an upper bound for its k-th distance from its
-own box, then visits only the boxes that can hold something nearer. Boxes asked by many points are
-split over several groups.
+Equal points are one point with a weight, so copies cost nothing. Known points are put in order along a Z curve and cut
+into boxes of about BOX_POINTS; FANOUT boxes in a row make a box of the next level, level by level, until FANOUT or fewer
+are left for the driver. A box is the tight bounds of what it holds, so its size never grows with the table.
+
+An asked point goes down the levels to one box near it, which gives an upper bound of its k-th distance, and then down
+again to every box that can hold something nearer. A level is one join by box; points and boxes meet there in numpy, a
+batch at a time, and boxes asked by many points are split over several groups. A box gives at most k candidates for a
+point, and the best k are ranked in each task before they move.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import BinaryType
 
 from flatwork.functions.coerce import num
+from flatwork.operators.ordered import with_position
 from flatwork.operators.quantiles import quantiles
+from flatwork.sources.checkpoints import cut_lineage
 
-BOX_POINTS = 2_000
-MAX_BOXES = 32_768
-SAMPLES_PER_BOX = 16
+BOX_POINTS = 1_000
+FANOUT = 1_000
 ASKED_PER_GROUP = 5_000
+#: Asked points that meet a box's contents in one numpy call.
+BATCH = 256
+#: Allowance for rounding where distances are compared.
+SLACK = 1 + 1e-12
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -50,62 +59,113 @@ def with_standardised(df: DataFrame, columns: Sequence[str], out: str = "__x") -
     return plain.withColumn(out, F.array(*[p + 0.0 for p in parts])).drop(*names)
 
 
-class Boxes:
-    """A kd-tree cut from a sample: a few numbers per box, small enough for every task."""
-
-    def __init__(self, sample: np.ndarray, boxes: int):
-        d = sample.shape[1]
-        self.feature, self.cut, self.child = [], [], []
-        self.low, self.high = [], []
-        self._grow(sample, boxes, np.full(d, -np.inf), np.full(d, np.inf))
-        self.feature, self.cut, self.child = np.array(self.feature), np.array(self.cut), np.array(self.child)
-        self.low, self.high = np.array(self.low), np.array(self.high)
-
-    def _grow(self, points: np.ndarray, boxes: int, low: np.ndarray, high: np.ndarray) -> int:
-        at = len(self.feature)
-        self.feature.append(-1), self.cut.append(0.0), self.child.append([-1, -1])
-        spread = np.ptp(points, axis=0) if len(points) else np.zeros(len(low))
-        axis = int(np.argmax(spread))
-        cut = float(np.median(points[:, axis])) if len(points) else 0.0
-        left = points[:, axis] < cut if len(points) else np.zeros(0, bool)
-        if boxes < 2 or not spread[axis] or not left.any() or left.all():
-            self.child[at] = [len(self.low), -1]
-            self.low.append(low), self.high.append(high)
-            return at
-        self.feature[at], self.cut[at] = axis, cut
-        mid_high, mid_low = high.copy(), low.copy()
-        mid_high[axis] = mid_low[axis] = cut
-        a = self._grow(points[left], boxes // 2, low, mid_high)
-        b = self._grow(points[~left], boxes - boxes // 2, mid_low, high)
-        self.child[at] = [a, b]
-        return at
-
-    def locate(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), dtype=int)
-        while True:
-            inner = self.feature[node] >= 0
-            if not inner.any():
-                return self.child[node, 0]
-            f = self.feature[node[inner]]
-            right = x[inner, f] >= self.cut[node[inner]]
-            node[inner] = self.child[node[inner], right.astype(int)]
-
-    def within(self, x: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
-        """For each point, the boxes that come nearer than its radius."""
-        out = []
-        for p, r in zip(x, radius):
-            gap = np.maximum(np.maximum(self.low - p, p - self.high), 0.0)
-            out.append(np.flatnonzero((gap**2).sum(axis=1) <= r * r * (1 + 1e-12)))
-        return out
-
-
-def _boxes(known: DataFrame) -> Boxes:
-    n = known.count()
-    wanted = int(min(MAX_BOXES, max(1, math.ceil(n / BOX_POINTS))))
-    size = wanted * SAMPLES_PER_BOX
-    picked = known.select("x") if n <= size else known.select("x").sample(min(1.0, 1.1 * size / n), seed=42)
-    rows = [r["x"] for r in picked.limit(2 * size).collect()]
-    return Boxes(np.array(rows, dtype=float).reshape(len(rows), -1), wanted)
+def _matrix(x: pd.Series) -> np.ndarray:
+    return np.stack(x.to_numpy())
+
+
+def _batches(n: int) -> Iterator[slice]:
+    return (slice(i, i + BATCH) for i in range(0, n, BATCH))
+
+
+def _curve(x: np.ndarray) -> list[bytes]:
+    """Places on the Z curve: the bits of all components in turns. Components are pressed into (-1, 1) first, so that a
+    few far points do not leave a single cell to all others."""
+    level = np.floor((x / (1 + np.abs(x)) + 1) * 2.0**31)
+    cells = np.minimum(level, 2.0**32 - 1).astype(">u4")
+    bits = np.unpackbits(cells.view(np.uint8).reshape(*x.shape, 4), axis=2)
+    return [row.tobytes() for row in np.packbits(bits.transpose(0, 2, 1).reshape(len(x), -1), axis=1)]
+
+
+@F.pandas_udf(BinaryType())
+def _place(x: pd.Series) -> pd.Series:
+    return pd.Series(_curve(_matrix(x)) if len(x) else [], dtype=object)
+
+
+def _bounds(df: DataFrame, low: str, high: str, size: int) -> DataFrame:
+    """The bounds of each box, component by component."""
+    parts = [(F.min(F.col(low)[i]), F.max(F.col(high)[i])) for i in range(size)]
+    return df.groupBy("box").agg(F.array(*[a for a, _ in parts]).alias("low"), F.array(*[b for _, b in parts]).alias("high"))
+
+
+def _boxes(known: DataFrame, n: int, size: int, k: int) -> tuple[DataFrame, list[DataFrame], tuple[np.ndarray, ...]]:
+    """The known points with their box; the levels between, the finest first, as rows (box, child, low, high); and numbers
+    and bounds of the at most FANOUT boxes on top."""
+    # Points are dealt evenly, so every box holds more than k of them or is the only one.
+    boxes = max(1, n // max(BOX_POINTS, k + 2))
+    placed = with_position(known.select("x", "w", "payload", _place("x").alias("__z")), ["__z", "x"], out="__pos")
+    number = F.least(F.floor(F.col("__pos") * F.lit(boxes / n)), F.lit(boxes - 1)).cast("long")
+    placed = cut_lineage(placed.select("x", "w", "payload", number.alias("box")))
+    bounds, levels = _bounds(placed, "x", "x", size), []
+    while boxes > FANOUT:
+        boxes = -(-boxes // FANOUT)
+        up = F.floor(F.col("box") / FANOUT).cast("long")
+        levels.append(cut_lineage(bounds.select(up.alias("box"), F.col("box").alias("child"), "low", "high")))
+        bounds = _bounds(levels[-1], "low", "high", size)
+    top = bounds.orderBy("box").collect()
+    return placed, levels, tuple(np.array([r[c] for r in top]) for c in ("box", "low", "high"))
+
+
+def _near_boxes(x: np.ndarray, radius: np.ndarray | None, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a point and a box that comes within its radius; without radii the one box that is nearest, by its middle
+    where several hold the point."""
+    points, found = [], []
+    for part in _batches(len(x)):
+        y = x[part]
+        gap = np.zeros((len(y), len(low)))
+        for i in range(x.shape[1]):
+            gap += np.maximum(np.maximum(low[:, i] - y[:, i, None], y[:, i, None] - high[:, i]), 0.0) ** 2
+        if radius is None:
+            off = np.zeros_like(gap)
+            for i in range(x.shape[1]):
+                off += ((low[:, i] + high[:, i]) / 2 - y[:, i, None]) ** 2
+            box = np.where(gap == gap.min(axis=1, keepdims=True), off, np.inf).argmin(axis=1)
+            point = np.arange(len(y))
+        else:
+            point, box = np.nonzero(gap <= radius[part, None] ** 2 * SLACK)
+        points.append(point + part.start), found.append(box)
+    return np.concatenate(points), np.concatenate(found)
+
+
+def _meet(asked: DataFrame, held: DataFrame, tasks: int):
+    """Asked points and the contents of their box together. The points of a crowded box are spread over several groups,
+    each with the box's contents."""
+    load = asked.groupBy("box").agg(F.ceil(F.count("*") / ASKED_PER_GROUP).cast("int").alias("parts"))
+    asked = asked.join(load, "box").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
+    held = held.join(load, "box").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = asked.withColumn("__asked", F.lit(True)).unionByName(held.withColumn("__asked", F.lit(False)), allowMissingColumns=True)
+    # A fixed number of tasks: by size alone these groups look small, but each is much work.
+    return both.repartition(tasks, "box", "part").groupBy("box", "part")
+
+
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return rows[rows["__asked"]], rows[~rows["__asked"]]
+
+
+def _down(asked: DataFrame, levels: list[DataFrame], top: tuple[np.ndarray, ...], tasks: int, own: bool) -> DataFrame:
+    """x, radius and box: each asked point with every box of points within its radius, or with the one that is nearest."""
+    numbers, low, high = top
+
+    @F.pandas_udf("array<long>")
+    def first(x: pd.Series, radius: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        point, box = _near_boxes(_matrix(x), None if own else radius.to_numpy(), low, high)
+        return pd.Series(np.split(numbers[box], np.cumsum(np.bincount(point, minlength=len(x)))[:-1]))
+
+    def children(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(rows)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"x": [], "radius": [], "box": []})
+        radius = None if own else a["radius"].to_numpy()
+        point, box = _near_boxes(_matrix(a["x"]), radius, _matrix(b["low"]), _matrix(b["high"]))
+        return pd.DataFrame({
+            "x": a["x"].to_numpy()[point], "radius": a["radius"].to_numpy()[point], "box": b["child"].to_numpy()[box].astype(np.int64),
+        })
+
+    at = asked.select("x", "radius", F.explode(first("x", "radius")).alias("box"))
+    for level in reversed(levels):
+        at = _meet(at, level, tasks).applyInPandas(children, "x array<double>, radius double, box long")
+    return at
 
 
 def _kth(distance: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
@@ -122,100 +182,67 @@ def _kth(distance: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     return np.where(at < m, d[np.arange(len(d)), safe], np.inf)
 
 
-def _distances(a: pd.DataFrame, b: pd.DataFrame, skip_self: bool):
-    x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
+def _distances(x: np.ndarray, y: np.ndarray, weight: np.ndarray, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
     d = np.zeros((len(x), len(y)))
     for i in range(x.shape[1]):
         d += (x[:, i, None] - y[None, :, i]) ** 2
-    w = np.broadcast_to(b["w"].to_numpy(dtype=np.int64), d.shape)
+    w = np.broadcast_to(weight, d.shape)
     if skip_self:
         # A point is not its own neighbour, its other copies are.
         w = w - (d == 0)
     return np.sqrt(d), w
 
 
-def _grouped(asked: DataFrame, known: DataFrame, tasks: int):
-    """Asked and known points of each box together. The asked points of a crowded box are spread
-    over several groups, each with the box's known points."""
-    # At most MAX_BOXES rows: safe to send to every task.
-    load = F.broadcast(asked.groupBy("box").agg(F.ceil(F.count("*") / ASKED_PER_GROUP).cast("int").alias("parts")))
-    asked = asked.join(load, "box").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
-    known = known.join(load, "box").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    both = asked.unionByName(known, allowMissingColumns=True)
-    # A fixed number of tasks: by size alone these groups look small, but each is much work.
-    return both.repartition(tasks, "box", "part").groupBy("box", "part")
-
-
-def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    known = rows["w"].notna()
-    return rows[~known], rows[known]
-
-
 def nearest(asked: DataFrame, known: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """The k nearest known points (by weight) of each distinct asked point.
 
-    asked: x array<double>; known: x, w bigint, payload double. Result: x and `near`, an array of
-    (d, w, x, payload) by distance whose weights add up to k, the last one cut if needed.
+    asked: x array<double>; known: distinct x of one length, w bigint, payload double. Result, a row per neighbour: x, its
+    distance d, o (the neighbour), payload, and w, the copies of it that count; the copies of a point's neighbours add
+    up to k. Ties go to the smaller point. No known points give no rows.
     """
-    boxes = _boxes(known)
-    width = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(4 * width, 2 * len(boxes.low)))
-
-    @F.pandas_udf("int")
-    def box_of(x: pd.Series) -> pd.Series:
-        return pd.Series(boxes.locate(np.stack(x.to_numpy())) if len(x) else [], dtype="int32")
-
-    @F.pandas_udf("array<int>")
-    def boxes_near(x: pd.Series, radius: pd.Series) -> pd.Series:
-        return pd.Series(boxes.within(np.stack(x.to_numpy()), radius.to_numpy()) if len(x) else [])
+    schema = "x array<double>, d double, o array<double>, payload double, w bigint"
+    n, size = known.agg(F.count("*"), F.max(F.size("x"))).first()
+    if not n:
+        return known.sparkSession.createDataFrame([], schema)
+    placed, levels, top = _boxes(known, n, size, k)
+    tasks = max(1, min(4 * int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (n // BOX_POINTS + 1)))
 
     def bound(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = _sides(rows)
-        if not len(a):
+        if not len(a) or not len(b):
             return pd.DataFrame({"x": [], "radius": []})
-        if not len(b):
-            return pd.DataFrame({"x": a["x"], "radius": np.inf})
-        radius = [_kth(*_distances(a.iloc[i : i + 256], b, skip_self), k) for i in range(0, len(a), 256)]
-        return pd.DataFrame({"x": a["x"], "radius": np.concatenate(radius)})
+        x, y, weight = _matrix(a["x"]), _matrix(b["x"]), b["w"].to_numpy(dtype=np.int64)
+        radius = [_kth(*_distances(x[part], y, weight, skip_self), k) for part in _batches(len(x))]
+        return pd.DataFrame({"x": a["x"].to_numpy(), "radius": np.concatenate(radius)})
 
     def visit(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = _sides(rows)
-        xs, near = [], []
-        places, payloads = b["x"].tolist(), b["payload"].tolist()
-        for i in range(0, len(a) if len(b) else 0, 256):
-            part = a.iloc[i : i + 256]
-            d, w = _distances(part, b, skip_self)
-            reach = part["radius"].to_numpy()[:, None] * (1 + 1e-12)
-            d = np.where((w > 0) & (d <= reach), d, np.inf)
-            m = min(k, d.shape[1])
+        out = {"x": [], "d": [], "o": [], "payload": [], "w": []}
+        if not len(a) or not len(b):
+            return pd.DataFrame(out)
+        x, y, weight = _matrix(a["x"]), _matrix(b["x"]), b["w"].to_numpy(dtype=np.int64)
+        radius, payload = a["radius"].to_numpy(), b["payload"].to_numpy()
+        xs, ys = a["x"].to_numpy(), b["x"].to_numpy()
+        order = np.lexsort(y.T[::-1])  # ties at the k-th place go to the smaller point
+        y, weight, payload, ys = y[order], weight[order], payload[order], ys[order]
+        for part in _batches(len(x)):
+            d, w = _distances(x[part], y, weight, skip_self)
+            d = np.where((w > 0) & (d <= radius[part, None] * SLACK), d, np.inf)
             # Every weight is at least 1, so k points always suffice.
-            best = np.argpartition(d, m - 1, axis=1)[:, :m]
-            for row, p in enumerate(part["x"]):
-                js = [j for j in best[row].tolist() if d[row, j] != np.inf]
-                if js:
-                    xs.append(p)
-                    near.append([{"d": d[row, j], "w": w[row, j], "x": places[j], "payload": payloads[j]} for j in js])
-        return pd.DataFrame({"x": pd.Series(xs, dtype=object), "near": pd.Series(near, dtype=object)})
-
-    near_type = "array<struct<d:double,w:bigint,x:array<double>,payload:double>>"
-    placed_known = known.select("x", "w", "payload", box_of("x").alias("box"))
-    placed_asked = asked.select("x").distinct().withColumn("box", box_of("x"))
-    radius = _grouped(placed_asked, placed_known, tasks).applyInPandas(bound, "x array<double>, radius double")
-    visits = radius.withColumn("box", F.explode(boxes_near("x", "radius"))).select("x", "radius", "box")
-    found = _grouped(visits, placed_known, tasks).applyInPandas(visit, f"x array<double>, near {near_type}")
-    merged = found.groupBy("x").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    return merged.select("x", _cut(F.col("near"), k).cast(near_type).alias("near"))
-
-
-def _cut(near: Column, k: int) -> Column:
-    """Keep neighbours until their weights reach k."""
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.slice(near, 1, 0).alias("kept"))
-
-    def step(acc: Column, n: Column) -> Column:
-        room = F.greatest(F.lit(k) - acc["held"], F.lit(0))
-        taken = F.least(n["w"], room)
-        kept = F.when(taken > 0, F.concat(acc["kept"], F.array(n.withField("w", taken)))).otherwise(acc["kept"])
-        return F.struct((acc["held"] + taken).alias("held"), kept.alias("kept"))
-
-    return F.aggregate(near, start, step, lambda acc: acc["kept"])
-
+            edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1, None]
+            kept = (d < edge) | ((d == edge) & (np.cumsum(d == edge, axis=1) <= k - (d < edge).sum(axis=1, keepdims=True)))
+            i, j = np.nonzero(kept & np.isfinite(d))
+            for name, values in (("x", xs[i + part.start]), ("d", d[i, j]), ("o", ys[j]), ("payload", payload[j]), ("w", w[i, j])):
+                out[name].append(values)
+        return pd.DataFrame({name: np.concatenate(values) for name, values in out.items()})
+
+    start = asked.select("x").distinct().withColumn("radius", F.lit(0.0))
+    radius = _meet(_down(start, levels, top, tasks, True).select("x", "box"), placed, tasks).applyInPandas(bound, "x array<double>, radius double")
+    # The radii are read once more by each level's count of asked points.
+    visits = _down(cut_lineage(radius), levels, top, tasks, False)
+    found = _meet(visits, placed, tasks).applyInPandas(visit, schema)
+    order = W.partitionBy("x").orderBy("d", "o")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    before = F.coalesce(F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # Copies of the last neighbour beyond k do not count.
+    return best.withColumn("w", F.least("w", F.lit(k) - before)).where("w > 0").select("x", "d", "o", "payload", "w")

@@ -145,7 +145,12 @@ register(
 )
 register(
     "impute_nearest", "sparse",
-    lambda df: impute(df.withColumn("day", F.datediff("ts", F.lit("1990-01-01"))), "val", "knn_imputation", params={"features": ["id", "day"], "k": 5}).select("id", "val"),
+    lambda df: impute(df.withColumn("day", F.datediff("ts", F.lit("1990-01-01"))), "val", "knn_imputation", params={"features": ["id", "day"], "k": 5}).select("id", F.round("val", 4).alias("val")),
+    """WITH s AS (SELECT avg(id) AS ma, stddev_pop(id) AS sa, avg(day) AS mb, stddev_pop(day) AS sb FROM (SELECT id, date_diff('day', DATE '1990-01-01', ts::DATE) AS day FROM sparse)),
+       z AS (SELECT id, val, (id - ma) / sa AS a, (date_diff('day', DATE '1990-01-01', ts::DATE) - mb) / sb AS b FROM sparse, s),
+       guess AS (SELECT p.id, list_avg(arg_min(q.val, sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2), 5)) AS v
+         FROM z p JOIN z q ON p.val IS NULL AND q.val IS NOT NULL GROUP BY p.id)
+       SELECT id, round(coalesce(val, v), 4) AS val FROM sparse LEFT JOIN guess USING (id)""",
 )
 
 # ---- outliers -------------------------------------------------------------------------------
@@ -245,7 +250,16 @@ register(
 )
 register(
     "anomaly_local_outlier_factor", "outliers",
-    lambda df: M.flag_anomalies(df, ["val", "val2"], "local_outlier_factor").select("id", "anomaly_score", "anomaly_flag"),
+    lambda df: M.flag_anomalies(df, ["val", "val2"], "local_outlier_factor").select("id", F.round("anomaly_score", 6).alias("score"), "anomaly_flag"),
+    """WITH s AS (SELECT avg(val) AS ma, stddev_pop(val) AS sa, avg(val2) AS mb, stddev_pop(val2) AS sb FROM outliers),
+       z AS (SELECT id, (val - ma) / sa AS a, (val2 - mb) / sb AS b FROM outliers, s),
+       pairs AS (SELECT p.id, q.id AS o, sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2) AS d FROM z p JOIN z q ON p.id <> q.id),
+       near AS (SELECT id, unnest(arg_min({'o': o, 'd': d}, d, 20), recursive := true) FROM pairs GROUP BY id),
+       reach AS (SELECT id, max(d) AS far FROM near GROUP BY id),
+       density AS (SELECT near.id, 1.0::DOUBLE / (avg(greatest(d, far)) + 1e-10) AS thick FROM near JOIN reach ON reach.id = o GROUP BY near.id),
+       factor AS (SELECT near.id, -avg(around.thick) / any_value(own.thick) AS f
+         FROM near JOIN density around ON around.id = o JOIN density own ON own.id = near.id GROUP BY near.id)
+       SELECT id, round(f, 6) AS score, CAST(f < (SELECT quantile_cont(f, 0.05) FROM factor) AS INTEGER) AS anomaly_flag FROM factor""",
 )
 register(
     "anomaly_dbscan", "outliers",

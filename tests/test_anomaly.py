@@ -77,6 +77,50 @@ def test_nearest_imputation(frame, points, small_boxes):
     np.testing.assert_allclose(got[ask], want, rtol=1e-9)
 
 
+def brute_nearest(x, w, k):
+    """Distance and weight of each point's nearest other copies, as sorted lists of k distances."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    copies = np.repeat(np.arange(len(x)), w)
+    out = []
+    for i in range(len(x)):
+        far = d[i, copies].tolist()
+        far.remove(0.0)
+        out.append(sorted(far)[:k])
+    return out
+
+
+@pytest.mark.parametrize("columns, parts", [(6, 40), (1, 3)])
+def test_nested_boxes_in_many_columns_and_files(spark, monkeypatch, columns, parts):
+    monkeypatch.setattr(neighbours, "BOX_POINTS", 10)
+    monkeypatch.setattr(neighbours, "FANOUT", 4)  # five levels of boxes
+    monkeypatch.setattr(neighbours, "ASKED_PER_GROUP", 30)
+    rng = np.random.default_rng(7)
+    x = np.unique(np.concatenate([rng.normal(size=(500, columns)), rng.normal(size=(100, columns)) * 1e-6 + 3, [[1e9] * columns]]).round(9), axis=0)
+    w = rng.integers(1, 4, len(x))
+    rows = [([float(v) for v in p], int(c), float(i)) for i, (p, c) in enumerate(zip(x, w))]
+    known = spark.createDataFrame(rows, "x array<double>, w bigint, payload double").repartition(parts)
+    k = 7
+    got = neighbours.nearest(known.select("x"), known, k, skip_self=True).toPandas()
+    at = {tuple(p): i for i, p in enumerate(x)}
+    lists = {i: [] for i in range(len(x))}
+    for r in got.itertuples():
+        assert at[tuple(r.o)] == r.payload
+        lists[at[tuple(r.x)]] += [r.d] * r.w
+    for i, far in enumerate(brute_nearest(x, w, k)):
+        np.testing.assert_allclose(sorted(lists[i]), far, rtol=1e-9, atol=1e-15)
+
+
+def test_equal_distances_go_to_the_smaller_point(spark):
+    known = spark.createDataFrame([([float(i)], 1, float(i)) for i in range(9)], "x array<double>, w bigint, payload double")
+    got = neighbours.nearest(spark.createDataFrame([([4.0],)], "x array<double>"), known, 2)
+    assert [r["payload"] for r in got.orderBy("d", "o").collect()] == [4.0, 3.0]
+    assert neighbours.nearest(known.select("x"), known.where("false"), 2).count() == 0
+
+
+def test_local_outlier_factor_of_an_empty_table(frame):
+    assert anomaly.local_outlier_factor(frame.where("false"), ["a", "b"]).count() == 0
+
+
 def test_chained_imputation_recovers_a_linear_column(frame, points):
     rows = frame.withColumn("c", F.when(F.col("id") % 7 != 0, F.col("a") * 2 + F.col("b")))
     got = models.fill_chained(rows, ["c", "a", "b"], 2).toPandas().sort_values("id")["c"].to_numpy()
