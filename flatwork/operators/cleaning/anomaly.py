@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flatwork.functions.coerce import num
 from flatwork.operators.cleaning.density import dbscan
-from flatwork.operators.cleaning.neighbours import filled_columns, nearest, with_standardised
+from flatwork.operators.cleaning.neighbours import filled_columns, nearest, on_curve, with_standardised
 from flatwork.operators.quantiles import quantiles
 from flatwork.sources.checkpoints import cut_lineage
 
@@ -178,19 +178,19 @@ def local_outlier_factor(df: DataFrame, columns: Sequence[str], neighbours: int
     The score is the negated factor; the lowest share `contamination` is flagged.
     """
     work = with_standardised(df, columns)
-    points = work.groupBy(F.col("__x").alias("x")).agg(F.count("*").alias("w")).withColumn("payload", F.lit(0.0))
+    points = on_curve(work.groupBy(F.col("__x").alias("x")).agg(F.count("*").alias("w"), F.lit(0.0).alias("payload")))
     total = points.agg(F.sum("w")).first()[0] or 0
     k = max(1, min(int(neighbours), total - 1))
-    near = cut_lineage(nearest(points.select("x"), points, k, skip_self=True))
-    reach = near.select("x", "o", "d", "w")
-    own = near.groupBy(F.col("x").alias("o")).agg(F.max("d").alias("o_distance"))
-    weighted = F.sum(F.col("w") * F.greatest("d", "o_distance")) / F.sum("w")
-    density = reach.join(own, "o").groupBy("x").agg((1.0 / (weighted + 1e-10)).alias("density"))
-    other = density.select(F.col("x").alias("o"), F.col("density").alias("o_density"))
-    around = reach.select("x", "o", "w").join(other, "o").groupBy("x").agg(
-        (F.sum(F.col("w") * F.col("o_density")) / F.sum("w")).alias("around")
+    near = cut_lineage(nearest(points, points, k, skip_self=True))
+    own = near.groupBy(F.col("id").alias("other")).agg(F.max("d").alias("far"))
+    thin = F.sum(F.col("w") * F.greatest("d", "far")) / F.sum("w")
+    density = cut_lineage(near.join(own, "other").groupBy("id").agg((1.0 / (thin + 1e-10)).alias("density")))
+    around = near.join(density.withColumnRenamed("id", "other"), "other").groupBy("id").agg(
+        (F.sum(F.col("w") * F.col("density")) / F.sum("w")).alias("around")
+    )
+    factors = around.join(density, "id").join(points, "id").select(
+        F.col("x").alias("__fx"), (-F.col("around") / F.col("density")).alias("anomaly_score")
     )
-    factors = around.join(density, "x").select(F.col("x").alias("__fx"), (-F.col("around") / F.col("density")).alias("anomaly_score"))
     factors = cut_lineage(factors)
     scored = work.join(factors, F.col("__x") == F.col("__fx"), "left").drop("__x", "__fx")
     limit = quantiles(scored.select("anomaly_score"), ["anomaly_score"], [float(contamination)]).first()["q_anomaly_score"]

@@ -80,15 +80,14 @@ def fill_chained(df: DataFrame, columns: Sequence[str], rounds: int = 3) -> Data
 
 def fill_nearest(df: DataFrame, column: str, features: Sequence[str], k: int = 5) -> DataFrame:
     """Mean of the k nearest rows that hold a value, on standardised features."""
-    from flatwork.operators.cleaning.neighbours import nearest, with_standardised
+    from flatwork.operators.cleaning.neighbours import nearest, on_curve, with_standardised
 
     work = with_standardised(df, features).withColumn("__v", num(df, column))
-    known = work.where("__v is not null").groupBy(F.col("__x").alias("x")).agg(
-        F.count("*").alias("w"), F.avg("__v").alias("payload")
-    )
+    known = work.where("__v is not null").groupBy(F.col("__x").alias("x")).agg(F.count("*").alias("w"), F.avg("__v").alias("payload"))
     if known.isEmpty():  # nothing to learn from: missing stays missing
         return df.withColumn(column, num(df, column))
-    asked = work.where("__v is null").select(F.col("__x").alias("x"))
-    guess = nearest(asked, known, k).groupBy(F.col("x").alias("__kx")).agg((F.sum(F.col("w") * F.col("payload")) / F.sum("w")).alias("__guess"))
+    asked = on_curve(work.where("__v is null").select(F.col("__x").alias("x")).distinct())
+    near = nearest(asked, on_curve(known), k).groupBy("id").agg((F.sum(F.col("w") * F.col("payload")) / F.sum("w")).alias("__guess"))
+    guess = near.join(asked, "id").select(F.col("x").alias("__kx"), "__guess")
     joined = work.join(guess, F.col("__x") == F.col("__kx"), "left")
     return joined.withColumn(column, F.coalesce("__v", "__guess")).drop("__x", "__v", "__kx", "__guess")

@@ -1,8 +1,8 @@
 """Exact nearest neighbours of points in a few dimensions, without a cross join.
 
-Equal points are one point with a weight, so copies cost nothing. Known points are put in order along a Z curve and cut
-into boxes of about BOX_POINTS; FANOUT boxes in a row make a box of the next level, level by level, until FANOUT or fewer
-are left for the driver. A box is the tight bounds of what it holds, so its size never grows with the table.
+Equal points are one point with a weight, so copies cost nothing. Known points are put in order along a Hilbert curve and
+cut into boxes of about BOX_POINTS; FANOUT boxes in a row make a box of the next level, level by level, until FANOUT or
+fewer are left for the driver. A box is the tight bounds of what it holds, so its size never grows with the table.
 
 An asked point goes down the levels to one box near it, which gives an upper bound of its k-th distance, and then down
 again to every box that can hold something nearer. A level is one join by box; points and boxes meet there in numpy, a
@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import BinaryType
 
@@ -24,7 +25,7 @@ from flatwork.operators.ordered import with_position
 from flatwork.operators.quantiles import quantiles
 from flatwork.sources.checkpoints import cut_lineage
 
-BOX_POINTS = 1_000
+BOX_POINTS = 500
 FANOUT = 1_000
 ASKED_PER_GROUP = 5_000
 #: Asked points that meet a box's contents in one numpy call.
@@ -59,26 +60,46 @@ def with_standardised(df: DataFrame, columns: Sequence[str], out: str = "__x") -
     return plain.withColumn(out, F.array(*[p + 0.0 for p in parts])).drop(*names)
 
 
-def _matrix(x: pd.Series) -> np.ndarray:
-    return np.stack(x.to_numpy())
-
-
-def _batches(n: int) -> Iterator[slice]:
-    return (slice(i, i + BATCH) for i in range(0, n, BATCH))
-
-
 def _curve(x: np.ndarray) -> list[bytes]:
-    """Places on the Z curve: the bits of all components in turns. Components are pressed into (-1, 1) first, so that a
-    few far points do not leave a single cell to all others."""
+    """Places on the Hilbert curve (Skilling's transform, 32 bits a component). Components are pressed into (-1, 1) first,
+    so that a few far points do not leave a single cell to all others."""
     level = np.floor((x / (1 + np.abs(x)) + 1) * 2.0**31)
-    cells = np.minimum(level, 2.0**32 - 1).astype(">u4")
+    c = list(np.minimum(level, 2.0**32 - 1).astype(np.uint32).T.copy())
+    masks = [np.uint32((1 << bit) - 1) for bit in range(31, 0, -1)]
+    for mask in masks:
+        for i in range(len(c)):
+            up = (c[i] & (mask + np.uint32(1))) != 0
+            swap = np.where(up, np.uint32(0), (c[0] ^ c[i]) & mask)
+            c[0] ^= np.where(up, mask, swap)
+            c[i] ^= swap
+    for i in range(1, len(c)):
+        c[i] ^= c[i - 1]
+    turn = np.zeros(len(x), np.uint32)
+    for mask in masks:
+        turn ^= np.where((c[-1] & (mask + np.uint32(1))) != 0, mask, np.uint32(0))
+    cells = np.stack([part ^ turn for part in c], axis=1).astype(">u4")
     bits = np.unpackbits(cells.view(np.uint8).reshape(*x.shape, 4), axis=2)
     return [row.tobytes() for row in np.packbits(bits.transpose(0, 2, 1).reshape(len(x), -1), axis=1)]
 
 
 @F.pandas_udf(BinaryType())
 def _place(x: pd.Series) -> pd.Series:
-    return pd.Series(_curve(_matrix(x)) if len(x) else [], dtype=object)
+    return pd.Series(_curve(np.stack(x.to_numpy())) if len(x) else [], dtype=object)
+
+
+def on_curve(points: DataFrame) -> DataFrame:
+    """The points, which are distinct in x array<double>, with `id`: their place along the curve, from 0. Stored."""
+    placed = with_position(points.withColumn("__z", _place("x")), ["__z", "x"], out="id")
+    return cut_lineage(placed.drop("__z"))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return rows.flatten().to_numpy().reshape(len(rows), -1)
+
+
+def _batches(n: int) -> Iterator[slice]:
+    return (slice(i, i + BATCH) for i in range(0, n, BATCH))
 
 
 def _bounds(df: DataFrame, low: str, high: str, size: int) -> DataFrame:
@@ -92,9 +113,8 @@ def _boxes(known: DataFrame, n: int, size: int, k: int) -> tuple[DataFrame, list
     and bounds of the at most FANOUT boxes on top."""
     # Points are dealt evenly, so every box holds more than k of them or is the only one.
     boxes = max(1, n // max(BOX_POINTS, k + 2))
-    placed = with_position(known.select("x", "w", "payload", _place("x").alias("__z")), ["__z", "x"], out="__pos")
-    number = F.least(F.floor(F.col("__pos") * F.lit(boxes / n)), F.lit(boxes - 1)).cast("long")
-    placed = cut_lineage(placed.select("x", "w", "payload", number.alias("box")))
+    number = F.least(F.floor(F.col("id") * F.lit(boxes / n)), F.lit(boxes - 1)).cast("long")
+    placed = known.withColumn("box", number)
     bounds, levels = _bounds(placed, "x", "x", size), []
     while boxes > FANOUT:
         boxes = -(-boxes // FANOUT)
@@ -130,41 +150,46 @@ def _meet(asked: DataFrame, held: DataFrame, tasks: int):
     """Asked points and the contents of their box together. The points of a crowded box are spread over several groups,
     each with the box's contents."""
     load = asked.groupBy("box").agg(F.ceil(F.count("*") / ASKED_PER_GROUP).cast("int").alias("parts"))
-    asked = asked.join(load, "box").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
+    asked = asked.join(load, "box").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     held = held.join(load, "box").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     both = asked.withColumn("__asked", F.lit(True)).unionByName(held.withColumn("__asked", F.lit(False)), allowMissingColumns=True)
     # A fixed number of tasks: by size alone these groups look small, but each is much work.
     return both.repartition(tasks, "box", "part").groupBy("box", "part")
 
 
-def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    return rows[rows["__asked"]], rows[~rows["__asked"]]
+def _sides(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
+    asked = rows.column("__asked").to_numpy()
+    return rows.filter(pa.array(asked)), rows.filter(pa.array(~asked))
+
+
+_AT = "id long, x array<double>, radius double, box long"
+
+
+def _spread(asked: pa.Table | pa.RecordBatch, boxes: np.ndarray, low: np.ndarray, high: np.ndarray, own: bool) -> pa.Table:
+    """A row for each asked point and box that it goes to."""
+    x, radius = _matrix(asked.column("x")), asked.column("radius").to_numpy()
+    point, box = _near_boxes(x, None if own else radius, low, high)
+    taken = [asked.column(c).take(pa.array(point)) for c in ("id", "x", "radius")]
+    return pa.table([*taken, pa.array(boxes[box], pa.int64())], names=["id", "x", "radius", "box"])
 
 
 def _down(asked: DataFrame, levels: list[DataFrame], top: tuple[np.ndarray, ...], tasks: int, own: bool) -> DataFrame:
-    """x, radius and box: each asked point with every box of points within its radius, or with the one that is nearest."""
-    numbers, low, high = top
+    """id, x, radius and box: each asked point with every box of points within its radius, or with the nearest one."""
 
-    @F.pandas_udf("array<long>")
-    def first(x: pd.Series, radius: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        point, box = _near_boxes(_matrix(x), None if own else radius.to_numpy(), low, high)
-        return pd.Series(np.split(numbers[box], np.cumsum(np.bincount(point, minlength=len(x)))[:-1]))
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _spread(batch, *top, own).to_batches()
 
-    def children(rows: pd.DataFrame) -> pd.DataFrame:
+    def children(rows: pa.Table) -> pa.Table:
         a, b = _sides(rows)
         if not len(a) or not len(b):
-            return pd.DataFrame({"x": [], "radius": [], "box": []})
-        radius = None if own else a["radius"].to_numpy()
-        point, box = _near_boxes(_matrix(a["x"]), radius, _matrix(b["low"]), _matrix(b["high"]))
-        return pd.DataFrame({
-            "x": a["x"].to_numpy()[point], "radius": a["radius"].to_numpy()[point], "box": b["child"].to_numpy()[box].astype(np.int64),
-        })
-
-    at = asked.select("x", "radius", F.explode(first("x", "radius")).alias("box"))
+            return a.select(["id", "x", "radius", "box"]).slice(0, 0)
+        return _spread(a, b.column("child").to_numpy(), _matrix(b.column("low")), _matrix(b.column("high")), own)
+
+    at = asked.select("id", "x", "radius").mapInArrow(first, _AT)
     for level in reversed(levels):
-        at = _meet(at, level, tasks).applyInPandas(children, "x array<double>, radius double, box long")
+        at = _meet(at, level, tasks).applyInArrow(children, _AT)
     return at
 
 
@@ -194,55 +219,55 @@ def _distances(x: np.ndarray, y: np.ndarray, weight: np.ndarray, skip_self: bool
 
 
 def nearest(asked: DataFrame, known: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
-    """The k nearest known points (by weight) of each distinct asked point.
+    """The k nearest known points (by weight) of each asked point.
 
-    asked: x array<double>; known: distinct x of one length, w bigint, payload double. Result, a row per neighbour: x, its
-    distance d, o (the neighbour), payload, and w, the copies of it that count; the copies of a point's neighbours add
-    up to k. Ties go to the smaller point. No known points give no rows.
+    asked: id, x; known: id, x, w bigint, payload double; both numbered by `on_curve`, all x of one length. Result, a row
+    per neighbour: id, `other` (the neighbour's id), distance d, payload, and w, the copies of it that count; these add up
+    to k for a point. Ties go to the neighbour that comes first on the curve. No known points give no rows.
     """
-    schema = "x array<double>, d double, o array<double>, payload double, w bigint"
+    schema = "id long, other long, d double, payload double, w long"
     n, size = known.agg(F.count("*"), F.max(F.size("x"))).first()
     if not n:
         return known.sparkSession.createDataFrame([], schema)
-    placed, levels, top = _boxes(known, n, size, k)
+    placed, levels, top = _boxes(known.select("id", "x", "w", "payload"), n, size, k)
     tasks = max(1, min(4 * int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (n // BOX_POINTS + 1)))
 
-    def bound(rows: pd.DataFrame) -> pd.DataFrame:
+    def bound(rows: pa.Table) -> pa.Table:
         a, b = _sides(rows)
         if not len(a) or not len(b):
-            return pd.DataFrame({"x": [], "radius": []})
-        x, y, weight = _matrix(a["x"]), _matrix(b["x"]), b["w"].to_numpy(dtype=np.int64)
+            return a.select(["id", "x", "radius"]).slice(0, 0)
+        x, y, weight = _matrix(a.column("x")), _matrix(b.column("x")), b.column("w").to_numpy()
         radius = [_kth(*_distances(x[part], y, weight, skip_self), k) for part in _batches(len(x))]
-        return pd.DataFrame({"x": a["x"].to_numpy(), "radius": np.concatenate(radius)})
+        return pa.table([a.column("id"), a.column("x"), pa.array(np.concatenate(radius))], names=["id", "x", "radius"])
 
-    def visit(rows: pd.DataFrame) -> pd.DataFrame:
+    def visit(rows: pa.Table) -> pa.Table:
         a, b = _sides(rows)
-        out = {"x": [], "d": [], "o": [], "payload": [], "w": []}
-        if not len(a) or not len(b):
-            return pd.DataFrame(out)
-        x, y, weight = _matrix(a["x"]), _matrix(b["x"]), b["w"].to_numpy(dtype=np.int64)
-        radius, payload = a["radius"].to_numpy(), b["payload"].to_numpy()
-        xs, ys = a["x"].to_numpy(), b["x"].to_numpy()
-        order = np.lexsort(y.T[::-1])  # ties at the k-th place go to the smaller point
-        y, weight, payload, ys = y[order], weight[order], payload[order], ys[order]
-        for part in _batches(len(x)):
+        names = ["id", "other", "d", "payload", "w"]
+        out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.float64, np.float64, np.int64)]
+        b = b.sort_by("id")  # ties at the k-th place go to the first one
+        x, radius, ids = _matrix(a.column("x")), a.column("radius").to_numpy(), a.column("id").to_numpy()
+        y, weight = _matrix(b.column("x")), b.column("w").to_numpy()
+        payload, others = b.column("payload").to_numpy(), b.column("id").to_numpy()
+        m = min(k, len(b))
+        for part in _batches(len(a)) if m else ():
             d, w = _distances(x[part], y, weight, skip_self)
             d = np.where((w > 0) & (d <= radius[part, None] * SLACK), d, np.inf)
             # Every weight is at least 1, so k points always suffice.
-            edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1, None]
-            kept = (d < edge) | ((d == edge) & (np.cumsum(d == edge, axis=1) <= k - (d < edge).sum(axis=1, keepdims=True)))
+            edge = np.partition(d, m - 1, axis=1)[:, m - 1, None]
+            less, tied = d < edge, d == edge
+            kept = less | (tied & (np.cumsum(tied, axis=1) <= m - less.sum(axis=1, keepdims=True)))
             i, j = np.nonzero(kept & np.isfinite(d))
-            for name, values in (("x", xs[i + part.start]), ("d", d[i, j]), ("o", ys[j]), ("payload", payload[j]), ("w", w[i, j])):
-                out[name].append(values)
-        return pd.DataFrame({name: np.concatenate(values) for name, values in out.items()})
+            for values, more in zip(out, (ids[i + part.start], others[j], d[i, j], payload[j], w[i, j])):
+                values.append(more)
+        return pa.table([pa.array(np.concatenate(values)) for values in out], names=names)
 
-    start = asked.select("x").distinct().withColumn("radius", F.lit(0.0))
-    radius = _meet(_down(start, levels, top, tasks, True).select("x", "box"), placed, tasks).applyInPandas(bound, "x array<double>, radius double")
+    start = asked.select("id", "x", F.lit(0.0).alias("radius"))
+    own = _meet(_down(start, levels, top, tasks, True), placed, tasks)
     # The radii are read once more by each level's count of asked points.
-    visits = _down(cut_lineage(radius), levels, top, tasks, False)
-    found = _meet(visits, placed, tasks).applyInPandas(visit, schema)
-    order = W.partitionBy("x").orderBy("d", "o")
+    radius = cut_lineage(own.applyInArrow(bound, "id long, x array<double>, radius double"))
+    found = _meet(_down(radius, levels, top, tasks, False), placed, tasks).applyInArrow(visit, schema)
+    order = W.partitionBy("id").orderBy("d", "other")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     before = F.coalesce(F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # Copies of the last neighbour beyond k do not count.
-    return best.withColumn("w", F.least("w", F.lit(k) - before)).where("w > 0").select("x", "d", "o", "payload", "w")
+    return best.withColumn("w", F.least("w", F.lit(k) - before)).where("w > 0").select("id", "other", "d", "payload", "w")

@@ -98,23 +98,31 @@ def test_nested_boxes_in_many_columns_and_files(spark, monkeypatch, columns, par
     x = np.unique(np.concatenate([rng.normal(size=(500, columns)), rng.normal(size=(100, columns)) * 1e-6 + 3, [[1e9] * columns]]).round(9), axis=0)
     w = rng.integers(1, 4, len(x))
     rows = [([float(v) for v in p], int(c), float(i)) for i, (p, c) in enumerate(zip(x, w))]
-    known = spark.createDataFrame(rows, "x array<double>, w bigint, payload double").repartition(parts)
+    known = neighbours.on_curve(spark.createDataFrame(rows, "x array<double>, w bigint, payload double").repartition(parts))
     k = 7
-    got = neighbours.nearest(known.select("x"), known, k, skip_self=True).toPandas()
-    at = {tuple(p): i for i, p in enumerate(x)}
+    got = neighbours.nearest(known, known, k, skip_self=True).toPandas()
+    at = {r["id"]: int(r["payload"]) for r in known.collect()}
+    assert sorted(at) == list(range(len(x)))
     lists = {i: [] for i in range(len(x))}
     for r in got.itertuples():
-        assert at[tuple(r.o)] == r.payload
-        lists[at[tuple(r.x)]] += [r.d] * r.w
+        assert at[r.other] == r.payload
+        lists[at[r.id]] += [r.d] * r.w
     for i, far in enumerate(brute_nearest(x, w, k)):
         np.testing.assert_allclose(sorted(lists[i]), far, rtol=1e-9, atol=1e-15)
 
 
-def test_equal_distances_go_to_the_smaller_point(spark):
-    known = spark.createDataFrame([([float(i)], 1, float(i)) for i in range(9)], "x array<double>, w bigint, payload double")
-    got = neighbours.nearest(spark.createDataFrame([([4.0],)], "x array<double>"), known, 2)
-    assert [r["payload"] for r in got.orderBy("d", "o").collect()] == [4.0, 3.0]
-    assert neighbours.nearest(known.select("x"), known.where("false"), 2).count() == 0
+def test_equal_distances_go_to_the_first_on_the_curve(spark):
+    known = neighbours.on_curve(spark.createDataFrame([([float(i)], 1, float(i)) for i in range(9)], "x array<double>, w bigint, payload double"))
+    got = neighbours.nearest(neighbours.on_curve(spark.createDataFrame([([4.0],)], "x array<double>")), known, 2)
+    assert [r["payload"] for r in got.orderBy("d", "other").collect()] == [4.0, 3.0]
+    assert neighbours.nearest(known, known.where("false"), 2).count() == 0
+
+
+def test_neighbours_on_the_curve_are_neighbours_in_space():
+    grid = np.array([[i, j] for i in range(16) for j in range(16)]) / 8.0 - 1 + 1 / 16
+    x = grid / (1 - np.abs(grid))  # pressed back into the even grid
+    path = grid[np.argsort(np.array(neighbours._curve(x), dtype=object), kind="stable")]
+    np.testing.assert_allclose(np.abs(np.diff(path, axis=0)).sum(axis=1), 1 / 8)
 
 
 def test_local_outlier_factor_of_an_empty_table(frame):
