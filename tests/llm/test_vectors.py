@@ -78,13 +78,12 @@ def test_factor_one_is_exact_with_ties(table, monkeypatch, shard):
 
 def test_a_smaller_factor_looks_at_less():
     rng = np.random.default_rng(3)
-    x = vptree._raised(rng.normal(size=(4000, 8)), 10.0)
-    q = np.pad(rng.normal(size=(50, 8)), ((0, 0), (0, 1)))
-    q /= np.linalg.norm(q, axis=1)[:, None]
+    plain, asked = rng.normal(size=(4000, 8)), rng.normal(size=(50, 8))
+    x, q = vptree._raised(plain), vptree._turned(asked)
     tree = vptree.build(x, np.arange(4000), np.random.default_rng(0), 64)
     seen, found = [], []
     for factor in (1.0, 0.5):
-        search = vptree.Search(x, np.arange(4000), q, np.full(50, -1), 10, factor)
+        search = vptree.Search(x, np.arange(4000), q, np.full(50, -1), 10, factor, vptree._scores(asked, plain))
         search.down(tree, np.arange(50))
         seen.append(search.visited), found.append(search.found)
     exact = np.argsort(-(q @ x.T), axis=1)[:, :10]
@@ -95,3 +94,43 @@ def test_few_candidates(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0]), (40, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(20, 1, 1, 0.0), (20, 2, 2, -1.0)]
+
+
+def _brute(x, queries, k):
+    scores = (x[queries][:, None, :] * x[None, :, :]).cumsum(axis=2)[..., -1]
+    return {q: [(i, s[i]) for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:k] for q, s in zip(queries, scores)}
+
+
+@pytest.mark.parametrize("norm", [1.0, 1e8, 1e12, 1e200, 1e-200])
+def test_a_vector_of_another_scale_hides_no_neighbours(spark, norm):
+    x = np.random.default_rng(4).normal(size=(400, 16))
+    x[7] *= norm
+    x[13] *= np.sqrt(norm)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, factor=1.0, shard=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == _brute(x, list(range(0, 400, 20)), 20)
+
+
+def test_recall_at_the_registered_factor(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = sorted((r["vec_id"], r["embedding"]) for r in df.select("vec_id", "embedding").collect())
+    x = np.array([e for _, e in rows], dtype=np.float32).astype(np.float64)
+    # Many copies with noise, so that the trees have something to leave out.
+    rng = np.random.default_rng(6)
+    x = np.concatenate([x + rng.normal(scale=0.05, size=x.shape) for _ in range(-(-3000 // len(x)))])
+    made = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vptree.nearest(made, F.col("vec_id") % 20 == 0, shard=1000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = _brute(x, list(range(0, len(x), 20)), 20)
+    hits = sum(len(got[q] & {i for i, _ in near}) for q, near in want.items())
+    assert hits >= 0.9 * 20 * len(want)
+
+
+def test_rows_that_share_an_id_are_asked_apart(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0]), (None, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(20, 1, 1, 3.0), (20, 1, 2, 2.0), (20, 2, 1, 1.0), (20, 2, 2, 1.0)]
