@@ -223,8 +223,31 @@ register(
     """SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN (sqrt(c_acctbal + 1) - 1) / 0.5
        ELSE -(pow(1 - c_acctbal, 1.5) - 1) / 1.5 END, 6) AS t FROM customer""",
 )
-register("transform_boxcox", "outliers", lambda df: O.transform(df, "val", "boxcox_transform", "t").select("id", "t"))
-register("transform_yeojohnson", "customer", lambda df: O.transform(df, "c_acctbal", "yeojohnson_transform", "t").select("c_custkey", "t"))
+# The likelihood of every exponent of a wide grid, and the best one.
+_BOXCOX = "CASE WHEN p = 0 THEN ln(v) ELSE (pow(v, p) - 1) / p END"
+_YEOJOHNSON = """CASE WHEN v >= 0 THEN CASE WHEN p = 0 THEN ln(1 + v) ELSE (pow(v + 1, p) - 1) / p END
+  ELSE CASE WHEN p = 2 THEN -ln(1 - v) ELSE -(pow(1 - v, 2 - p) - 1) / (2 - p) END END"""
+_FIT = """WITH x AS (SELECT {column} AS v FROM {table}), g AS (SELECT i / 200.0::DOUBLE AS p FROM range({low} * 200, {high} * 200 + 1) r(i)),
+  s AS (SELECT p, var_pop({shape}) AS s2, count(*) AS n, sum({jacobian}) AS j FROM x, g GROUP BY p),
+  f AS (SELECT arg_max(p, -0.5 * n * ln(s2) + (p - 1) * j) AS p FROM s WHERE s2 > 0) """
+_SIGNED = "sign(v) * ln(1 + abs(v))"
+register(
+    "transform_boxcox", "outliers", lambda df: O.transform(df, "val", "boxcox_transform", "t").select("id", F.round("t", 6).alias("t")),
+    _FIT.format(column="val", table="outliers", low=-4, high=4, shape=_BOXCOX, jacobian="ln(v)") + f"SELECT id, round({_BOXCOX}, 6) AS t FROM (SELECT id, val AS v, p FROM outliers, f)",
+)
+register(
+    "transform_yeojohnson", "customer", lambda df: O.transform(df, "c_acctbal", "yeojohnson_transform", "t").select("c_custkey", F.round("t", 6).alias("t")),
+    _FIT.format(column="c_acctbal", table="customer", low=-4, high=4, shape=_YEOJOHNSON, jacobian=_SIGNED)
+    + f"SELECT c_custkey, round({_YEOJOHNSON}, 6) AS t FROM (SELECT c_custkey, c_acctbal AS v, p FROM customer, f)",
+)
+# An optimum far from the first grid: the eighth root of prices.
+_ROOT = "pow(o_totalprice, 0.125)"
+register(
+    "transform_far_power", "orders",
+    lambda df: O.transform(df.selectExpr("o_orderkey", f"{_ROOT} AS root"), "root", "boxcox_transform", "t").select("o_orderkey", F.round("t", 2).alias("t")),
+    _FIT.format(column=_ROOT, table="orders", low=0, high=16, shape=_BOXCOX, jacobian="ln(v)")
+    + f"SELECT o_orderkey, round({_BOXCOX}, 2) AS t FROM (SELECT o_orderkey, {_ROOT} AS v, p FROM orders, f)",
+)
 
 # ---- anomalies ------------------------------------------------------------------------------
 register(

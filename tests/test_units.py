@@ -185,6 +185,20 @@ def test_power_transform_finds_the_exponent(spark):
     assert outliers.best_power(df, "v", "boxcox_transform") == pytest.approx(0.36, abs=0.03)
 
 
+@pytest.mark.parametrize("root", [8, -12, 40])
+def test_power_transform_finds_far_exponents(spark, root):
+    plain = spark.range(1, 2001).select((1.0 + F.col("id") / 100.0).alias("v"))
+    near = outliers.best_power(plain, "v", "boxcox_transform")
+    far = outliers.best_power(plain.select(F.pow("v", F.lit(1.0 / root)).alias("v")), "v", "boxcox_transform")
+    assert far == pytest.approx(near * root, abs=0.0026 * abs(root) + 0.005)  # the optimum scales with the root
+
+
+def test_power_transform_of_too_few_values(spark):
+    df = spark.createDataFrame([(5.0,), (5.0,), (None,)], "v double")
+    assert outliers.best_power(df, "v", "boxcox_transform") is None
+    assert outliers.best_power(df.where("v is null"), "v", "yeojohnson_transform") is None
+
+
 def test_constant_column_has_no_outliers(spark):
     df = spark.createDataFrame([(5.0,)] * 6, "v double")
     for method in ("iqr_detection", "zscore_detection", "modified_zscore_detection"):
