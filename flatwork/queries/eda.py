@@ -7,7 +7,8 @@ from flatwork.operators import dashboard as D
 from flatwork.operators import eda as E
 from flatwork.operators.profile import missing_counts
 from flatwork.plans.charts import chart, required_columns
-from flatwork.plans.preprocessing import contract, replay
+from flatwork.plans.preprocessing import check, contract, replay
+from flatwork.queries.calculated import NUM
 from flatwork.queries.registry import register
 
 # Right-closed bins of equal width, counted against explicit edges.
@@ -367,3 +368,20 @@ register(
     """SELECT 'grp' AS column_name, true AS present, count(*) - count(grp) AS missing_count FROM sparse UNION ALL
        SELECT 'val', true, count(*) - count(val) FROM sparse UNION ALL SELECT 'o_custkey', false, NULL""",
 )
+register(
+    "plan_check", "text_numbers",
+    lambda df: check(df, [
+        {"column": "amount_text", "impute": "median_imputation"},
+        {"column": "amount_text", "impute": "group_mean_imputation", "group_column": "region"},
+        {"column": "amount_text", "transform": "log_transform", "new_column": "amount_log"},
+        {"column": "amount_log", "outliers": "winsorization"},
+        {"column": "grp", "outliers": "iqr_capping"},
+        {"column": "grp", "impute": "missing_category"},
+        {"column": "absent", "impute": "fill_zero"},
+    ]),
+    f"""WITH s AS (SELECT count(*) AS n, count(*) FILTER (amount_text IS NULL) AS m, count(*) FILTER (amount_text IS NOT NULL AND ({NUM}) IS NULL) AS u,
+         count(*) FILTER (amount_text IS NOT NULL AND NOT coalesce(({NUM}) > 0, false)) AS l, count(*) - count(grp) AS g, count(grp) AS h FROM text_numbers)
+       SELECT v.* FROM s, LATERAL (VALUES (1, 'amount_text', true, m, u, n > m + u), (2, 'amount_text', true, m, u, false),
+         (3, 'amount_text', true, m, l, n > m + l), (4, 'amount_log', true, NULL, NULL, true), (5, 'grp', true, g, h, false),
+         (6, 'grp', true, g, 0, n > g), (7, 'absent', false, NULL, NULL, false)) v(step, column_name, present, missing_count, unusable_count, fits)""",
+)

@@ -281,3 +281,17 @@ def test_any_column_name_works(spark):
     for limit in (1000, 7):
         got = quantiles(df.withColumnRenamed("a b", "band"), ["Unit.Price"], [0.5], ["n", "band"], limit=limit)
         assert {tuple(r) for r in got.select("n", "band").collect()} == {("a", "x"), ("a", None)}
+
+
+def test_plan_check_looks_at_values(spark):
+    from flatwork.plans.preprocessing import check
+
+    df = spark.createDataFrame([("x", -1.0), ("4", 2.0), (None, None), ("7", 0.0)], "t string, v double")
+    plan = [
+        {"column": "t", "impute": "mean_imputation"}, {"column": "v", "transform": "sqrt_transform", "new_column": "w"},
+        {"column": "w", "impute": "fill_zero"}, {"column": "v", "impute": "group_mean_imputation", "group_column": "none"},
+    ]
+    got = [tuple(r) for r in check(df, plan).collect()]
+    assert got == [(1, "t", True, 1, 1, True), (2, "v", True, 1, 1, True), (3, "w", True, None, None, True), (4, "v", True, 1, 0, False)]
+    assert [r["fits"] for r in check(df.where("false"), plan).collect()] == [False, False, True, False]
+    assert check(df, []).count() == 0
