@@ -83,11 +83,38 @@ def sample_order(key: Sequence[str]) -> Column:
     return F.md5(F.concat(F.lit("42"), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key]))
 
 
+#: Samples of up to so many rows are ranked in one pass, in which every task sends at most the sample.
+RANKED_ROWS = 10_000
+#: Letters of the md5 by which rows are counted: 16^4 counts at most.
+COUNTED_LETTERS = 4
+
+
 def sample_rows(df: DataFrame, n, key: Sequence[str]) -> DataFrame:
-    """At most n random rows, repeatable; "full" and "auto" keep the table."""
+    """At most n random rows, repeatable; "full" and "auto" keep the table. `key` identifies a row.
+
+    The sample is the n rows that come first by `sample_order`, whatever n is. A large one is never sorted: counts of
+    the first letters of that order find where the n-th row lies, rows before it stay by a filter, and only the few
+    rows that share its letters are ranked.
+    """
     if n in (None, "", "full", "auto"):
         return df
-    return df.orderBy(sample_order(key), *[col(k) for k in key]).limit(max(1, int(n)))
+    n, order = max(1, int(n)), sample_order(key)
+    ties = [col(k) for k in key]
+    if n <= RANKED_ROWS:
+        return df.orderBy(order, *ties).limit(n)
+    hashes, prefix, before = df.select(order.alias("h")), "", 0
+    while len(prefix) < 32:
+        letters = F.substring("h", 1, len(prefix) + COUNTED_LETTERS).alias("p")
+        counts = hashes.where(F.col("h").startswith(prefix)).groupBy(letters).agg(F.count("*").alias("n"))
+        placed = counts.withColumn("upto", F.sum("n").over(W.orderBy("p")) + before)
+        cut = placed.where(F.col("upto") >= n).orderBy("p").first()
+        if cut is None:
+            return df  # no more than n rows
+        prefix, before = cut["p"], cut["upto"] - cut["n"]
+        if cut["n"] <= RANKED_ROWS:
+            break
+    last = df.where(order.startswith(prefix)).orderBy(order, *ties).limit(n - before)
+    return df.where(order < prefix).union(last)
 
 
 def scatter(
@@ -129,17 +156,68 @@ def masked_sample(df: DataFrame, order_by: Sequence[str], limit: int = 10, seman
     return df.orderBy(*[col(c) for c in order_by]).limit(limit).select(*shown)
 
 
-def edge_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], n: int = 5, from_end: bool = False) -> DataFrame:
-    """First (or last) n present values of each column, in row order: column_name, rank, value.
+#: Rows that are looked at before the whole table is, for each value that is wanted of a column.
+LEADING_ROWS = 20
+#: Cells of a column that each further pass for distinct values ranks.
+PASS_CELLS = 100
+
 
-    The rank filter runs before the shuffle, so each task sends n rows per column at most.
+def _cells(columns: Sequence[str], at: Column, skip: dict[str, list[str]] | None = None) -> Column:
+    """The present cells of a row as an array of (column_name, value, at), values in `skip` left out."""
+    cells = []
+    for c in columns:
+        value = col(c).cast("string")
+        known = (skip or {}).get(c)
+        wanted = value.isNotNull() & ~value.isin(known) if known else value.isNotNull()
+        cells.append(F.when(wanted, F.struct(F.lit(c).alias("column_name"), value.alias("value"), at.alias("at"))))
+    return F.filter(F.array(*cells), lambda c: c.isNotNull())
+
+
+def _first_cells(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], n: int, from_end: bool, distinct: bool) -> DataFrame:
+    """The first n present cells (or distinct values) of each column in row order; ties by value.
+
+    The first rows of the table, ranked as whole rows, settle most columns. Only columns that show too few values there
+    are looked up in all rows. For distinct values that goes pass by pass: the values known by then are skipped, and
+    each pass adds one at least or ends a column, so no task holds or sends more than PASS_CELLS cells of a column.
     """
-    keys = [col(c).desc() if from_end else col(c) for c in order_by]
-    order = W.partitionBy("column_name").orderBy(*[F.col(f"k{i}").desc() if from_end else F.col(f"k{i}") for i in range(len(keys))])
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value")) for c in columns])
-    long = df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(order_by)], F.explode(cells).alias("cell"))
-    long = long.select(*[f"k{i}" for i in range(len(keys))], "cell.*").where("value is not null")
-    return long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("column_name", "rank", "value")
+    columns, wanted = list(dict.fromkeys(columns)), LEADING_ROWS * n
+    at = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
+    direction = (lambda c: c.desc()) if from_end else (lambda c: c.asc())
+    rank = F.row_number().over(W.partitionBy("column_name").orderBy(direction(F.col("at")), "value"))
+    found: dict[str, list[str]] = {c: [] for c in columns}
+
+    def take(cells: DataFrame, limit: int) -> dict[str, int]:
+        ranked = cells.select(F.explode("cells").alias("c")).select("c.*").withColumn("rank", rank).where(F.col("rank") <= limit)
+        seen = dict.fromkeys(columns, 0)
+        for r in ranked.select("column_name", "value", "rank").orderBy("column_name", "rank").collect():
+            seen[r["column_name"]] += 1
+            values = found[r["column_name"]]
+            if len(values) < n and not (distinct and r["value"] in values):
+                values.append(r["value"])
+        return seen
+
+    # Rows that tie with the last of the leading ones may be missing, so those count only up to it.
+    kept = list(dict.fromkeys([*columns, *order_by]))
+    rows = df.select(*[col(c) for c in kept]).orderBy(*[direction(col(c)) for c in order_by]).limit(wanted)
+    whole = W.partitionBy(F.lit(0))
+    edge = (F.min("at") if from_end else F.max("at")).over(whole)
+    known = rows.select(at.alias("at"), _cells(columns, at).alias("cells")).withColumns({"edge": edge, "n": F.count("*").over(whole)})
+    inside = F.col("at") > F.col("edge") if from_end else F.col("at") < F.col("edge")
+    take(known.where((F.col("n") < wanted) | inside), wanted)
+    missing = [c for c in columns if len(found[c]) < n]
+    if not distinct:
+        found.update((c, []) for c in missing)
+    while missing:
+        limit = PASS_CELLS if distinct else n
+        seen = take(df.select(_cells(missing, at, found).alias("cells")), limit)
+        missing = [c for c in missing if distinct and len(found[c]) < n and seen[c] == limit]
+    out = [(c, i + 1, v) for c in columns for i, v in enumerate(found[c])]
+    return df.sparkSession.createDataFrame(out, "column_name string, rank int, value string")
+
+
+def edge_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], n: int = 5, from_end: bool = False) -> DataFrame:
+    """First (or last) n present values of each column, in row order: column_name, rank, value."""
+    return _first_cells(df, columns, order_by, n, from_end, distinct=False)
 
 
 def random_values(df: DataFrame, columns: Sequence[str], key: Sequence[str], n: int = 5) -> DataFrame:
@@ -149,14 +227,4 @@ def random_values(df: DataFrame, columns: Sequence[str], key: Sequence[str], n:
 
 def first_distinct_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], n: int = 5) -> DataFrame:
     """The first n distinct present values of each column in row order."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value")) for c in columns])
-    order = F.struct(*[col(c) for c in order_by])
-    firsts = (
-        df.select(order.alias("at"), F.explode(cells).alias("cell"))
-        .select("at", "cell.*")
-        .where("value is not null")
-        .groupBy("column_name", "value")
-        .agg(F.min("at").alias("at"))
-    )
-    ranked = firsts.withColumn("rank", F.row_number().over(W.partitionBy("column_name").orderBy("at", "value")))
-    return ranked.where(F.col("rank") <= n).select("column_name", "rank", "value")
+    return _first_cells(df, columns, order_by, n, from_end=False, distinct=True)
