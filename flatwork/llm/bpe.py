@@ -1,7 +1,7 @@
 """Operator 7: byte-pair encoding and decoding from a vocabulary file, without its library.
 
 A word is a doubly linked list of symbols. A priority queue holds the possible merges by (rank,
-place); an entry whose symbols have changed meanwhile is stale and is skipped. Decoding looks up the
+place); an entry whose place no longer holds the pair of its rank is stale and is skipped. Decoding looks up the
 vocabulary strings and joins them. Cost of a word: n log n in its symbols, so one word of a million
 letters is no trap.
 
@@ -12,6 +12,7 @@ of each other; other columns pass through, and a column with the name of the res
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 
@@ -23,11 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from flatwork.functions.coerce import col
 from flatwork.llm.common import slices
-from flatwork.llm.tokens import PieceMemory, Words, piece_rule, words
+from flatwork.llm.tokens import MEMORY_PIECE_LENGTH, MEMORY_WORDS, PieceMemory, Words, packed_ids, piece_rule, words
 
 
-MEMORY_PIECES = 80_000
-
 
 class Bpe:
     """Encoder and decoder of one vocabulary file of the word kind (words lower-cased, blanks dropped)."""
@@ -44,41 +43,68 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # A pair of symbols is one integer, and its rank leads to the symbol that it becomes.
+        self.wide = max(self.vocab.values(), default=0).bit_length()
+        self.ranks: dict[int, int] = {}
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[self.vocab[a] << self.wide | self.vocab[b]] = rank
+        self.made = [self.vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.table = [self.strings.get(i) for i in range(max(self.strings, default=0) + 1)]
         self.whole = None not in self.table
-        # A plan that encodes and decodes runs two workers for each task, so this one remembers less.
-        self.memory = PieceMemory(lambda pieces: [self.piece(p) for p in pieces], MEMORY_PIECES)
+        self.known_words: dict[str, list[int]] = {}
+        self.memory = PieceMemory(lambda pieces: [self.piece(p) for p in pieces])
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first and leftmost among equals."""
-        n, merges = len(symbols), self.merges
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = [True] * n
-        queue = [(m[0], i, m[1], symbols[i], symbols[i + 1]) for i in range(n - 1) if (m := merges.get((symbols[i], symbols[i + 1])))]
+        n, rank_of, made_of, wide = len(symbols), self.ranks.get, self.made, self.wide
+        # The rank of the pair that starts at each place; an entry of the queue is a rank and a place in one integer.
+        pair = [rank_of(a << wide | b, -1) for a, b in zip(symbols, symbols[1:])]
+        shift = n.bit_length()
+        queue, mask = [r << shift | i for i, r in enumerate(pair) if r >= 0], (1 << shift) - 1
+        if not queue:
+            return symbols
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        pair.append(-1)
         while queue:
-            _, i, made, left, right = heapq.heappop(queue)
-            j = after[i]
-            if not alive[i] or j >= n or symbols[i] != left or symbols[j] != right:
+            entry = pop(queue)
+            i = entry & mask
+            r = entry >> shift
+            if pair[i] != r:
                 continue  # stale
-            symbols[i], alive[j], after[i] = made, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if m := merges.get((made, symbols[after[j]])):
-                    heapq.heappush(queue, (m[0], i, m[1], made, symbols[after[j]]))
-            if before[i] >= 0 and (m := merges.get((symbols[before[i]], made))):
-                heapq.heappush(queue, (m[0], before[i], m[1], symbols[before[i]], made))
-        return [s for s, a in zip(symbols, alive) if a]
+            j, made = after[i], made_of[r]
+            symbols[i], symbols[j], pair[j] = made, -1, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                r = pair[i] = rank_of(made << wide | symbols[k], -1)
+                if r >= 0:
+                    push(queue, r << shift | i)
+            else:
+                pair[i] = -1
+            h = before[i]
+            if h >= 0:
+                r = pair[h] = rank_of(symbols[h] << wide | made, -1)
+                if r >= 0:
+                    push(queue, r << shift | h)
+        return [s for s in symbols if s >= 0]
 
     def _plain(self, piece: str) -> list[int]:
-        ids: list[int] = []
+        known, vocab, ids = self.known_words, self.vocab, []
+        if len(known) > MEMORY_WORDS:
+            known.clear()
         for word in self.words.split(piece):
-            letters = [*word[:-1], word[-1] + self.suffix]
-            ids += self.merge([self.vocab[x] for x in letters if x in self.vocab])
+            found = known.get(word)
+            if found is None:
+                letters = [*word[:-1], word[-1] + self.suffix]
+                found = self.merge([vocab[x] for x in letters if x in vocab])
+                if len(word) <= MEMORY_PIECE_LENGTH:
+                    known[word] = found
+            ids += found
         return ids
 
     def piece(self, piece: str) -> bytes:
@@ -88,7 +114,7 @@ class Bpe:
             ids += self._plain(piece[at : m.start()])
             ids.append(self.special[m.group()])
             at = m.end()
-        return np.array(ids + self._plain(piece[at:]), "<u4").tobytes()
+        return packed_ids(ids + self._plain(piece[at:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.memory.joined([words(t) for t in texts])
@@ -139,3 +165,22 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     return df.withColumn(out, run(col(ids)))
+
+
+def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Encode and decode whole texts in one worker pass and add what identifies both: n_tokens, ids_sha256 (of the
+    packed ids) and decoded_sha256 (of the decoded text in UTF-8), both as lowercase hex."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        own, sizes, ids, decoded = model(path), [], [], []
+        for a, b in slices(_sizes(texts)):
+            for packed in own.encode([t or "" for t in texts.slice(a, b - a).to_pylist()]):
+                sizes.append(len(packed) // 4)
+                ids.append(hashlib.sha256(packed).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(packed).encode()).hexdigest())
+        columns = [pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    made = F.arrow_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string").asNondeterministic()(col(text))
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    return df.withColumn("__made", made).withColumns({n: F.col(f"__made.{n}") for n in names}).drop("__made")

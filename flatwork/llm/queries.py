@@ -63,14 +63,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = default_path(WORDS)
-    coded = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
-    return coded.select(
-        "doc_id",
-        F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(documents, default_path(WORDS)).drop("text")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Token operators against the tokenizers library and brute force."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -56,6 +57,15 @@ def test_codec_equals_the_library(docs):
         assert (bytes(row["ids"]), row["decoded"], row["length"]) == (packed(ids), library.decode(ids, skip_special_tokens=False), "clash")
 
 
+def test_digests_are_those_of_ids_and_decoded_texts(docs):
+    rows = bpe.digests(bpe.decode(bpe.encode(docs, WORDS), WORDS), WORDS).collect()
+    assert len(rows) == len(TEXTS) and {r["length"] for r in rows} == {"clash"}
+    for r in rows:
+        assert r["n_tokens"] == len(r["ids"]) // 4 and r["ids_sha256"] == hashlib.sha256(r["ids"]).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
+    assert bpe.digests(docs.where("false"), WORDS).count() == 0
+
+
 def test_merge_skips_stale_entries():
     model, library = bpe.model(WORDS), Tokenizer.from_file(WORDS)
     rng = random.Random(2)
