@@ -1,7 +1,7 @@
 """Operator 3: token ids as canonical length-limited Huffman codes, in independent blocks.
 
-Code lengths come from the counts of all ids of the corpus: counted per task, summed by id, and read
-by the driver as one row per id (bounded by the vocabulary). Package-merge keeps every code within
+Code lengths come from the counts of all ids of the corpus: counted by the task that encodes, summed by
+id, and read by the driver as one row per id (bounded by the vocabulary). Package-merge keeps every code within
 MAX_BITS, so a table of 2**MAX_BITS entries decodes one id per look-up.
 
 File format: a folder with two Parquet tables. `codebook` (id, n_bits) states the code: canonical codes
@@ -18,6 +18,7 @@ and no block. Columns other than the two named ones are not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,19 +111,43 @@ class Coder:
         return self.ids[rows.reshape(-1)[:n]]
 
 
+BLOCK_FIELDS = {
+    "place": pa.int64(), "own": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.list_(pa.int64()), "ids": pa.binary(),
+    "counted": pa.list_(pa.int64()), "times": pa.list_(pa.int64()),
+}
+
+
+def _row(*values) -> pa.RecordBatch:
+    arrays = [pa.array([v], t) for v, t in zip(values, BLOCK_FIELDS.values())]
+    return pa.RecordBatch.from_arrays(arrays, list(BLOCK_FIELDS))
+
+
+def unpacked(ids: bytes, n: int) -> np.ndarray:
+    """The n ids of a block, which take 16 bits each where all of them fit and 32 bits elsewhere."""
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
+
+
 def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Documents in ascending order, encoded by the tokenizers library with the end id appended, as blocks
-    of packed ids: part and place (order of the blocks), own (ids before it in its part), doc_ids, n_tokens, ids."""
+    """Documents in ascending order, encoded by the tokenizers library with the end id appended.
+
+    Rows with a place are blocks of packed ids: part and place (order of the blocks), own (ids before it in its
+    part), doc_ids, n_tokens, ids. The others say how often a task met each id: counted, times.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[int | None] = []
         held: list[bytes] = []
-        place, own, size = 0, 0, 0
+        place, own, size, total = 0, 0, 0, np.zeros(0, np.int64)
 
         def block() -> pa.RecordBatch:
-            values = [place], [own], [docs], [[len(h) // 4 for h in held]], [b"".join(held)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, BLOCK_TYPES)], ["place", "own", "doc_ids", "n_tokens", "ids"])
+            nonlocal total
+            ids = np.frombuffer(b"".join(held), "<u4")
+            more = np.bincount(ids, minlength=len(total))
+            more[: len(total)] += total
+            total = more
+            packed = ids.astype("<u2") if ids.max() < 1 << 16 else ids
+            return _row(place, own, docs, [len(h) // 4 for h in held], packed.tobytes(), None, None)
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -136,35 +161,27 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_
                         docs, held, size, place, own = [], [], 0, place + 1, own + size
         if docs:
             yield block()
+        met = np.flatnonzero(total)
+        yield _row(None, None, None, None, None, met, total[met])
 
-    # Texts move, not ids: ranges are drawn from a scan without the tokenizer.
+    # Texts move, not ids: ranges are drawn from a scan without the tokenizer. The hash parts rows that share an id.
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = (
         docs.select(col(doc_id).cast("long").alias("d"), col(text).alias("t"))
-        .repartitionByRange(parts, "d")
-        .sortWithinPartitions("d", F.xxhash64("t"))
+        .withColumn("h", F.xxhash64("t"))
+        .repartitionByRange(parts, "d", "h")
+        .sortWithinPartitions("d", "h")
+        .select("d", "t")
     )
-    blocks = ordered.mapInArrow(run, "place long, own long, doc_ids array<long>, n_tokens array<long>, ids binary")
+    lists = "doc_ids array<long>, n_tokens array<long>, ids binary, counted array<long>, times array<long>"
+    blocks = ordered.mapInArrow(run, f"place long, own long, {lists}")
     return blocks.withColumn("part", F.spark_partition_id())  # ranges are numbered in the order of their keys
 
 
-BLOCK_TYPES = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-
-
-def counts(blocks: DataFrame, ids: str = "ids") -> dict[int, int]:
-    """How often each id occurs: counted in every task, then summed. At most one row per id of the vocabulary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                more = np.bincount(np.frombuffer(packed or b"", "<u4"), minlength=len(total))
-                more[: len(total)] += total
-                total = more
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
-
-    found = blocks.select(col(ids)).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def counts(blocks: DataFrame) -> dict[int, int]:
+    """How often each id occurs, from the counts of every task. At most one row per id of the vocabulary."""
+    met = blocks.where("place IS NULL").select(F.explode(F.arrays_zip("counted", "times")).alias("c"))
+    found = met.groupBy(F.col("c.counted").alias("id")).agg(F.sum("c.times").alias("n"))
     return {r["id"]: r["n"] for r in found.collect()}
 
 
@@ -174,13 +191,15 @@ def write(blocks: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
         raise ValueError("max_bits lies between 1 and 25.")
     spark = blocks.sparkSession
     lengths = code_lengths(counts(blocks), max_bits)
+    blocks = blocks.where("place IS NOT NULL").drop("counted", "times")
     book = [(i, n) for i, n in lengths.items()]
     spark.createDataFrame(book, "id long, n_bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(lengths)
         for batch in batches:
-            made = [coder.encode(np.frombuffer(p, "<u4")) for p in batch.column("ids").to_pylist()]
+            totals = [sum(sizes) for sizes in batch.column("n_tokens").to_pylist()]
+            made = [coder.encode(unpacked(p, n)) for p, n in zip(batch.column("ids").to_pylist(), totals)]
             names = ["block", "first_token", "doc_ids", "n_tokens"]
             values = [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + values, [*names, "payload", "checkpoints"])
@@ -198,8 +217,9 @@ def write(blocks: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
     numbered.mapInArrow(code, out).write.parquet(f"{path}/blocks")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids (packed)."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids (packed in 32 bits each;
+    left out if not wanted) and their checksum ids_crc32."""
     lengths = {r["id"]: r["n_bits"] for r in spark.read.parquet(f"{path}/codebook").collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,17 +229,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 first, payload = batch.column(0)[row].as_py(), batch.column(3)[row].as_py()
                 sizes, marks = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in (2, 4))
                 ends = np.cumsum(sizes)
-                packed = coder.decode(payload, marks, int(ends[-1])).astype("<u4").tobytes()
+                packed = memoryview(coder.decode(payload, marks, int(ends[-1])).astype("<u4").tobytes())
                 values = [packed[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), sizes.tolist())]
-                arrays = [batch.column(1)[row].values, *[pa.array(c, pa.int64()) for c in (first + ends - sizes, sizes)], pa.array(values, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids"])
+                arrays = [batch.column(1)[row].values, *[pa.array(c, pa.int64()) for c in (first + ends - sizes, sizes)]]
+                arrays.append(pa.array([zlib.crc32(v) for v in values], pa.int64()))
+                if with_ids:
+                    arrays.append(pa.array([bytes(v) for v in values], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
     blocks = spark.read.parquet(f"{path}/blocks").select("first_token", "doc_ids", "n_tokens", "payload", "checkpoints")
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True
+) -> DataFrame:
     """Encode whole texts, write the files to `path` (default: a new shared folder), and read them back."""
     path = path or shared_folder(docs.sparkSession)
     write(stored(raw_blocks(docs, tokenizer, end_id, doc_id, text), "zstd"), path)
-    return read(docs.sparkSession, path)
+    return read(docs.sparkSession, path, with_ids)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -94,8 +95,31 @@ def test_files_give_the_ids_back(spark, docs):
     for row, i in zip(got, sorted([*range(len(TEXTS)), 4])):
         ids = library.encode(TEXTS[i] or "", add_special_tokens=False).ids + [1]
         assert (row["doc_id"], row["start"], row["n_tokens"], bytes(row["ids"])) == (i, at, len(ids), packed(ids))
+        assert row["ids_crc32"] == zlib.crc32(packed(ids))
         at += len(ids)
     assert len(got) == len(TEXTS) + 1
+    assert huffman.read(spark, path, with_ids=False).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+@pytest.mark.parametrize("end, width", [(1, 2), (70_000, 4)])
+def test_ids_take_16_bits_where_all_fit(docs, end, width):
+    blocks = stored(huffman.raw_blocks(docs, WORDS, end))
+    want = Counter(i for t in TEXTS for i in [*np.frombuffer(encode_texts(WORDS, [t or ""])[0], "<u4").tolist(), end])
+    assert huffman.counts(blocks) == want
+    for r in blocks.where("place IS NOT NULL").collect():
+        assert len(r["ids"]) == width * sum(r["n_tokens"]) and end in huffman.unpacked(r["ids"], sum(r["n_tokens"]))
+    back = huffman.round_trip(docs, WORDS, end).collect()
+    assert sorted(r["doc_id"] for r in back) == list(range(len(TEXTS))) and all(bytes(r["ids"]).endswith(packed([end])) for r in back)
+
+
+def test_rows_that_share_an_id_are_dealt_over_ranges(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"))
+    nulls = huffman.raw_blocks(df.repartition(4), WORDS, 1).where("place IS NOT NULL").withColumn("d", F.explode("doc_ids")).where("d IS NULL")
+    sizes = [r["count"] for r in nulls.groupBy("part").count().collect()]
+    assert sum(sizes) == 1334 and max(sizes) < 1334
+    got = huffman.round_trip(df, WORDS).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 1334 + sorted(i for i in range(4000) if i % 3)
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
 
 
 def test_a_null_id_comes_first(spark):
