@@ -18,6 +18,8 @@ from flatwork.sources.checkpoints import cut_lineage
 TREES = 100
 TREE_ROWS = 256
 HASHES = 1 << 40
+#: Rows of the pool that trees draw from, for each row that one of them takes.
+POOL_SAMPLES = 2
 
 
 def _quadratic(parts: Sequence[Column], matrix: np.ndarray) -> Column:
@@ -124,10 +126,38 @@ def _tree_arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.where(leaf, 0, feature), nodes["cut"].to_numpy(), child, nodes["path"].to_numpy()
 
 
+def _pool(work: DataFrame, names: Sequence[str], n: int, size: int) -> DataFrame:
+    """About `size` of the n rows: their values and `copy`, which numbers rows of equal values.
+
+    Rows of equal values are counted before they move. Each group gives its share of copies, rounded up or down by a
+    hash of its values: one row in a thousand goes in with a chance of its share, a group of a third of all rows with
+    a third of the pool.
+    """
+    share = min(1.0, size / max(n, 1))
+    chance = F.pmod(F.xxhash64(*names, F.lit(42)), F.lit(HASHES)) / float(HASHES)
+    groups = work.groupBy(*names).agg(F.count("*").alias("__n"))
+    counted = groups.select(*names, F.floor(F.col("__n") * share + chance).cast("long").alias("__n")).where("__n > 0")
+    return counted.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("copy"))
+
+
+def _draws(pool: DataFrame, names: Sequence[str], size: int, trees: int, rows: int) -> DataFrame:
+    """The rows of each tree: those of a pool of about `size` rows with the lowest hashes for that tree.
+
+    About twice as many as a tree needs pass a first bound on the hash, so few are ranked.
+    """
+    share = int(min(1.0, (2 * rows + 64) / max(size, 1)) * HASHES)
+    place = lambda t: F.pmod(F.xxhash64(*names, "copy", t, F.lit(42)), F.lit(HASHES))
+    first = W.partitionBy("tree").orderBy("__r", *names, "copy")
+    drawn = pool.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < share)))
+    ranked = drawn.withColumn("__r", place(F.col("tree"))).withColumn("__at", F.row_number().over(first))
+    return ranked.where(F.col("__at") <= rows).drop("__at", "copy")
+
+
 def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float = 0.05, trees: int = TREES) -> DataFrame:
     """Isolation forest: 100 trees of 256 rows each, grown in parallel, scored in Arrow batches.
 
-    The forest has at most trees * 511 nodes whatever the table size, so every task can hold it.
+    The forest has at most trees * 511 nodes whatever the table size, so every task can hold it. It depends on the
+    values of the columns alone, not on files, splits or the order of rows.
     """
     names = [f"__v{i}" for i in range(len(columns))]
     work = df.withColumns(dict(zip(names, filled_columns(df, columns))))
@@ -140,15 +170,8 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float
         out = pd.DataFrame(nodes, columns=["feature", "cut", "left_node", "right_node", "path"])
         return out.assign(tree=key[0], node=range(len(nodes)))
 
-    # A seeded hash of (row, tree) decides which trees may see a row, about twice as many rows as a tree needs; the
-    # lowest ones are taken. So each tree meets a bounded number of rows, whatever the size of the table.
-    share = int(min(1.0, (2 * rows_per_tree + 64) / max(n, 1)) * HASHES)
-    place = lambda t: F.pmod(F.xxhash64("__id", t, F.lit(42)), F.lit(HASHES))
-    numbered = work.select(*names, F.monotonically_increasing_id().alias("__id"))
-    draws = numbered.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < share)))
-    draws = draws.withColumn("__r", place(F.col("tree")))
-    first = W.partitionBy("tree").orderBy("__r", "__id")
-    draws = draws.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= rows_per_tree).drop("__at", "__id")
+    size = POOL_SAMPLES * trees * rows_per_tree
+    draws = _draws(_pool(work, names, n, size), names, min(n, size), trees, rows_per_tree)
     schema = "feature int, cut double, left_node int, right_node int, path double, tree int, node int"
     grown = draws.groupBy("tree").applyInPandas(grow, schema).toPandas().sort_values(["tree", "node"])
     forest = [_tree_arrays(g) for _, g in grown.groupby("tree")]

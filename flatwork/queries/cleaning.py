@@ -269,7 +269,7 @@ register(
 )
 register(
     "anomaly_isolation_forest", "outliers",
-    lambda df: M.flag_anomalies(df, ["val", "val2"], "isolation_forest").groupBy("anomaly_flag").agg(F.count("*").alias("n")),
+    lambda df: M.flag_anomalies(df, ["val", "val2"], "isolation_forest").select("id", F.round("anomaly_score", 6).alias("score"), "anomaly_flag"),
 )
 register(
     "anomaly_local_outlier_factor", "outliers",

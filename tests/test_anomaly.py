@@ -142,6 +142,33 @@ def test_isolation_forest_flags_the_far_points(frame):
     assert got["anomaly_flag"].sum() == pytest.approx(0.02 * len(got), abs=2)
 
 
+def test_isolation_forest_does_not_depend_on_splits_or_order(frame):
+    scores = []
+    for df in (frame.repartition(2), frame.repartition(9, "id"), frame.orderBy(F.desc("b")).coalesce(1)):
+        got = anomaly.isolation_forest(df, ["a", "b"], 0.05).orderBy("id").select("id", "anomaly_score", "anomaly_flag")
+        scores.append([tuple(r) for r in got.collect()])
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_pool_of_the_forest_holds_groups_of_copies_by_their_share(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1.0).otherwise(F.col("id") * 1.0).alias("v"))
+    pool = anomaly._pool(rows, ["v"], 60_000, 3000).toPandas()
+    assert len(pool) == pytest.approx(3000, rel=0.1) and (pool["v"] == -1).sum() == pytest.approx(1000, abs=1)
+    assert len(pool.drop_duplicates()) == len(pool)
+    drawn = anomaly._draws(spark.createDataFrame(pool), ["v"], 3000, 20, 64).groupBy("tree").agg(
+        F.count("*").alias("n"), F.avg((F.col("v") == -1).cast("int")).alias("hot")
+    ).toPandas()
+    assert len(drawn) == 20 and (drawn["n"] == 64).all() and drawn["hot"].mean() == pytest.approx(1 / 3, abs=0.06)
+    whole = anomaly._pool(rows.limit(50), ["v"], 50, 3000)
+    assert whole.count() == 50
+
+
+def test_isolation_forest_of_few_and_equal_rows(spark):
+    same = spark.createDataFrame([(i, 4.0, None) for i in range(30)], "id int, a double, b double")
+    got = anomaly.isolation_forest(same, ["a"], 0.1).toPandas()
+    assert len(got) == 30 and got["anomaly_flag"].sum() == 0
+
+
 def test_cooks_distance(frame, points):
     x, y = np.c_[np.ones(len(points[0])), points[0][:, 0]], points[0][:, 1]
     hat = x @ np.linalg.inv(x.T @ x) @ x.T
