@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -297,26 +298,56 @@ def cells(df: DataFrame, x: str, group: str, value: str | None = None, how: str
     return out.where("value is not null") if how not in ("count", "nunique") else out
 
 
-def pivot_table(df: DataFrame, x: str, group: str, value: str | None = None, how: str = "count", maximum: int = 10_000) -> DataFrame:
-    """Wide matrix, one column per group value, empty cells 0."""
+def pivot_table(
+    df: DataFrame, x: str, group: str, value: str | None = None, how: str = "count", maximum: int = 10_000, values: Sequence | None = None
+) -> DataFrame:
+    """Wide matrix, one column per group value, empty cells 0.
+
+    Columns are part of the plan, so their values are needed before it runs: `values` names them, and cells of other
+    groups and rows without a cell among them are left out. Without it they are looked up, at most `maximum`.
+    """
     filled = cells(df, x, group, value, how)
-    values = _pivot_values(filled, group, maximum)
+    if values is None:
+        values = _pivot_values(filled, group, maximum)
+    else:
+        values = list(dict.fromkeys(values))
+        filled = filled.where(col(group).isin(values))
     wide = filled.withColumnRenamed(group, "__group").groupBy(col(x)).pivot("__group", values).agg(F.first("value"))
     return wide.select(col(x), *[F.coalesce(col(c), F.lit(0)).alias(c) for c in wide.columns if c != x])
 
 
-def heatmap(df: DataFrame, x: str, group: str, value: str | None = None, how: str = "count") -> DataFrame:
-    """Long matrix: every x with every group value, empty cells 0."""
-    filled = cells(df, x, group, value, how)
-    every = filled.agg(F.array_sort(F.collect_set(col(group).cast("string")))).scalar()
-    grid = filled.select(col(x)).distinct().select(col(x), F.explode(every).alias(group))
-    shown = filled.withColumn(group, col(group).cast("string"))
-    return join_on(grid, shown, [x, group], "left").select(col(x), col(group), F.coalesce("value", F.lit(0)).alias("value"))
+#: Group values of a matrix that stand together, on average.
+BLOCK_VALUES = 64
+
 
+def heatmap(df: DataFrame, x: str, group: str, value: str | None = None, how: str = "count") -> DataFrame:
+    """Long matrix: every x with every group value, empty cells 0.
 
-def totals_matrix(df: DataFrame, x: str, group: str, value: str, how: str = "sum", top: int | None = None, sort_order: str = "descending") -> DataFrame:
+    The matrix is kept sparse until its last step. A hash deals the group values to blocks of about BLOCK_VALUES; the
+    filled cells of an x in a block are one short map, and a row per x and block meets the block's values there. So no
+    task ever holds all group values, and a join moves a row per block, not one per cell.
+    """
+    filled = cut_lineage(cells(df, x, group, value, how).select(col(x).alias("x"), col(group).cast("string").alias("g"), "value"))
+    found = filled.select("g").distinct()
+    blocks = max(1, math.ceil(found.count() / BLOCK_VALUES))
+    salts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    block = F.pmod(F.xxhash64("g"), F.lit(blocks))
+    # Every x asks for every block, so a block is laid out once for each salt and its askers spread over them.
+    salt = F.pmod(F.xxhash64("x"), F.lit(salts))
+    names = found.groupBy(block.alias("block")).agg(F.collect_list("g").alias("names"))
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    rows = filled.groupBy("x", block.alias("block")).agg(F.map_from_entries(F.collect_list(F.struct("g", "value"))).alias("held"))
+    grid = filled.select("x").distinct().select("x", salt.alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    asked = join_on(join_on(grid, names, ["block", "salt"]), rows, ["x", "block"], "left")
+    shown = asked.select("x", "held", F.explode("names").alias("g"))
+    return shown.select(F.col("x").alias(x), F.col("g").alias(group), F.coalesce(F.col("held")[F.col("g")], F.lit(0)).alias("value"))
+
+
+def totals_matrix(
+    df: DataFrame, x: str, group: str, value: str, how: str = "sum", top: int | None = None, sort_order: str = "descending", values: Sequence | None = None
+) -> DataFrame:
     """Pivot with a row total, sorted and cut by it."""
-    wide = pivot_table(df, x, group, value, how)
+    wide = pivot_table(df, x, group, value, how, values=values)
     names = [c for c in wide.columns if c != x]
     first = col(names[0])
     summed = wide.withColumn("total", F.aggregate(F.array(*[col(n) for n in names[1:]]), first, lambda a, v: a + v) if names[1:] else first)
