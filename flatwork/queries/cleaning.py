@@ -376,15 +376,19 @@ register(
 )
 register(
     "report_issues", "constants",
-    lambda df: R.recommendations(df).select("column_name", "issue_code", "action_code", "safety"),
+    lambda df: R.recommendations(df).select("column_name", "detected_type", "issue_code", "action_code", "safety", "confidence"),
     f"""WITH s AS ({_union('constants', _basic)}), d AS (SELECT *, {TYPE_SQL} AS detected_type FROM s)
-    SELECT column_name, 'MISSING_VALUES' AS issue_code, 'REVIEW_IMPUTATION' AS action_code, 'Review' AS safety FROM d WHERE missing > 0 UNION ALL
-    SELECT column_name, 'DATATYPE_REVIEW_REQUIRED', 'CONFIRM_COLUMN_TYPE', 'Review' FROM d WHERE detected_type IN ('id_like', 'numeric_categorical', 'review') UNION ALL
-    SELECT column_name, 'HIGH_CARDINALITY', 'REVIEW_ENCODING_OR_COLUMN_TYPE', 'Review' FROM d
+    SELECT column_name, CASE detected_type WHEN 'boolean' THEN 'categorical' ELSE detected_type END AS detected_type, 'MISSING_VALUES' AS issue_code, 'REVIEW_IMPUTATION' AS action_code, 'Review' AS safety, 'Medium' AS confidence
+      FROM d WHERE missing > 0 UNION ALL
+    SELECT column_name, detected_type, 'DATATYPE_REVIEW_REQUIRED', 'CONFIRM_COLUMN_TYPE', 'Review', 'Medium'
+      FROM d WHERE detected_type IN ('id_like', 'numeric_categorical', 'review') UNION ALL
+    SELECT column_name, detected_type, 'HIGH_CARDINALITY', 'REVIEW_ENCODING_OR_COLUMN_TYPE', 'Review', 'Medium' FROM d
       WHERE detected_type IN ('categorical', 'numeric_categorical', 'id_like') AND (u > 50 OR u * 1.0 / n >= 0.5) UNION ALL
-    SELECT column_name, 'CONSTANT_COLUMN', 'DROP_COLUMN_CANDIDATE', 'Safe' FROM d WHERE u = 1 UNION ALL
-    SELECT 'Dataset', 'MULTIVARIATE_ANOMALY_CHECK_AVAILABLE', 'REVIEW_DATASET_ANOMALIES', 'Review' FROM d HAVING count(*) FILTER (detected_type = 'numeric') >= 2 UNION ALL
-    SELECT 'val', 'OUTLIERS_DETECTED', 'REVIEW_OUTLIER_HANDLING', 'Review' FROM constants, (SELECT quantile_cont(val, 0.25) AS a, quantile_cont(val, 0.75) AS b FROM constants)
+    SELECT column_name, detected_type, 'CONSTANT_COLUMN', 'DROP_COLUMN_CANDIDATE', 'Safe', 'High' FROM d WHERE u = 1 UNION ALL
+    SELECT 'Dataset', NULL, 'MULTIVARIATE_ANOMALY_CHECK_AVAILABLE', 'REVIEW_DATASET_ANOMALIES', 'Review',
+      CASE WHEN count(*) FILTER (detected_type = 'numeric') > 10 THEN 'High' ELSE 'Medium' END FROM d HAVING count(*) FILTER (detected_type = 'numeric') >= 2 UNION ALL
+    SELECT 'val', 'numeric', 'OUTLIERS_DETECTED', 'REVIEW_OUTLIER_HANDLING', 'Review', 'Medium'
+      FROM constants, (SELECT quantile_cont(val, 0.25) AS a, quantile_cont(val, 0.75) AS b FROM constants)
       WHERE (SELECT count(*) FROM d WHERE column_name = 'val' AND detected_type = 'numeric') = 1 HAVING count(*) FILTER (val < a - 1.5 * (b - a) OR val > b + 1.5 * (b - a)) > 0""",
 )
 register(
