@@ -7,13 +7,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flatwork.functions.coerce import num
 from flatwork.operators.cleaning.density import dbscan
-from flatwork.operators.cleaning.neighbours import filled_columns, nearest, on_curve, with_standardised
+from flatwork.operators.cleaning.neighbours import filled_columns, nearest_lists, of_neighbours, on_curve, with_standardised
 from flatwork.operators.quantiles import quantiles
-from flatwork.sources.checkpoints import cut_lineage
+from flatwork.sources.checkpoints import stored_columns
 
 TREES = 100
 TREE_ROWS = 256
@@ -204,17 +206,26 @@ def local_outlier_factor(df: DataFrame, columns: Sequence[str], neighbours: int
     points = on_curve(work.groupBy(F.col("__x").alias("x")).agg(F.count("*").alias("w"), F.lit(0.0).alias("payload")))
     total = points.agg(F.sum("w")).first()[0] or 0
     k = max(1, min(int(neighbours), total - 1))
-    near = cut_lineage(nearest(points, points, k, skip_self=True))
-    own = near.groupBy(F.col("id").alias("other")).agg(F.max("d").alias("far"))
-    thin = F.sum(F.col("w") * F.greatest("d", "far")) / F.sum("w")
-    density = cut_lineage(near.join(own, "other").groupBy("id").agg((1.0 / (thin + 1e-10)).alias("density")))
-    around = near.join(density.withColumnRenamed("id", "other"), "other").groupBy("id").agg(
-        (F.sum(F.col("w") * F.col("density")) / F.sum("w")).alias("around")
-    )
-    factors = around.join(density, "id").join(points, "id").select(
-        F.col("x").alias("__fx"), (-F.col("around") / F.col("density")).alias("anomaly_score")
+    near = nearest_lists(points, points, k, skip_self=True).where(F.size("other") > 0)
+    far = near.select("id", F.element_at("d", -1).alias("value"))
+
+    def flat(rows: pa.Table, name: str) -> np.ndarray:
+        return rows.column(name).combine_chunks().flatten().to_numpy()
+
+    def mean(values: np.ndarray, rows: pa.Table) -> np.ndarray:
+        w, sizes = flat(rows, "w"), pc.list_value_length(rows.column("other")).to_numpy()
+        begins = np.cumsum(sizes) - sizes
+        return np.add.reduceat(w * values, begins) / np.add.reduceat(w, begins)
+
+    def dense(values: np.ndarray, rows: pa.Table) -> np.ndarray:
+        return 1.0 / (mean(np.maximum(flat(rows, "d"), values), rows) + 1e-10)
+
+    density = stored_columns(of_neighbours(near.select("id", "other", "d", "w"), far, dense))
+    around = of_neighbours(near.select("id", "other", "w"), density, mean)
+    factors = around.withColumnRenamed("value", "around").join(density, "id").join(points, "id").select(
+        F.col("x").alias("__fx"), (-F.col("around") / F.col("value")).alias("anomaly_score")
     )
-    factors = cut_lineage(factors)
+    factors = stored_columns(factors)
     scored = work.join(factors, F.col("__x") == F.col("__fx"), "left").drop("__x", "__fx")
     limit = quantiles(scored.select("anomaly_score"), ["anomaly_score"], [float(contamination)]).first()["q_anomaly_score"]
     return scored.withColumn("anomaly_flag", (F.col("anomaly_score") < F.lit(limit[0] if limit else None).cast("double")).cast("int"))

@@ -185,3 +185,37 @@ def test_methods_check_their_input(frame):
         anomaly.flag_anomalies(frame, ["a", "b"], "unknown")
     with pytest.raises(ValueError):
         anomaly.flag_anomalies(frame, ["a"] * 2, "cooks_distance", {"target_column": "nope"})
+
+
+def test_few_asked_points_and_boxes_over_several_groups(spark, monkeypatch):
+    for name, value in (("BOX_POINTS", 10), ("FANOUT", 4), ("CELL_POINTS", 8), ("UNIT_BOXES", 2), ("BOXES_PER_GROUP", 3), ("LEAF_POINTS", 8), ("ENTRIES", 50)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(3)
+    x = np.unique(rng.normal(size=(400, 2)).round(6), axis=0)
+    w = rng.integers(1, 4, len(x))
+    rows = [([float(v) for v in p], int(c), float(i)) for i, (p, c) in enumerate(zip(x, w))]
+    known = neighbours.on_curve(spark.createDataFrame(rows, "x array<double>, w bigint, payload double"))
+    ask = np.concatenate([rng.normal(2, 0.1, size=(30, 2)), [[9.0, -9.0]]])  # most boxes are asked by no point
+    asked = neighbours.on_curve(spark.createDataFrame([([float(v) for v in p],) for p in ask], "x array<double>"))
+    got = neighbours.nearest_lists(asked, known, 7).join(asked, "id").collect()
+    assert len(got) == len(ask)
+    for r in got:
+        far = np.sort(np.repeat(np.sqrt(((x - np.array(r["x"])) ** 2).sum(1)), w))[:7]
+        np.testing.assert_allclose(np.repeat(r["d"], r["w"]), far, rtol=1e-12)
+        np.testing.assert_allclose(np.sqrt(((x[np.array(r["payload"], int)] - np.array(r["x"])) ** 2).sum(1)), r["d"], rtol=1e-12)
+
+
+def test_local_outlier_factor_moves_points_and_not_their_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame(pd.DataFrame({"id": range(3000), "a": rng.normal(size=3000), "b": rng.normal(size=3000)}))
+    moved = []
+
+    def counted(asked, held, *more):
+        moved.append(asked.count() + held.count())
+        return together(asked, held, *more)
+
+    together = neighbours._together
+    monkeypatch.setattr(neighbours, "_together", counted)
+    monkeypatch.setattr(neighbours, "ASKED_PER_GROUP", 1000)
+    assert anomaly.local_outlier_factor(frame, ["a", "b"], 20).where("anomaly_score is null").count() == 0
+    assert sum(moved[-2:]) < 5 * 3000  # a row for each of 20 neighbours moved before, twice
