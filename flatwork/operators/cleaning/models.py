@@ -80,14 +80,19 @@ def fill_chained(df: DataFrame, columns: Sequence[str], rounds: int = 3) -> Data
 
 def fill_nearest(df: DataFrame, column: str, features: Sequence[str], k: int = 5) -> DataFrame:
     """Mean of the k nearest rows that hold a value, on standardised features."""
-    from flatwork.operators.cleaning.neighbours import nearest, on_curve, with_standardised
+    from flatwork.operators.cleaning.neighbours import nearest_lists, on_curve, with_standardised
 
     work = with_standardised(df, features).withColumn("__v", num(df, column))
-    known = work.where("__v is not null").groupBy(F.col("__x").alias("x")).agg(F.count("*").alias("w"), F.avg("__v").alias("payload"))
+    held, missing = work.where("__v is not null"), work.where("__v is null")
+    known = held.groupBy(F.col("__x").alias("x")).agg(F.count("*").alias("w"), F.avg("__v").alias("payload"))
     if known.isEmpty():  # nothing to learn from: missing stays missing
         return df.withColumn(column, num(df, column))
-    asked = on_curve(work.where("__v is null").select(F.col("__x").alias("x")).distinct())
-    near = nearest(asked, on_curve(known), k).groupBy("id").agg((F.sum(F.col("w") * F.col("payload")) / F.sum("w")).alias("__guess"))
+    asked = on_curve(missing.select(F.col("__x").alias("x")).distinct())
+    total = F.aggregate(F.zip_with("w", "payload", lambda w, p: w * p), F.lit(0.0), lambda a, v: a + v)
+    copies = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a + w)
+    near = nearest_lists(asked, on_curve(known), k).where(F.size("other") > 0).select("id", (total / copies).alias("__guess"))
     guess = near.join(asked, "id").select(F.col("x").alias("__kx"), "__guess")
-    joined = work.join(guess, F.col("__x") == F.col("__kx"), "left")
-    return joined.withColumn(column, F.coalesce("__v", "__guess")).drop("__x", "__v", "__kx", "__guess")
+    # Only rows without a value move to their guess.
+    found = missing.join(guess, F.col("__x") == F.col("__kx"), "left").drop("__kx")
+    filled = held.withColumn("__guess", F.lit(None).cast("double")).union(found)
+    return filled.withColumn(column, F.coalesce("__v", "__guess")).drop("__x", "__v", "__guess")
