@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from flatwork.functions.coerce import col
 from flatwork.llm.common import shared_folder, slices, stored
-from flatwork.llm.tokens import encode_texts
+from flatwork.llm.tokens import SLICE_LETTERS, encode_texts
 
 MAX_BITS = 20
 BLOCK_IDS = 1 << 18
@@ -151,7 +151,7 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts]):
+            for a, b in slices([len(t) for t in texts], SLICE_LETTERS):
                 for d, packed in zip(keys[a:b], encode_texts(tokenizer, texts[a:b])):
                     docs.append(d)
                     held.append(packed + end)

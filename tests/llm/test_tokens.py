@@ -1,6 +1,7 @@
 """Token operators against the tokenizers library and brute force."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from flatwork.llm import bpe, huffman, packing, token_counts
 from flatwork.llm.common import shared_folder, stored
-from flatwork.llm.tokens import PieceMemory, default_path, encode_texts
+from flatwork.llm.tokens import PieceEncoder, PieceMemory, default_path, encode_texts
 
 WORDS, BYTES = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
 TEXTS = [
@@ -41,6 +42,44 @@ def test_pieces_give_the_ids_of_whole_texts(path):
     assert encode_texts(path, texts) == want == encode_texts(path, texts)
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_letters_marks_and_white_space_in_any_order(path):
+    library = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    parts = ["a", "Zoe", "é", "É", "×", "÷", "ÿ", "İ", "Σ", "'s", "'", "1", "²", ",", ".", "%%", "-", "_", "\x00", "\x1c", "\x7f", " ", "  ", "\n", "\r\n"]
+    wide = ["\xa0", "\u2003", "\u3000", "\u0301", "J\u030c", "\u212a", "\u037e", "日", "😀"]
+    texts = ["".join(rng.choices(rng.sample(parts, 8) + rng.sample(wide, rng.randrange(4)), k=rng.randrange(40))) for _ in range(3000)]
+    assert encode_texts(path, texts) == [packed(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_a_word_is_encoded_once_whatever_mark_follows(path):
+    own, asked = PieceEncoder(path), []
+    encode = own.memory.encode
+    own.memory.encode = lambda pieces: asked.extend(pieces) or encode(pieces)
+    names, marks = ["alpha", "beta", "gamma", "delta", "été", "déjà", "naïf", "ÿ"] * 2, ",.;:!?)%*$"
+    texts = [" ".join(n + m for n in names) for m in marks]
+    assert own.encode(texts) == [packed(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) == len(set(asked)) <= len(set(names)) + len(marks) + 1  # the first word has no blank
+
+
+def test_a_slice_looks_up_each_different_piece_once(monkeypatch):
+    looked, each = [], PieceMemory.each
+    monkeypatch.setattr(PieceMemory, "each", lambda self, pieces: looked.extend(pieces) or each(self, pieces))
+    ids = encode_texts(BYTES, ["one two three, four."] * 100_000)
+    assert sorted(looked) == sorted(["one", " two", " three", ",", " four", "."]) and len(set(ids)) == 1
+
+
+def test_marks_stay_where_a_rule_may_join_them(tmp_path):
+    with open(WORDS, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L},]+|[\p{N}]|[^\s\p{L}\p{N},]+"
+    path = tmp_path / "joined.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    texts = ["one,two three, four", "é,è a1,b !,?"]
+    assert encode_texts(str(path), texts) == [packed(e.ids) for e in Tokenizer.from_file(str(path)).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_memory_of_pieces_is_bounded(monkeypatch):
     monkeypatch.setattr("flatwork.llm.tokens.MEMORY_PIECES", 10)
     asked = []
