@@ -168,8 +168,13 @@ class Words:
             return word.replace(" ", self.spellings[" "])
         return "".join(map(self.spellings.__getitem__, word))
 
-    def split(self, piece: str) -> list[str]:
-        return [self.spelled(w) for w in self.found(self.normal(piece))]
+    def split(self, piece: str) -> Sequence[str]:
+        """The words of a piece as it stands in a text, spelled."""
+        piece = self.normal(piece)
+        words = self.found(piece)
+        if piece.isascii() and piece.isprintable():
+            return [w.replace(" ", self.spellings[" "]) for w in words] if " " in piece else words
+        return [self.spelled(w) for w in words]
 
 
 class PieceMemory:
@@ -193,15 +198,27 @@ class PieceMemory:
             out[i] = ids = next(fresh) if ids is None else ids
             if len(p) <= MEMORY_PIECE_LENGTH:
                 self.young[p] = ids
-        if len(self.young) > self.pieces:
-            self.young, self.old = {}, self.young
+        self._turn()
         return out
 
     def joined(self, texts: list[list[str]]) -> list[bytes]:
         """The packed ids of texts that are given as pieces."""
-        different = list(set().union(*texts))
-        ids = dict(zip(different, self.each(different)))
-        return [b"".join(map(ids.__getitem__, pieces)) for pieces in texts]
+        young, old = self.young, self.old
+        new = set().union(*texts).difference(young)
+        back = [p for p in new if p in old]
+        young.update((p, old[p]) for p in back)
+        fresh = list(new.difference(back))
+        young.update(zip(fresh, self.encode(fresh)))
+        out = [b"".join(map(young.__getitem__, pieces)) for pieces in texts]
+        for p in fresh:
+            if len(p) > MEMORY_PIECE_LENGTH:
+                del young[p]
+        self._turn()
+        return out
+
+    def _turn(self) -> None:
+        if len(self.young) > self.pieces:
+            self.young, self.old = {}, self.young
 
 
 _PACKERS = [struct.Struct(f"<{n}I") for n in range(32)]
