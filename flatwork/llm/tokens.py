@@ -66,6 +66,11 @@ def words(text: str) -> list[str]:
     return _WORD_PIECES.findall(text) if NOT_SPACE.search(text) else text.split()
 
 
+def narrow(text: str) -> str:
+    """The text with a blank for each white space beyond ASCII."""
+    return text if text.isascii() else _WIDE_SPACE.sub(" ", text)
+
+
 def piece_starts(data: np.ndarray, first: np.ndarray, end: np.ndarray, marks: bool) -> np.ndarray:
     """Where the pieces of texts start: UTF-8 `data` with the bounds of each text that is not empty. All white space is ASCII.
 
@@ -168,14 +173,6 @@ class Words:
             return word.replace(" ", self.spellings[" "])
         return "".join(map(self.spellings.__getitem__, word))
 
-    def split(self, piece: str) -> Sequence[str]:
-        """The words of a piece as it stands in a text, spelled."""
-        piece = self.normal(piece)
-        words = self.found(piece)
-        if piece.isascii() and piece.isprintable():
-            return [w.replace(" ", self.spellings[" "]) for w in words] if " " in piece else words
-        return [self.spelled(w) for w in words]
-
 
 class PieceMemory:
     """Packed ids of pieces in two generations: when the young one is full it becomes the old one, and a
@@ -229,6 +226,29 @@ def packed_ids(ids: list[int]) -> bytes:
     return _PACKERS[len(ids)].pack(*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
 
 
+def piece_ids(texts: list[str], marks: bool, each: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """Packed ids by pieces, for normal texts with no other white space than ASCII; `each` gives those of different pieces."""
+    parts = [t.encode() for t in texts]
+    ends = np.cumsum([0] + [len(p) for p in parts])
+    data = b"".join(parts)
+    if not data:
+        return [b""] * len(texts)
+    some = np.flatnonzero(np.diff(ends))
+    starts = piece_starts(np.frombuffer(data, np.uint8), ends[some], ends[some + 1], marks)
+    bounds = np.append(starts, len(data)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+    known = each(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+    sizes, index = np.array([len(k) // 4 for k in known]), found.indices.to_numpy()
+    # The ids of all pieces, by their places in the ids of different ones.
+    n = sizes[index]
+    upto = np.cumsum(n)
+    place = np.repeat((np.cumsum(sizes) - sizes)[index] - upto + n, n)
+    place += np.arange(len(place))
+    ids = np.frombuffer(b"".join(known), "<u4")[place].tobytes()
+    at = (4 * np.append(0, upto))[np.searchsorted(starts, ends)].tolist()
+    return [ids[a:b] for a, b in zip(at, at[1:])]
+
+
 class PieceEncoder:
     """Packed ids of texts, with a bounded memory of pieces."""
 
@@ -277,26 +297,7 @@ class PieceEncoder:
         return out
 
     def _cut(self, texts: list[str]) -> list[bytes]:
-        """Ids by pieces, for normal texts with no other white space than ASCII."""
-        parts = [t.encode() for t in texts]
-        ends = np.cumsum([0] + [len(p) for p in parts])
-        data = b"".join(parts)
-        if not data:
-            return [b""] * len(texts)
-        some = np.flatnonzero(np.diff(ends))
-        starts = piece_starts(np.frombuffer(data, np.uint8), ends[some], ends[some + 1], self.words.marks_apart)
-        bounds = np.append(starts, len(data)).astype(np.int32)
-        found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
-        known = self.memory.each(found.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes, index = np.array([len(k) // 4 for k in known]), found.indices.to_numpy()
-        # The ids of all pieces, by their places in the ids of different ones.
-        n = sizes[index]
-        upto = np.cumsum(n)
-        place = np.repeat((np.cumsum(sizes) - sizes)[index] - upto + n, n)
-        place += np.arange(len(place))
-        ids = np.frombuffer(b"".join(known), "<u4")[place].tobytes()
-        at = (4 * np.append(0, upto))[np.searchsorted(starts, ends)].tolist()
-        return [ids[a:b] for a, b in zip(at, at[1:])]
+        return piece_ids(texts, self.words.marks_apart, self.memory.each)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)

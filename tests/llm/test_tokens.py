@@ -5,6 +5,7 @@ import json
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -106,6 +107,40 @@ def test_digests_are_those_of_ids_and_decoded_texts(docs):
     assert bpe.digests(docs.where("false"), WORDS).count() == 0
 
 
+def test_codec_of_letters_marks_and_white_space_in_any_order():
+    own, library = bpe.Bpe(WORDS), Tokenizer.from_file(WORDS)
+    rng = random.Random(3)
+    letters = [*"ab cD'sé́ΣİÀ÷ 1\n\t.,!\x1c\x85\xa0\u1680\u2003\u2028\u202f\u3000\u200b😀", "<|endoftext|>", "<|ENDOFTEXT|>", "word"]
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(1000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == [packed(ids) for ids in want] == own.encode(texts)
+    assert own.encode([]) == own.decoded([]) == []
+    assert [str(t, "utf-8") for t in own.decoded([packed(ids) for ids in want])] == library.decode_batch(want, skip_special_tokens=False)
+
+
+def test_codec_meets_each_different_word_once():
+    own, asked = bpe.Bpe(WORDS), []
+    merged = own.merged
+    own.merged = lambda words: asked.extend(words) or merged(words)
+    texts = ["Zebrafish zebrafish, (ZEBRAFISH). É", "zebrafish! e\u0301 zebrafish"] * 3
+    ids = own.encode(texts) + own.encode(texts[:1])
+    assert ids == encode_texts(WORDS, texts + texts[:1])
+    assert asked.count("zebrafish") == asked.count("é") == 1
+
+
+def test_codec_drops_letters_that_the_vocabulary_lacks(tmp_path):
+    spec = json.loads(Path(WORDS).read_text(encoding="utf-8"))
+    vocab = ["a", "b", "a</w>", "b</w>", "ab", "ab</w>", "ba", "aba", "abab</w>"]
+    spec["model"] |= {"vocab": {s: i for i, s in enumerate(vocab)}, "merges": [["ab", "ab</w>"], ["a", "b"], ["a", "b</w>"], ["ab", "a"], ["b", "a"]]}
+    spec["added_tokens"] = []
+    path = tmp_path / "few.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    own, library = bpe.Bpe(str(path)), Tokenizer.from_file(str(path))
+    rng = random.Random(4)
+    texts = ["", "q", "qa", "aq b", "q q", "abq qab"] + ["".join(rng.choices("aabbq é.", k=rng.randrange(30))) for _ in range(500)]
+    assert own.encode(texts) == [packed(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_merge_skips_stale_entries():
     model, library = bpe.model(WORDS), Tokenizer.from_file(WORDS)
     rng = random.Random(2)
